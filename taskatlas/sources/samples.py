@@ -1,0 +1,56 @@
+"""Small demonstration tables, built by Spark from ranges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Sample occupations and importance ratings, used in turn.
+SAMPLE_OCCUPATIONS = (
+    ("15-2051.00", "Data Scientist"),
+    ("15-1252.00", "Software Engineer"),
+    ("15-1299.00", "AI Specialist"),
+    ("15-1299.01", "ML Engineer"),
+    ("19-1021.00", "Research Scientist"),
+)
+SAMPLE_RATINGS = (4.0, 4.5, 3.5, 4.2, 3.8)
+SAMPLE_TOPICS = (("Machine Learning", 1), ("Neural Networks", 1), ("Manufacturing", 0))
+
+
+def _pick(values, index):
+    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+
+
+def sample_documents(spark: SparkSession, rows: int = 100) -> DataFrame:
+    """Documents over 2021 to 2023 in shares of 30, 35 and 35 percent."""
+    n = F.col("id")
+    year = F.when(n < rows * 0.30, 2021).when(n < rows * 0.65, 2022).otherwise(2023)
+    return spark.range(rows).select(
+        (n + 1).alias("application_id"),
+        F.concat(F.lit("Document title "), n + 1).alias("application_title"),
+        F.concat(F.lit("Abstract of document "), n + 1).alias("application_abstract"),
+        F.concat(year, F.lit("-01-01")).alias("filing_date"),
+        F.concat(year, F.lit("-06-01")).alias("published_date"),
+        year.cast("int").alias("year"),
+        F.when(n < rows / 2, "Machine Learning").otherwise("Neural Networks").alias("topic_label"),
+    )
+
+
+def sample_ratings(spark: SparkSession, tasks_per_occupation: int = 10) -> DataFrame:
+    """Importance ratings of numbered tasks, equally many per occupation."""
+    n = F.col("id")
+    rows = len(SAMPLE_OCCUPATIONS) * tasks_per_occupation
+    at = F.floor(n / tasks_per_occupation)
+    return spark.range(rows).select(
+        (n + 1).alias("task_id"),
+        F.concat(F.lit("Perform task "), n + 1).alias("task"),
+        _pick([o[1] for o in SAMPLE_OCCUPATIONS], at).alias("title"),
+        _pick([o[0] for o in SAMPLE_OCCUPATIONS], at).alias("soc_code"),
+        F.lit("Importance").alias("scale_name"),
+        F.when(n < rows / 2, "Core").otherwise("Supplemental").alias("task_category"),
+        _pick(SAMPLE_RATINGS, n % len(SAMPLE_RATINGS)).alias("data_value"),
+    )
+
+
+def sample_topics(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SAMPLE_TOPICS), "topic string, flag int")
