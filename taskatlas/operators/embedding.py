@@ -114,8 +114,9 @@ def embedding_metadata(df: DataFrame, vec_col: str, text_col: str, id_col: str,
     """
     shape = df.agg(F.count("*").alias("num_texts"), F.max(F.size(vec_col)).alias("embedding_dim"))
     first = df.select(id_col, text_col).orderBy(id_col).limit(samples)
-    texts = first.agg(F.sort_array(F.collect_list(F.struct(id_col, text_col))).alias("t"))
-    return shape.select("*", F.transform(texts.scalar(), lambda r: r[text_col]).alias("sample_texts"))
+    listed = F.sort_array(F.collect_list(F.struct(id_col, text_col)))
+    texts = first.agg(F.transform(listed, lambda r: r[text_col]).alias("t"))
+    return shape.select("*", texts.scalar().alias("sample_texts"))
 
 
 def class_means(df: DataFrame, label_col: str, vec_col: str = "vec", *, unit: bool = True) -> DataFrame:

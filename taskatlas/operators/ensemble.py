@@ -56,16 +56,12 @@ def combine_models(inputs: Sequence[DataFrame], names: Sequence[str] | None, id_
     names += [f"model_{i + 1}" for i in range(len(names), len(inputs))]
     rows = None
     for pos, (df, name) in enumerate(zip(inputs, names)):
-        part = model_rows(df, pos, name, id_col, **columns)
+        # One bit per model: the set of models of an id fits in a number and combines early.
+        part = model_rows(df, pos, name, id_col, **columns).withColumn("__bit", F.lit(1 << pos).cast("long"))
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.filter(F.col("id").isNotNull())
-    # One bit per model: the set of models of an id fits in a number and combines early.
-    full = (
-        rows.groupBy("id")
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("model_pos"))).alias("seen"))
-        .filter(F.col("seen") == (1 << len(inputs)) - 1)
-    )
-    return rows.join(full.select("id"), "id", "left_semi")
+    full = rows.groupBy("id").agg(F.bit_or("__bit").alias("seen")).filter(F.col("seen") == (1 << len(inputs)) - 1)
+    return rows.drop("__bit").join(full.select("id"), "id", "left_semi")
 
 
 def wide_models(long: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -21,6 +21,7 @@ from taskatlas.operators.reshape import long_to_wide
 # Lower bounds of the exposure bands.
 BANDS = ((4.0, "very high"), (3.0, "high"), (2.0, "moderate"), (1.0, "low"), (0.0, "minimal"))
 DIGITS = 6
+SUM_DIGITS = 9
 
 
 def task_matches(ratings: DataFrame, counts: DataFrame, categories: Sequence[str], years: Sequence[int]) -> DataFrame:
@@ -45,15 +46,16 @@ def exposure(counts: DataFrame) -> DataFrame:
     """Importance-weighted exposure per occupation, category and year.
 
     ``sum(matches * importance) / sum(matches)`` over importance ratings, 0 when
-    nothing matched, 4 decimals rounded half to even. Rows with a null
-    importance, count, code or title do not take part.
+    nothing matched, 4 decimals rounded half to even. The quotient is first
+    rounded to 9 decimals: the order in which a distributed sum adds up must not
+    decide a half. Rows with a null importance, count, code or title do not take part.
     """
     usable = importance_only(counts).dropna(subset=["data_value", "matches", "soc_code", "title"])
     grouped = usable.groupBy("soc_code", "title", "ai_category", "year").agg(
         F.sum(F.col("matches") * F.col("data_value")).alias("weighted"), F.sum("matches").alias("total")
     )
     value = F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("weighted"), F.col("total")))
-    return grouped.select("soc_code", "title", "ai_category", "year", F.bround(value, 4).alias("exposure"))
+    return grouped.select("soc_code", "title", "ai_category", "year", F.bround(F.round(value, SUM_DIGITS), 4).alias("exposure"))
 
 
 def unusable_rows(counts: DataFrame) -> DataFrame:

@@ -67,4 +67,4 @@ def count_quantile(df: DataFrame, keys: Sequence[str], value: str, share: float,
     over the pre-counted values stays small at any scale.
     """
     freq = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    return freq.groupBy(*keys).agg(F.percentile(value, share, "__n").alias(name))
+    return freq.groupBy(*keys).agg(F.percentile(value, share, F.col("__n")).alias(name))

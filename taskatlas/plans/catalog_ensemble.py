@@ -116,8 +116,12 @@ hybrid AS (
   FROM first f JOIN voted v USING (id))"""
 
 
+def _of_model(name):
+    return F.get(F.filter("predictions", lambda p: p["model"] == name), F.lit(0))
+
+
 def _single(df, name="full"):
-    mine = F.get(F.filter("predictions", lambda p: p["model"] == name), F.lit(0))
+    mine = _of_model(name)
     return df.select("id", mine["category"].alias("category"), mine["confidence"].alias("confidence"))
 
 
@@ -149,7 +153,7 @@ def _(spark, sf):
 def _wide(df):
     """Model label columns beside the vote, taken from the array without a shuffle."""
     return df.select(
-        "*", *[F.get(F.filter("predictions", lambda p, m=m: p["model"] == m), F.lit(0))["category"].alias(f"{m}_category") for m in NAMES]
+        "*", *[_of_model(m)["category"].alias(f"{m}_category") for m in NAMES]
     )
 
 

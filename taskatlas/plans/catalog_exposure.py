@@ -49,7 +49,7 @@ def _(spark, sf):
 @query(
     "a10_matched_exposure",
     with_sql(MATCHED_SQL, """SELECT soc_code, title, ai_category, year,
-        CASE WHEN sum(matches) = 0 THEN 0.0 ELSE round_even(sum(matches * data_value) / sum(matches), 4) END AS exposure FROM matched GROUP BY ALL"""),
+        CASE WHEN sum(matches) = 0 THEN 0.0 ELSE CAST(round_even(CAST(sum(matches * data_value) / sum(matches) AS DECIMAL(18, 9)), 4) AS DOUBLE) END AS exposure FROM matched GROUP BY ALL"""),
 )
 def _(spark, sf):
     return ex.exposure(matched_vectors(spark, sf))
@@ -194,11 +194,11 @@ links AS (
 
 @query(
     "w1_contributions",
-    with_sql(COUNTS_SQL + ", " + _CONTRIBUTION_SQL, "SELECT soc_code, task, ai_category, year, matches, round(contribution, 6) AS contribution FROM share"),
+    with_sql(COUNTS_SQL + ", " + _CONTRIBUTION_SQL, "SELECT soc_code, task, ai_category, year, matches, round(contribution, 10) AS contribution FROM share"),
 )
 def _(spark, sf):
     rows = flows.contributions(importance(spark, sf))
-    return rows.select("soc_code", "task", "ai_category", "year", "matches", F.round("contribution", 6).alias("contribution"))
+    return rows.select("soc_code", "task", "ai_category", "year", "matches", F.round("contribution", 10).alias("contribution"))
 
 
 @query("w2_top_occupations", with_sql(FLOW_SQL, "SELECT soc_code, title, round(total_contribution, 6) AS total_contribution FROM top_occ"))
@@ -222,9 +222,9 @@ def _(spark, sf):
     return _flow_parts(spark, sf)[2].withColumn("total_contribution", F.round("total_contribution", 6))
 
 
-@query("w4_flow_links", with_sql(LINKS_SQL, "SELECT year, kind, ai_category, task, soc_code, round(value, 6) AS value FROM links"))
+@query("w4_flow_links", with_sql(LINKS_SQL, "SELECT year, kind, ai_category, task, soc_code, round(value, 10) AS value FROM links"))
 def _(spark, sf):
-    return flows.flow_links(*_flow_parts(spark, sf)).withColumn("value", F.round("value", 6))
+    return flows.flow_links(*_flow_parts(spark, sf)).withColumn("value", F.round("value", 10))
 
 
 @query(
@@ -244,10 +244,10 @@ def _(spark, sf):
     "w6_flow_links_min",
     with_sql(LINKS_SQL.replace("FROM weights GROUP BY ALL", "FROM weights WHERE contribution > 0.5 GROUP BY ALL")
              .replace("WHERE round(w.contribution, 9) > 0.01", "WHERE w.contribution > 0.5"),
-             "SELECT year, kind, ai_category, task, soc_code, round(value, 6) AS value FROM links"),
+             "SELECT year, kind, ai_category, task, soc_code, round(value, 10) AS value FROM links"),
 )
 def _(spark, sf):
-    return flows.flow_links(*_flow_parts(spark, sf), min_contribution=0.5).withColumn("value", F.round("value", 6))
+    return flows.flow_links(*_flow_parts(spark, sf), min_contribution=0.5).withColumn("value", F.round("value", 10))
 
 
 @query("j4_top_members", with_sql(FLOW_SQL, "SELECT soc_code, task, ai_category, year, matches FROM imp WHERE soc_code IN (SELECT soc_code FROM top_occ)"))
@@ -298,9 +298,10 @@ def _quadrant_sql(cut: str, high: float) -> str:
         CUT_SQL + f""", named AS (SELECT year, CASE WHEN data_value >= {high} AND matches >= {cut} THEN 'high_concern'
              WHEN data_value >= {high} THEN 'protected' WHEN matches >= {cut} THEN 'routine_automation' ELSE 'minimal_impact' END AS quadrant
            FROM imp JOIN cuts USING (year))""",
-        """SELECT g.year, g.quadrant, count(n.year) AS n, round(100.0 * count(n.year) / (SELECT count(*) FROM named t WHERE t.year = g.year), 4) AS percent
-           FROM (SELECT c.year, q.quadrant FROM cuts c CROSS JOIN (VALUES ('high_concern'), ('protected'), ('routine_automation'), ('minimal_impact')) q(quadrant)) g
-           LEFT JOIN named n ON n.year = g.year AND n.quadrant = g.quadrant GROUP BY ALL""",
+        """SELECT c.year, q.quadrant, count(n.year) AS n, round(100.0 * count(n.year) / any_value(t.total), 4) AS percent
+           FROM cuts c CROSS JOIN (VALUES ('high_concern'), ('protected'), ('routine_automation'), ('minimal_impact')) q(quadrant)
+           JOIN (SELECT year, count(*) AS total FROM named GROUP BY year) t ON t.year = c.year
+           LEFT JOIN named n ON n.year = c.year AND n.quadrant = q.quadrant GROUP BY c.year, q.quadrant""",
     )
 
 

@@ -108,7 +108,7 @@ imp AS (SELECT * FROM counts WHERE scale_name = 'Importance')"""
 EXPOSURE_SQL = COUNTS_SQL + """, exposed AS (
   SELECT soc_code, title, ai_category, year,
          CASE WHEN sum(matches) = 0 THEN 0.0
-              ELSE round_even(sum(matches * data_value) / sum(matches), 4) END AS exposure
+              ELSE CAST(round_even(CAST(sum(matches * data_value) / sum(matches) AS DECIMAL(18, 9)), 4) AS DOUBLE) END AS exposure
   FROM imp GROUP BY ALL)"""
 
 DOCS_SQL = """docs AS (

@@ -50,7 +50,7 @@ def differences(df, con, sql: str) -> list[str]:
     if len(expected) != len(found):
         problems.append(f"{len(found)} rows against {len(expected)}")
     if found != expected:
-        missing = [r for r in expected if r not in set(found)][:3]
-        extra = [r for r in found if r not in set(expected)][:3]
+        here, there = set(found), set(expected)
+        missing, extra = sorted(there - here, key=str)[:3], sorted(here - there, key=str)[:3]
         problems.append(f"values differ: only here {str(extra)[:600]}, only there {str(missing)[:600]}")
     return problems
