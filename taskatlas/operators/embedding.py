@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer, StandardScaler
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskatlas.functions.text import clean_text, is_blank
+from taskatlas.functions.text import is_blank
 from taskatlas.functions.vectors import NORM_FLOOR
 
 # Divisor floor of mean pooling and the fill of masked positions in max pooling.
@@ -20,27 +23,37 @@ MASK_FLOOR = 1e-9
 MASKED_VALUE = -1e9
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(clean_text(text)), " "), lambda t: t != "")
-
-
-def token_bucket(token: Column, width: int) -> Column:
+def token_bucket(token: str, width: int) -> int:
     """Bucket of a token: the first 32 bits of its md5, modulo the width."""
-    return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long"), F.lit(width))
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % width
 
 
 def encode_text(df: DataFrame, text_col: str, out: str = "vec", *, width: int = 64) -> DataFrame:
     """Hashed bag of words as a unit vector; blank text gives a zero vector.
 
-    Row-local and JVM-side: bucket counting is done by a fixed-vocabulary count
-    vectoriser, so whole texts of any length are encoded without a shuffle, and
-    the same columns work on a stream.
+    Words are lower-cased and split at white space. Row-local, so whole texts of
+    any length are encoded without a shuffle and the same column works on a
+    stream. Splitting, coding and counting run on Arrow batches; only the
+    distinct words of a batch are hashed one by one.
     """
-    buckets = F.transform(tokens(F.col(text_col)), lambda t: token_bucket(t, width).cast("string"))
-    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(width)], "__buckets", "__counts")
-    scaler = Normalizer(inputCol="__counts", outputCol="__unit", p=2.0)
-    counted = counter.transform(df.withColumn("__buckets", buckets))
-    return scaler.transform(counted).withColumn(out, vector_to_array("__unit")).drop("__buckets", "__counts", "__unit")
+
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        rows = len(texts)
+        words = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+        coded = words.flatten().dictionary_encode()
+        vocabulary = coded.dictionary.to_pylist()
+        # An empty word comes from white space at an end; it counts in an extra column.
+        buckets = np.array([token_bucket(w, width) if w else width for w in vocabulary], dtype=np.int64)
+        cells = pc.list_parent_indices(words).to_numpy() * (width + 1)
+        if len(cells):
+            cells = cells + buckets[coded.indices.to_numpy()]
+        counts = np.bincount(cells, minlength=rows * (width + 1)).reshape(rows, width + 1)[:, :width].astype(np.float64)
+        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        unit = counts / np.where(norms == 0, 1.0, norms)
+        return pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * width, unit.ravel())
+
+    return df.withColumn(out, run(F.col(text_col)))
 
 
 def encode_with(

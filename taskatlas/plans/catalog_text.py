@@ -9,7 +9,7 @@ from taskatlas.functions.text import (
     PROMPT_HEAD,
     PROMPT_TAIL,
     PROMPT_TITLE,
-    WHITE_CLASS,
+    WHITE_CLASS_FLAT,
     WHITE_POINTS,
     category_title,
     clean_text,
@@ -30,7 +30,7 @@ _RESPONSES = ("EN", "de", "fr")
 
 
 def clean_sql(col: str) -> str:
-    return f"trim(regexp_replace(coalesce({col}, ''), '{WHITE_CLASS}+', ' ', 'g'))"
+    return f"trim(regexp_replace(coalesce({col}, ''), '{WHITE_CLASS_FLAT}+', ' ', 'g'))"
 
 
 def _joined_sql() -> str:
