@@ -2,61 +2,84 @@
 
 A built-in exact percentile keeps every distinct value of a group in one buffer.
 Here equal values are counted first, and the wanted ranks are then located by
-narrowing a histogram, so a task never holds more than ``fanout`` counters or the
-values of one narrow bucket.
+narrowing a histogram, so neither a task nor the driver ever holds more than
+``fanout`` counters per wanted rank.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
+from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-FANOUT = 4096
+from taskatlas.sources.storage import stored
 
+FANOUT = 1024
 
-def _running(df: DataFrame, group: Sequence[str], order: str) -> DataFrame:
-    """Add ``before``: the count of all rows earlier in the group."""
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """Distinct non-null values ``x`` with their counts ``n``, written once.
 
-def exact_quantiles(df: DataFrame, value: str, shares: dict[str, float], *, fanout: int = FANOUT) -> DataFrame:
-    """One row with a linearly interpolated quantile per name in ``shares``."""
-    freq = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    span = freq.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("n")).alias("s")).scalar()
-
-    def position(share: float) -> Column:
-        return F.lit(share) * (span["n"] - 1)
+    Copies of a value collapse before the shuffle, and the later passes read the
+    table instead of repeating the work that made the values.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    return stored(counted, "value-counts")
 
-    ranks = [f(position(p)).cast("long") for p in shares.values() for f in (F.floor, F.ceil)]
-    fine = F.coalesce(F.try_divide(F.col("x") - span["lo"], span["hi"] - span["lo"]), F.lit(0.0)) * float(fanout**2)
-    code = F.least(F.floor(fine), F.lit(fanout**2 - 1)).cast("long")
-    coded = freq.select("x", "n", code.alias("code")).withColumn("top", F.floor(F.col("code") / fanout).cast("long"))
 
-    def wanted() -> Column:
-        return reduce(or_, [(r >= F.col("before")) & (r < F.col("before") + F.col("n")) for r in ranks])
+def _locate(rows: Sequence[Row], ranks: set[int], base: dict[int | None, int]) -> dict[int, int]:
+    """Histogram buckets that hold a wanted rank, with the count before each."""
+    found, before = {}, {}
+    for row in sorted(rows, key=lambda r: r["code"]):
+        start = before.setdefault(row["parent"], base[row["parent"]])
+        if any(start <= r < start + row["n"] for r in ranks):
+            found[row["code"]] = start
+        before[row["parent"]] = start + row["n"]
+    return found
 
-    # At most two ranks per share survive each step, so the picked buckets are few.
-    tops = _running(coded.groupBy("top").agg(F.sum("n").alias("n")), [], "top").filter(wanted())
-    tops = tops.select("top", F.col("before").alias("base"))
-    subs = coded.join(F.broadcast(tops), "top").groupBy("top", "base", "code").agg(F.sum("n").alias("n"))
-    subs = _running(subs, ["top"], "code").withColumn("before", F.col("before") + F.col("base")).filter(wanted())
-    subs = subs.select("code", F.col("before").alias("base"))
-    values = _running(coded.join(F.broadcast(subs), "code").select("code", "base", "x", "n"), ["code"], "x")
-    values = values.withColumn("before", F.col("before") + F.col("base")).filter(wanted())
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("before")) & (rank < F.col("before") + F.col("n")), F.col("x")))
+def exact_quantiles(freq: DataFrame, shares: dict[str, float], *, fanout: int = FANOUT, levels: int = 3) -> DataFrame:
+    """One row with a linearly interpolated quantile per name, from ``value_counts``.
 
-    out = []
-    for name, share in shares.items():
-        where = position(share)
-        low, high = at(F.floor(where).cast("long")), at(F.ceil(where).cast("long"))
-        out.append((low + (high - low) * (where - F.floor(where))).alias(name))
+    Each level splits the buckets that hold a wanted rank into ``fanout`` parts.
+    The values of the last, very narrow buckets are ranked by a window.
+    """
+    spark = freq.sparkSession
+    span = freq.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("n")).first()
+    if span["n"] is None:
+        return spark.createDataFrame([tuple([None] * len(shares))], ", ".join(f"{s} double" for s in shares))
+    places = {name: share * (span["n"] - 1) for name, share in shares.items()}
+    ranks = {f(p) for p in places.values() for f in (floor, ceil)}
+
+    width = (span["hi"] - span["lo"]) or 1.0
+    cells = fanout**levels
+    code = F.least(F.floor((F.col("x") - span["lo"]) / width * cells), F.lit(cells - 1)).cast("long")
+    coded = freq.withColumn("code", code)
+    base: dict[int | None, int] = {None: 0}
+    for level in range(1, levels + 1):
+        size = fanout ** (levels - level)
+        at = F.floor(F.col("code") / size).cast("long")
+        parent = F.lit(None).cast("long")
+        rows = coded
+        if level > 1:
+            parent = F.floor(F.col("code") / (size * fanout)).cast("long")
+            rows = coded.filter(parent.isin(*base))
+        # At most fanout rows for each bucket that held a rank.
+        counted = rows.groupBy(parent.alias("parent"), at.alias("code")).agg(F.sum("n").alias("n")).collect()
+        base = _locate(counted, ranks, base)
+
+    start = F.coalesce(*[F.when(F.col("code") == c, F.lit(b)) for c, b in base.items()])
+    earlier = Window.partitionBy("code").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    values = coded.filter(F.col("code").isin(*base)).withColumn("first", start + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+    def at_rank(rank: int):
+        return F.max(F.when((F.col("first") <= rank) & (F.col("first") + F.col("n") > rank), F.col("x")))
+
+    out = [
+        (at_rank(floor(p)) + (at_rank(ceil(p)) - at_rank(floor(p))) * (p - floor(p))).alias(name) for name, p in places.items()
+    ]
     return values.agg(*out)
 
 

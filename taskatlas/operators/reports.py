@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taskatlas.operators.quantiles import exact_quantiles
+from taskatlas.operators.quantiles import exact_quantiles, value_counts
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -52,15 +52,21 @@ def vote_histogram(df: DataFrame, votes_col: str = "ensemble_votes") -> DataFram
 
 
 def similarity_distribution(df: DataFrame, col: str = "sim", *, digits: int = 6) -> DataFrame:
-    """Mean, population deviation, extremes and exact quartiles of a score."""
-    plain = df.agg(
-        F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max")
+    """Mean, population deviation, extremes and exact quartiles of a score.
+
+    Everything comes from the counted distinct scores, so the scores are made once.
+    """
+    freq = value_counts(df, col)
+    n, x = F.col("n"), F.col("x")
+    mean = freq.agg(F.sum(x * n) / F.sum(n)).first()[0]
+    off = x - F.lit(mean).cast("double")
+    plain = freq.agg(F.sqrt(F.sum(n * off * off) / F.sum(n)).alias("std"), F.min("x").alias("min"), F.max("x").alias("max")).first()
+    known = {"mean": mean, **plain.asDict()}
+    cuts = exact_quantiles(freq, {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    return cuts.select(
+        *[F.round(F.lit(v).cast("double"), digits).alias(c) for c, v in known.items()],
+        *[F.round(c, digits).alias(c) for c in cuts.columns],
     )
-    shares = {"median": 0.5, "q1": 0.25, "q3": 0.75}
-    cuts = exact_quantiles(df, col, shares)
-    picked = cuts.select(F.struct(*shares).alias("q")).scalar()
-    everything = plain.select("*", *[picked[s].alias(s) for s in shares])
-    return everything.select(*[F.round(c, digits).alias(c) for c in everything.columns])
 
 
 def match_quality(matches: DataFrame, ratings: DataFrame, *, above: float = 0.8) -> DataFrame:

@@ -3,6 +3,7 @@
 from taskatlas.plans import (  # noqa: F401
     catalog_ensemble,
     catalog_exposure,
+    catalog_runs,
     catalog_sources,
     catalog_streaming,
     catalog_text,

@@ -210,11 +210,11 @@ def _(spark, sf):
 def _flow_parts(spark, sf):
     """Stored match counts with their top occupations and tasks.
 
-    The counts are used several times under different filters, so they are written once.
+    Each is used several times, under different filters, so each is written once.
     """
     counts = stored(importance(spark, sf), "flow-counts")
-    top = flows.top_occupations(counts, FIRST_YEAR, TOP_OCCUPATIONS)
-    return counts, top, flows.top_tasks(counts, top, FIRST_YEAR, TOP_TASKS)
+    top = stored(flows.top_occupations(counts, FIRST_YEAR, TOP_OCCUPATIONS), "flow-occupations")
+    return counts, top, stored(flows.top_tasks(counts, top, FIRST_YEAR, TOP_TASKS), "flow-tasks")
 
 
 @query("w3_top_tasks", with_sql(FLOW_SQL, "SELECT ai_category, task, task_rank, round(total_contribution, 6) AS total_contribution FROM top_task"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taskatlas.plans.catalog_vectors import TEXT_LABELS_SQL, definition_vectors, label_documents
+from taskatlas.plans.catalog_vectors import TEXT_LABELS_SQL, definition_vectors
 from taskatlas.plans.registry import query
+from taskatlas.plans.runs import label_run
 from taskatlas.plans.views import table, with_sql
 from taskatlas.sources.storage import scratch_dir
 from taskatlas.streaming import incremental
@@ -34,7 +35,7 @@ def _(spark, sf):
     out, state = scratch_dir(spark, "labels"), scratch_dir(spark, "labels-state")
 
     def label(docs):
-        done = label_documents(_documents_of(docs), categories)
+        done = label_run(_documents_of(docs), categories)
         return done.select("application_id", "category", F.round("confidence", 6).alias("confidence"))
 
     incremental.label_stream(_stream(spark, sf, "documents"), label, out, state)

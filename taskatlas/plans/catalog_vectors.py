@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taskatlas.functions.text import combine_text, is_blank
 from taskatlas.functions.vectors import METRICS, metric, normalise
 from taskatlas.operators import classify, embedding, filters, similarity
 from taskatlas.operators.exposure import task_matches
@@ -12,6 +11,7 @@ from taskatlas.operators.joins import spread_join
 from taskatlas.operators.reports import match_quality, similarity_distribution
 from taskatlas.plans.catalog_text import COMBINED_SQL, clean_sql
 from taskatlas.plans.registry import query
+from taskatlas.plans.runs import label_run
 from taskatlas.plans.views import (
     DOC_CATEGORIES,
     DOC_YEARS,
@@ -418,13 +418,6 @@ def definition_vectors(spark):
     return classify.category_vectors(defined)
 
 
-def label_documents(docs, categories):
-    """Combine, encode and classify documents; row-local, so it also runs on a stream."""
-    text = combine_text(F.col("application_title"), F.col("application_abstract"))
-    encoded = embedding.encode_text(docs.withColumn("combined", text), "combined", width=WIDTH)
-    return classify.classify(encoded, categories, blank=is_blank(F.col("combined")))
-
-
 TEXT_LABELS_SQL = (
     DOCS_SQL + f", {_definitions_sql()}, "
     + f"texts AS (SELECT application_id, {COMBINED_SQL} AS combined FROM docs), "
@@ -447,7 +440,7 @@ text_labels AS (
     with_sql(TEXT_LABELS_SQL, f"SELECT application_id, category, round(confidence, {ROUND}) AS confidence FROM text_labels"),
 )
 def _(spark, sf):
-    done = label_documents(documents(spark, sf), definition_vectors(spark))
+    done = label_run(documents(spark, sf), definition_vectors(spark))
     return done.select("application_id", "category", F.round("confidence", ROUND).alias("confidence"))
 
 
