@@ -40,10 +40,12 @@ def encode_text(df: DataFrame, text_col: str, out: str = "vec", *, width: int =
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
         rows = len(texts)
-        words = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+        # Trimmed first: the splitter may keep white space at the very end of its buffer.
+        trimmed = pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+        words = pc.utf8_split_whitespace(trimmed)
         coded = words.flatten().dictionary_encode()
         vocabulary = coded.dictionary.to_pylist()
-        # An empty word comes from white space at an end; it counts in an extra column.
+        # A blank text has one empty word; it counts in an extra column.
         buckets = np.array([token_bucket(w, width) if w else width for w in vocabulary], dtype=np.int64)
         cells = pc.list_parent_indices(words).to_numpy() * (width + 1)
         if len(cells):

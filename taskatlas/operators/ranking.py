@@ -19,7 +19,7 @@ def number_rows(df: DataFrame, order_col: str, name: str, *, buckets: int = 256)
     """
     shares = [i / buckets for i in range(1, buckets)]
     number = F.col(order_col).cast("double")
-    cuts = df.agg(F.percentile_approx(number, shares, F.lit(20 * buckets)).alias("c")).first()["c"] or []
+    cuts = df.agg(F.percentile_approx(number, shares, F.lit(20 * buckets)).alias("c")).first()["c"] or [0.0]
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="__number", outputCol="__bucket")
     placed = cutter.transform(df.withColumn("__number", number)).drop("__number")

@@ -14,7 +14,8 @@ from taskatlas.operators.dedup import concat_results, drop_identical
 from taskatlas.operators.reshape import year_columns, years_to_long
 
 # Quotes are doubled inside quoted fields, and text may hold line breaks. A
-# multi-line file is read by one task, so the writers below bound file sizes.
+# multi-line file is read by one task, so the writers bound file sizes. An empty
+# field is null.
 CSV_READ = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 NAME_PREFIX = "name="
 
