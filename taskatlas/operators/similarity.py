@@ -13,14 +13,15 @@ Two physical ways, chosen by the measured size of the query side:
   inequality on angles; both sides are packed into blocks of bounded size and
   joined on (cell, lane), where the lanes split hot cells.
 
-Pairs are never emitted: a block product is reduced to hits, counts or its
-local top-k before rows leave it.
+Scores never leave a task as pairs: block products are reduced to hits, running
+counts or a running top-k, whose state has a fixed limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from taskatlas.functions.vectors import MATCH_NORM_OFFSET, SCORE_DIGITS
 from taskatlas.operators.ranking import top_per_group
+from taskatlas.sources.storage import stored
 
 RESIDENT_BYTES = 64 << 20
-BLOCK_BYTES = 256 << 10
+BLOCK_BYTES = 1 << 20
 PRODUCT_CELLS = 4 << 20
+STATE_CELLS = 16 << 20
+OUT_ROWS = 50_000
 LANES = 16
 PIVOTS = 64
 ANGLE_SLACK = 1e-6
@@ -88,37 +92,106 @@ def best_cells(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
 
 
-# ------------------------------------------------------------------ reductions
+# ------------------------------------------------------------------ collectors
 #
-# A reduction turns a block of scores into rows. It gets the query ids, the
-# document ids (ascending) and the score matrix, and returns columns.
-
-Reduction = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
-
-
-def _hits(threshold: float) -> Reduction:
-    def reduce(qids, ids, sims):
-        q, d = np.nonzero(sims >= threshold)
-        return qids[q], ids[d], sims[q, d]
-
-    return reduce
-
-
-def _count(threshold: float) -> Reduction:
-    def reduce(qids, ids, sims):
-        found = (sims >= threshold).sum(axis=1)
-        q = np.nonzero(found)[0]
-        return qids[q], found[q].astype(np.int64)
-
-    return reduce
-
-
-def _local_top(k: int) -> Reduction:
-    def reduce(qids, ids, sims):
-        q, d = best_cells(sims, k)
-        return qids[q], ids[d], sims[q, d]
-
-    return reduce
+# A collector reduces the scores of one set of queries as document blocks go by:
+# ``add`` takes a group's key values, the block's document ids (ascending) and its
+# score matrix, ``finish`` hands over what is left. Both yield
+# ``(key values, column, column, ...)``, the first column being the query id.
+
+
+class Hits:
+    """Pairs at or above a threshold, handed over block by block."""
+
+    def __init__(self, qids: np.ndarray, threshold: float):
+        self.qids, self.threshold = qids, threshold
+
+    def add(self, values, ids, sims):
+        q, d = np.nonzero(sims >= self.threshold)
+        if len(q):
+            yield values, self.qids[q], ids[d], sims[q, d]
+
+    def finish(self):
+        return iter(())
+
+
+class Counts:
+    """Documents at or above a threshold, one running count per query and group."""
+
+    def __init__(self, qids: np.ndarray, threshold: float):
+        self.qids, self.threshold = qids, threshold
+        self.groups: dict[tuple, np.ndarray] = {}
+
+    def add(self, values, ids, sims):
+        found = (sims >= self.threshold).sum(axis=1)
+        held = self.groups.get(values)
+        if held is not None:
+            held += found
+            return
+        if (len(self.groups) + 1) * len(self.qids) > STATE_CELLS:
+            yield from self.finish()
+        self.groups[values] = found.astype(np.int64)
+
+    def finish(self):
+        for values, found in self.groups.items():
+            q = np.nonzero(found)[0]
+            if len(q):
+                yield values, self.qids[q], found[q]
+        self.groups = {}
+
+
+class LocalTop:
+    """The k best documents seen so far per query and group; equal scores go to the smaller id."""
+
+    def __init__(self, qids: np.ndarray, k: int):
+        self.qids, self.k = qids, k
+        self.groups: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, values, ids, sims):
+        held = self.groups.get(values)
+        if held is None:
+            if (len(self.groups) + 1) * len(self.qids) * self.k > STATE_CELLS:
+                yield from self.finish()
+            held = self._empty(ids)
+            self.groups[values] = held
+        best, names = held
+        # Only queries with a score that can enter their list are merged.
+        rows = np.nonzero((sims >= best[:, -1:]).any(axis=1))[0]
+        if not len(rows):
+            return
+        new, columns = self._top(sims[rows], np.broadcast_to(np.arange(len(ids)), (len(rows), len(ids))))
+        score = np.concatenate([best[rows], new], axis=1)
+        name = np.concatenate([names[rows], ids[columns]], axis=1)
+        best[rows], names[rows] = self._sorted(score, name, self.k)
+
+    def _empty(self, ids):
+        shape = (len(self.qids), self.k)
+        return np.full(shape, -np.inf), np.full(shape, ids[0], dtype=ids.dtype)
+
+    def _top(self, sims, columns):
+        """k best columns of each row; columns are in id order, so ties keep the left ones."""
+        if sims.shape[1] <= self.k:
+            return sims, columns
+        rows, picked = best_cells(sims, self.k)
+        picked = picked.reshape(len(sims), self.k)
+        return np.take_along_axis(sims, picked, axis=1), picked
+
+    @staticmethod
+    def _sorted(score, name, k):
+        by_name = np.argsort(name, axis=1, kind="stable")
+        score, name = np.take_along_axis(score, by_name, axis=1), np.take_along_axis(name, by_name, axis=1)
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(score, order, axis=1), np.take_along_axis(name, order, axis=1)
+
+    def finish(self):
+        for values, (best, names) in self.groups.items():
+            q, at = np.nonzero(best > -np.inf)
+            if len(q):
+                yield values, self.qids[q], names[q, at], best[q, at]
+        self.groups = {}
+
+
+Collector = Callable[[np.ndarray], "Hits | Counts | LocalTop"]
 
 
 # ------------------------------------------------------------- shared machinery
@@ -158,7 +231,17 @@ def _group_runs(table: pa.Table, keys: Sequence[str]) -> Iterator[tuple[tuple, n
             yield tuple(table.column(k)[int(rows[0])].as_py() for k in keys), rows
 
 
-def _resident(queries: DataFrame, docs: DataFrame, keys: Sequence[str], reduction: Reduction, schema: T.StructType) -> DataFrame:
+def _rows(arrow: pa.Schema, found) -> Iterator[pa.RecordBatch]:
+    """Record batches of what a collector hands over."""
+    for values, first, *rest in found:
+        n = len(first)
+        for at in range(0, n, OUT_ROWS):
+            part = slice(at, at + OUT_ROWS)
+            size = min(OUT_ROWS, n - at)
+            yield _record(arrow, [first[part], *[[v] * size for v in values], *[c[part] for c in rest]])
+
+
+def _resident(queries: DataFrame, docs: DataFrame, keys: Sequence[str], collector: Collector, schema: T.StructType) -> DataFrame:
     """Stream documents past the broadcast query matrix."""
     table = queries.select("qid", "vec").toArrow()
     qids = table.column("qid").to_numpy()
@@ -167,6 +250,7 @@ def _resident(queries: DataFrame, docs: DataFrame, keys: Sequence[str], reductio
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, matrix = shared.value
+        kept = collector(qids)
         step = max(1, PRODUCT_CELLS // max(1, len(qids)))
         for batch in batches:
             if not batch.num_rows:
@@ -177,10 +261,8 @@ def _resident(queries: DataFrame, docs: DataFrame, keys: Sequence[str], reductio
             for values, rows in _group_runs(part, keys):
                 for at in range(0, len(rows), step):
                     take = rows[at : at + step]
-                    found = reduction(qids, ids[take], scores(matrix, vectors[take]))
-                    if len(found[0]):
-                        n = len(found[0])
-                        yield _record(arrow, [found[0], *[[v] * n for v in values], *found[1:]])
+                    yield from _rows(arrow, kept.add(values, ids[take], scores(matrix, vectors[take])))
+        yield from _rows(arrow, kept.finish())
 
     return docs.select("id", "vec", *keys).mapInArrow(run, schema)
 
@@ -194,9 +276,11 @@ def _pivot_matrix(docs: DataFrame, count: int) -> np.ndarray:
 def _leaf_matrix(docs: DataFrame, leaves: int, training_rows: int, seed: int) -> np.ndarray:
     """KMeans centres, trained on at most about ``training_rows`` rows."""
     total, _ = _measure(docs, "vec")
-    vectors = docs.select(array_to_vector("vec").alias("features"))
+    training = docs.select("vec")
     if total > training_rows:
-        vectors = vectors.sample(fraction=training_rows / total, seed=seed)
+        training = training.sample(fraction=training_rows / total, seed=seed)
+    # Training passes over the rows many times: the sample is written once.
+    vectors = stored(training, "leaf-training").select(array_to_vector("vec").alias("features"))
     model = KMeans(k=leaves, seed=seed, maxIter=20).fit(vectors)
     return unit_rows(np.array(model.clusterCenters()))
 
@@ -245,8 +329,8 @@ def _pack(df: DataFrame, id_col: str, group: Sequence[str], rows_per_block: int,
     return df.mapInArrow(run, schema)
 
 
-def _blocked(queries, docs, keys, reduction, schema, *, width, plan, pivots, cells_of) -> DataFrame:
-    """Join query blocks with document blocks on (cell, lane) and reduce each pair of blocks.
+def _blocked(queries, docs, keys, collector, schema, *, width, plan, pivots, cells_of) -> DataFrame:
+    """Join query blocks with document blocks on (cell, lane) and reduce the block products.
 
     ``cells_of`` maps a unit query matrix to a boolean (query, cell) matrix of
     the cells to visit.
@@ -288,17 +372,24 @@ def _blocked(queries, docs, keys, reduction, schema, *, width, plan, pivots, cel
     arrow = _arrow_schema(schema)
 
     def run(batches):
+        # The join yields the document blocks of one query block in a row, so one
+        # collector serves them all.
+        current, kept, q = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 qids = row.column("qids").flatten().to_numpy(zero_copy_only=False)
+                if current is None or not np.array_equal(qids, current):
+                    if kept is not None:
+                        yield from _rows(arrow, kept.finish())
+                    current, kept = qids.copy(), collector(qids.copy())
+                    q = unit_rows(row.column("q_block").flatten().to_numpy().reshape(len(qids), -1))
                 ids = row.column("ids").flatten().to_numpy(zero_copy_only=False)
-                q = unit_rows(row.column("q_block").flatten().to_numpy().reshape(len(qids), -1))
                 d = unit_rows(row.column("block").flatten().to_numpy().reshape(len(ids), -1))
-                found = reduction(qids, ids, scores(q, d))
-                n = len(found[0])
-                if n:
-                    yield _record(arrow, [found[0], *[[row.column(k)[0].as_py()] * n for k in keys], *found[1:]])
+                values = tuple(row.column(k)[0].as_py() for k in keys)
+                yield from _rows(arrow, kept.add(values, ids, scores(q, d)))
+        if kept is not None:
+            yield from _rows(arrow, kept.finish())
 
     return joined.select("qids", "q_block", "ids", "block", *keys).mapInArrow(run, schema)
 
@@ -347,14 +438,14 @@ def _clean(df: DataFrame) -> DataFrame:
     return df.filter(F.col("vec").isNotNull())
 
 
-def _run_threshold(queries, docs, keys, threshold, reduction, schema, plan) -> DataFrame:
+def _run_threshold(queries, docs, keys, threshold, collector, schema, plan) -> DataFrame:
     queries, docs = _clean(queries), _clean(docs)
     n, width = _measure(queries, "vec")
     if n * width * 8 <= plan.resident_bytes:
-        return _resident(queries, docs, keys, reduction, schema)
+        return _resident(queries, docs, keys, collector, schema)
     pivots = _pivot_matrix(docs, plan.pivots)
     cells = _within(_cell_reach(docs, pivots), threshold)
-    return _blocked(queries, docs, keys, reduction, schema, width=width, plan=plan, pivots=pivots, cells_of=cells)
+    return _blocked(queries, docs, keys, collector, schema, width=width, plan=plan, pivots=pivots, cells_of=cells)
 
 
 # -------------------------------------------------------------------- operators
@@ -363,7 +454,7 @@ def _run_threshold(queries, docs, keys, threshold, reduction, schema, plan) -> D
 def similar_pairs(queries: DataFrame, docs: DataFrame, *, threshold: float, keys: Sequence[str] = (), plan: Plan = Plan()) -> DataFrame:
     """Pairs with cosine similarity at or above the threshold: ``(qid, *keys, id, sim)``."""
     schema = _row_schema(queries, docs, keys, ("id", docs.schema["id"].dataType), ("sim", T.DoubleType()))
-    return _run_threshold(queries, docs, keys, threshold, _hits(threshold), schema, plan)
+    return _run_threshold(queries, docs, keys, threshold, partial(Hits, threshold=threshold), schema, plan)
 
 
 def match_counts(
@@ -381,9 +472,9 @@ def match_counts(
     and needs no sort. Groups without a match have no row.
     """
     schema = _row_schema(queries, docs, keys, ("n", T.LongType()))
-    partial = _run_threshold(queries, docs, keys, threshold, _count(threshold), schema, plan)
+    counted = _run_threshold(queries, docs, keys, threshold, partial(Counts, threshold=threshold), schema, plan)
     total = F.sum("n")
-    return partial.groupBy("qid", *keys).agg((total if k is None else F.least(F.lit(k).cast("long"), total)).alias("matches"))
+    return counted.groupBy("qid", *keys).agg((total if k is None else F.least(F.lit(k).cast("long"), total)).alias("matches"))
 
 
 def _ranked(local: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -398,13 +489,13 @@ def top_k(queries: DataFrame, docs: DataFrame, *, k: int, keys: Sequence[str] =
     queries, docs = _clean(queries), _clean(docs)
     schema = _row_schema(queries, docs, keys, ("id", docs.schema["id"].dataType), ("sim", T.DoubleType()))
     n, width = _measure(queries, "vec")
-    if n * width * 8 <= plan.resident_bytes:
-        local = _resident(queries, docs, keys, _local_top(k), schema)
+    if n * width * 8 <= plan.resident_bytes and n * k <= STATE_CELLS:
+        local = _resident(queries, docs, keys, partial(LocalTop, k=k), schema)
     else:
         pivots = _pivot_matrix(docs, plan.pivots)
         settings = dict(width=width, plan=plan, pivots=pivots)
         # The k-th score inside the nearest cell bounds the k-th score overall from below.
-        near = _ranked(_blocked(queries, docs, keys, _local_top(k), schema, cells_of=_nearest_cells(1), **settings), keys, k)
+        near = _ranked(_blocked(queries, docs, keys, partial(LocalTop, k=k), schema, cells_of=_nearest_cells(1), **settings), keys, k)
         per_group = near.groupBy("qid", *keys).agg(F.count("*").alias("n"), F.min("sim").alias("kth"))
         bound = per_group.groupBy("qid").agg(
             F.min(F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(-1.0))).alias("floor"),
@@ -415,7 +506,7 @@ def top_k(queries: DataFrame, docs: DataFrame, *, k: int, keys: Sequence[str] =
         floor = F.when(F.col("groups") == groups, F.col("floor")).otherwise(F.lit(-1.0))
         bounded = queries.join(bound.select("qid", floor.alias("floor")), "qid", "left").na.fill(-1.0, ["floor"])
         cells = _within(_cell_reach(docs, pivots), None)
-        local = _blocked(bounded, docs, keys, _local_top(k), schema, cells_of=cells, **settings)
+        local = _blocked(bounded, docs, keys, partial(LocalTop, k=k), schema, cells_of=cells, **settings)
     return _ranked(local, keys, k).select("qid", *keys, "rank", "id", "sim")
 
 
@@ -441,7 +532,7 @@ def approximate_top_k(
     _, width = _measure(queries, "vec")
     centres = _leaf_matrix(docs, leaves, training_rows, seed)
     local = _blocked(
-        queries, docs, keys, _local_top(k), schema,
+        queries, docs, keys, partial(LocalTop, k=k), schema,
         width=width, plan=plan, pivots=centres, cells_of=_nearest_cells(min(leaves_to_search, len(centres))),
     )
     return _ranked(local, keys, k).select("qid", *keys, "rank", "id", "sim")
