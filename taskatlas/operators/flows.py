@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskatlas.functions.text import category_title, shorten
-from taskatlas.operators.joins import add_totals
+from taskatlas.operators.joins import add_totals, spread_join
 from taskatlas.operators.ranking import top_per_group
 
 MIN_LINK = 0.01
@@ -60,10 +60,9 @@ def flow_links(
     over occupations; a task -> occupation link is one rating row, present only
     with its parent link.
     """
-    # Both lists are top-n results: n occupations, m tasks for each category.
-    kept = counts.join(F.broadcast(occupations.select("soc_code")), "soc_code", "left_semi").join(
-        F.broadcast(tasks.select("ai_category", "task")), ["ai_category", "task"], "left_semi"
-    )
+    # At most the n rows of top_occupations; the task list grows with the categories.
+    kept = counts.join(F.broadcast(occupations.select("soc_code")), "soc_code", "left_semi")
+    kept = spread_join(kept, tasks.select("ai_category", "task"), ["ai_category", "task"], "left_semi")
     rows = contributions(kept)
     if min_contribution is not None:
         rows = rows.filter(F.col("contribution") > min_contribution)

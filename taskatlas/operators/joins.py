@@ -15,7 +15,8 @@ def spread_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: s
 
     The key's fact rows are spread over ``salts`` shuffle keys and the lookup row
     is repeated for each of them. ``how`` is inner, left or left_semi. The planner
-    may still broadcast the lookup when it measures it as small.
+    may still broadcast the lookup when it measures it as small. Rows equal in every
+    column share a shuffle key; the adaptive skew join splits those.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError("the fact side must be kept whole or filtered: inner, left or left_semi")

@@ -42,7 +42,8 @@ PRODUCT_CELLS = 4 << 20
 STATE_CELLS = 16 << 20
 OUT_ROWS = 50_000
 LANES = 16
-PIVOTS = 64
+LANE_ROWS = 500_000
+PIVOTS, MAX_PIVOTS = 64, 4096
 ANGLE_SLACK = 1e-6
 
 
@@ -54,6 +55,7 @@ class Plan:
     block_bytes: int = BLOCK_BYTES
     pivots: int = PIVOTS
     lanes: int = LANES
+    lane_rows: int = LANE_ROWS
 
 
 # ---------------------------------------------------------------- numpy helpers
@@ -329,18 +331,18 @@ def _pack(df: DataFrame, id_col: str, group: Sequence[str], rows_per_block: int,
     return df.mapInArrow(run, schema)
 
 
-def _blocked(queries, docs, keys, collector, schema, *, width, plan, pivots, cells_of) -> DataFrame:
+def _blocked(queries, docs, keys, collector, schema, *, width, plan, cells, visit) -> DataFrame:
     """Join query blocks with document blocks on (cell, lane) and reduce the block products.
 
-    ``cells_of`` maps a unit query matrix to a boolean (query, cell) matrix of
-    the cells to visit.
+    ``visit`` maps a query batch and its pivot cosines to a boolean (query, cell)
+    matrix of the cells to visit.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(pivots)
+    shared = spark.sparkContext.broadcast(cells.pivots)
     rows_per_block = max(1, plan.block_bytes // (8 * max(1, width)))
 
     placed = _place(docs, "id", keys, shared)
-    lane = F.pmod(F.xxhash64("id"), F.lit(plan.lanes)).cast("int")
+    lane = F.pmod(F.xxhash64("id"), F.lit(cells.lanes)).cast("int")
     spread = placed.withColumn("lane", lane).repartition("cell", "lane").sortWithinPartitions("cell", *keys, "id")
     doc_blocks = _pack(spread.drop("near"), "id", ["cell", "lane", *keys], rows_per_block, ("ids", "block"))
 
@@ -352,23 +354,24 @@ def _blocked(queries, docs, keys, collector, schema, *, width, plan, pivots, cel
     def visits(batches):
         for batch in batches:
             matrix = matrix_of(batch.column("vec"))
-            rows, cells = np.nonzero(cells_of(batch, unit_rows(matrix) @ shared.value.T))
+            rows, to = np.nonzero(visit(batch, unit_rows(matrix) @ shared.value.T))
             step = max(1, PRODUCT_CELLS // max(1, matrix.shape[1]))
             for at in range(0, len(rows), step):
                 take = rows[at : at + step]
                 yield _record(
                     visit_arrow,
-                    [cells[at : at + step].astype(np.int32), batch.column("qid").take(pa.array(take)), list(matrix[take])],
+                    [to[at : at + step].astype(np.int32), batch.column("qid").take(pa.array(take)), list(matrix[take])],
                 )
 
     q_columns = ["qid", F.col("vec").cast("array<double>").alias("vec"), *[c for c in queries.columns if c not in ("qid", "vec")]]
     visiting = queries.select(*q_columns).mapInArrow(visits, visit_schema)
-    q_lane = F.pmod(F.xxhash64("qid"), F.lit(plan.lanes)).cast("int")
+    q_lane = F.pmod(F.xxhash64("qid"), F.lit(cells.lanes)).cast("int")
     visiting = visiting.withColumn("q_lane", q_lane).repartition("cell", "q_lane").sortWithinPartitions("cell", "qid")
     query_blocks = _pack(visiting, "qid", ["cell", "q_lane"], rows_per_block, ("qids", "q_block")).drop("q_lane")
-    query_blocks = query_blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(plan.lanes - 1))))
+    query_blocks = query_blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(cells.lanes - 1))))
 
-    joined = query_blocks.join(doc_blocks, ["cell", "lane"])
+    # A merge join streams the query blocks, which the collectors below rely on to stay small.
+    joined = query_blocks.join(doc_blocks.hint("merge"), ["cell", "lane"])
     arrow = _arrow_schema(schema)
 
     def run(batches):
@@ -394,14 +397,35 @@ def _blocked(queries, docs, keys, collector, schema, *, width, plan, pivots, cel
     return joined.select("qids", "q_block", "ids", "block", *keys).mapInArrow(run, schema)
 
 
-def _cell_reach(docs: DataFrame, pivots: np.ndarray) -> np.ndarray:
-    """Largest angle of a document to its pivot, per cell; a bounded driver read."""
+@dataclass(frozen=True)
+class Cells:
+    """Pivots, the largest angle of a document to its pivot per cell, and the lanes to use."""
+
+    pivots: np.ndarray
+    reach: np.ndarray
+    lanes: int
+
+
+def _survey(docs: DataFrame, pivots: np.ndarray, plan: Plan) -> Cells:
+    """Measure the cells in one pass; the driver reads one row per pivot.
+
+    The largest cell decides the number of lanes, so a cell with a third of all
+    documents is still cut into pieces of about ``lane_rows``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(pivots)
-    rows = _place(docs, "id", [], shared).groupBy("cell").agg(F.min("near").alias("near")).collect()
+    rows = _place(docs, "id", [], shared).groupBy("cell").agg(F.min("near").alias("near"), F.count("*").alias("n")).collect()
     reach = np.full(len(pivots), -np.inf)
     for row in rows:
         reach[row["cell"]] = np.arccos(np.clip(row["near"], -1.0, 1.0))
-    return reach
+    largest = max((row["n"] for row in rows), default=0)
+    return Cells(pivots, reach, max(plan.lanes, -(-largest // plan.lane_rows)))
+
+
+def _exact_cells(docs: DataFrame, plan: Plan) -> Cells:
+    """Cells around sampled pivots; their number grows with the square root of the documents."""
+    total, _ = _measure(docs, "vec")
+    count = min(MAX_PIVOTS, max(plan.pivots, int(total**0.5 / 8)))
+    return _survey(docs, _pivot_matrix(docs, count), plan)
 
 
 def _within(reach: np.ndarray, threshold: float | None) -> Callable:
@@ -443,9 +467,9 @@ def _run_threshold(queries, docs, keys, threshold, collector, schema, plan) -> D
     n, width = _measure(queries, "vec")
     if n * width * 8 <= plan.resident_bytes:
         return _resident(queries, docs, keys, collector, schema)
-    pivots = _pivot_matrix(docs, plan.pivots)
-    cells = _within(_cell_reach(docs, pivots), threshold)
-    return _blocked(queries, docs, keys, collector, schema, width=width, plan=plan, pivots=pivots, cells_of=cells)
+    cells = _exact_cells(docs, plan)
+    visit = _within(cells.reach, threshold)
+    return _blocked(queries, docs, keys, collector, schema, width=width, plan=plan, cells=cells, visit=visit)
 
 
 # -------------------------------------------------------------------- operators
@@ -492,10 +516,10 @@ def top_k(queries: DataFrame, docs: DataFrame, *, k: int, keys: Sequence[str] =
     if n * width * 8 <= plan.resident_bytes and n * k <= STATE_CELLS:
         local = _resident(queries, docs, keys, partial(LocalTop, k=k), schema)
     else:
-        pivots = _pivot_matrix(docs, plan.pivots)
-        settings = dict(width=width, plan=plan, pivots=pivots)
+        cells = _exact_cells(docs, plan)
+        settings = dict(width=width, plan=plan, cells=cells)
         # The k-th score inside the nearest cell bounds the k-th score overall from below.
-        near = _ranked(_blocked(queries, docs, keys, partial(LocalTop, k=k), schema, cells_of=_nearest_cells(1), **settings), keys, k)
+        near = _ranked(_blocked(queries, docs, keys, partial(LocalTop, k=k), schema, visit=_nearest_cells(1), **settings), keys, k)
         per_group = near.groupBy("qid", *keys).agg(F.count("*").alias("n"), F.min("sim").alias("kth"))
         bound = per_group.groupBy("qid").agg(
             F.min(F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(-1.0))).alias("floor"),
@@ -505,8 +529,8 @@ def top_k(queries: DataFrame, docs: DataFrame, *, k: int, keys: Sequence[str] =
         groups = docs.select(*keys).distinct().count() if keys else 1
         floor = F.when(F.col("groups") == groups, F.col("floor")).otherwise(F.lit(-1.0))
         bounded = queries.join(bound.select("qid", floor.alias("floor")), "qid", "left").na.fill(-1.0, ["floor"])
-        cells = _within(_cell_reach(docs, pivots), None)
-        local = _blocked(bounded, docs, keys, partial(LocalTop, k=k), schema, cells_of=cells, **settings)
+        visit = _within(cells.reach, None)
+        local = _blocked(bounded, docs, keys, partial(LocalTop, k=k), schema, visit=visit, **settings)
     return _ranked(local, keys, k).select("qid", *keys, "rank", "id", "sim")
 
 
@@ -530,10 +554,10 @@ def approximate_top_k(
     queries, docs = _clean(queries), _clean(docs)
     schema = _row_schema(queries, docs, keys, ("id", docs.schema["id"].dataType), ("sim", T.DoubleType()))
     _, width = _measure(queries, "vec")
-    centres = _leaf_matrix(docs, leaves, training_rows, seed)
+    cells = _survey(docs, _leaf_matrix(docs, leaves, training_rows, seed), plan)
     local = _blocked(
         queries, docs, keys, partial(LocalTop, k=k), schema,
-        width=width, plan=plan, pivots=centres, cells_of=_nearest_cells(min(leaves_to_search, len(centres))),
+        width=width, plan=plan, cells=cells, visit=_nearest_cells(min(leaves_to_search, len(cells.pivots))),
     )
     return _ranked(local, keys, k).select("qid", *keys, "rank", "id", "sim")
 

@@ -6,7 +6,7 @@ from taskatlas.functions import vectors as vx
 from taskatlas.operators import classify, embedding, similarity
 from taskatlas.operators.similarity import Plan
 
-BLOCKED = Plan(resident_bytes=0, pivots=5, lanes=3, block_bytes=8 * 6 * 7)
+BLOCKED = Plan(resident_bytes=0, pivots=5, lanes=2, block_bytes=8 * 6 * 7, lane_rows=9)
 
 
 def frame(spark, matrix, name, groups=None):
@@ -178,3 +178,34 @@ def test_validation(spark):
     rows = {r["category"]: r for r in classify.validation(df, "t", "p").collect()}
     assert (rows["a"]["precision"], rows["a"]["recall"], rows["a"]["support"]) == (1.0, 0.5, 2)
     assert rows["b"]["precision"] == pytest.approx(0.666667) and rows["b"]["accuracy"] == 0.75
+
+
+def collected(collector, blocks):
+    rows = []
+    for values, ids, sims in blocks:
+        rows += list(collector.add(values, ids, sims))
+    rows += list(collector.finish())
+    return rows
+
+
+def test_running_state_is_bounded(monkeypatch):
+    """With room for one group only, groups are handed over early and nothing is lost."""
+    monkeypatch.setattr(similarity, "STATE_CELLS", 8)
+    rng = np.random.default_rng(2)
+    qids = np.array([10, 11, 12, 13])
+    blocks = [((g,), np.sort(rng.choice(1000, 5, replace=False)), np.round(rng.random((4, 5)), 1)) for g in (0, 1, 0, 1, 1)]
+    found = {}
+    for (g,), q, n in collected(similarity.Counts(qids, 0.5), blocks):
+        for a, b in zip(q, n):
+            found[(g, a)] = found.get((g, a), 0) + b
+    want = {(g, q): sum((s[i] >= 0.5).sum() for (h,), _, s in blocks if h == g) for g in (0, 1) for i, q in enumerate(qids)}
+    assert found == {key: n for key, n in want.items() if n}
+    for k in (1, 2, 9):
+        top = {}
+        for (g,), q, ids, sims in collected(similarity.LocalTop(qids, k), blocks):
+            for a, i, s in zip(q, ids, sims):
+                top.setdefault((g, a), []).append((-s, i))
+        for g in (0, 1):
+            for i, q in enumerate(qids):
+                every = sorted((-s[i][j], ids[j]) for (h,), ids, s in blocks if h == g for j in range(5))
+                assert sorted(top[(g, q)])[:k] == every[:k]
