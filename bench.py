@@ -14,7 +14,7 @@ HEADLINE = (
     "c3_vote", "c3_vote_long", "a21_pair_agreement", "f8_similar_pairs", "v12_top_k", "v12_top_k_blocked", "v13_approximate_top_k",
     "a5_similarity_distribution", "a7_match_counts", "a10_exposure", "a11_exposure_wide", "a13_top_occupations", "a14_growth",
     "w1_contributions", "w4_flow_links", "q5_quadrants", "q6_outliers", "q11_top_priority", "r1_wide_to_long",
-    "s4_category_results", "i1_label_stream", "i3_running_totals",
+    "s4_category_results", "i1_label_stream", "i3_running_totals", "run_neighbours_by_year", "run_exposure",
 )
 
 

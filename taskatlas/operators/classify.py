@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from taskatlas.functions.text import MISSING
 from taskatlas.functions.vectors import NORM_FLOOR, SCORE_DIGITS
+from taskatlas.operators.embedding import evaluated_once
 from taskatlas.operators.similarity import matrix_of
 
 MAX_CATEGORIES = 4096
@@ -88,7 +89,7 @@ def nearest_category(vec: Column, categories: CategoryVectors) -> Column:
         label = names.take(pa.array(at, mask=~present))
         return pa.StructArray.from_arrays([label, pa.array(score, mask=~present)], ["category", "confidence"])
 
-    return run(vec)
+    return evaluated_once(run)(vec)
 
 
 def classify(docs: DataFrame, categories: CategoryVectors, *, vec_col: str = "vec", blank: Column | None = None) -> DataFrame:
@@ -152,7 +153,7 @@ def classify_models(
         )
         return pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * count, flat)
 
-    return docs.filter(F.col(vec_col).isNotNull()).withColumn("predictions", run(F.col(vec_col)))
+    return docs.filter(F.col(vec_col).isNotNull()).withColumn("predictions", evaluated_once(run)(F.col(vec_col)))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

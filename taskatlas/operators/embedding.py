@@ -28,6 +28,15 @@ def token_bucket(token: str, width: int) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % width
 
 
+def evaluated_once(udf):
+    """Keep the optimiser from copying a costly function into each use of its result.
+
+    A filter on the result then stays above it: filters on other columns belong
+    before the call.
+    """
+    return udf.asNondeterministic()
+
+
 def encode_text(df: DataFrame, text_col: str, out: str = "vec", *, width: int = 64) -> DataFrame:
     """Hashed bag of words as a unit vector; blank text gives a zero vector.
 
@@ -55,7 +64,7 @@ def encode_text(df: DataFrame, text_col: str, out: str = "vec", *, width: int =
         unit = counts / np.where(norms == 0, 1.0, norms)
         return pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * width, unit.ravel())
 
-    return df.withColumn(out, run(F.col(text_col)))
+    return df.withColumn(out, evaluated_once(run)(F.col(text_col)))
 
 
 def encode_with(
@@ -89,7 +98,7 @@ def encode_with(
                 matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), NORM_FLOOR)
             yield pd.Series(list(matrix))
 
-    return df.withColumn(out, run(F.col(text_col)))
+    return df.withColumn(out, evaluated_once(run)(F.col(text_col)))
 
 
 def pool_tokens(token_rows: DataFrame, id_col: str = "doc_id", *, how: str = "mean") -> DataFrame:

@@ -194,11 +194,11 @@ links AS (
 
 @query(
     "w1_contributions",
-    with_sql(COUNTS_SQL + ", " + _CONTRIBUTION_SQL, "SELECT soc_code, task, ai_category, year, matches, round(contribution, 10) AS contribution FROM share"),
+    with_sql(COUNTS_SQL + ", " + _CONTRIBUTION_SQL, "SELECT soc_code, task, ai_category, year, matches, round(contribution, 12) AS contribution FROM share"),
 )
 def _(spark, sf):
     rows = flows.contributions(importance(spark, sf))
-    return rows.select("soc_code", "task", "ai_category", "year", "matches", F.round("contribution", 10).alias("contribution"))
+    return rows.select("soc_code", "task", "ai_category", "year", "matches", F.round("contribution", 12).alias("contribution"))
 
 
 @query("w2_top_occupations", with_sql(FLOW_SQL, "SELECT soc_code, title, round(total_contribution, 6) AS total_contribution FROM top_occ"))
@@ -222,9 +222,9 @@ def _(spark, sf):
     return _flow_parts(spark, sf)[2].withColumn("total_contribution", F.round("total_contribution", 6))
 
 
-@query("w4_flow_links", with_sql(LINKS_SQL, "SELECT year, kind, ai_category, task, soc_code, round(value, 10) AS value FROM links"))
+@query("w4_flow_links", with_sql(LINKS_SQL, "SELECT year, kind, ai_category, task, soc_code, round(value, 12) AS value FROM links"))
 def _(spark, sf):
-    return flows.flow_links(*_flow_parts(spark, sf)).withColumn("value", F.round("value", 10))
+    return flows.flow_links(*_flow_parts(spark, sf)).withColumn("value", F.round("value", 12))
 
 
 @query(
@@ -244,10 +244,10 @@ def _(spark, sf):
     "w6_flow_links_min",
     with_sql(LINKS_SQL.replace("FROM weights GROUP BY ALL", "FROM weights WHERE contribution > 0.5 GROUP BY ALL")
              .replace("WHERE round(w.contribution, 9) > 0.01", "WHERE w.contribution > 0.5"),
-             "SELECT year, kind, ai_category, task, soc_code, round(value, 10) AS value FROM links"),
+             "SELECT year, kind, ai_category, task, soc_code, round(value, 12) AS value FROM links"),
 )
 def _(spark, sf):
-    return flows.flow_links(*_flow_parts(spark, sf), min_contribution=0.5).withColumn("value", F.round("value", 10))
+    return flows.flow_links(*_flow_parts(spark, sf), min_contribution=0.5).withColumn("value", F.round("value", 12))
 
 
 @query("j4_top_members", with_sql(FLOW_SQL, "SELECT soc_code, task, ai_category, year, matches FROM imp WHERE soc_code IN (SELECT soc_code FROM top_occ)"))

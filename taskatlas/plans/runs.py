@@ -37,19 +37,29 @@ def document_text(docs: DataFrame) -> DataFrame:
 
 
 def label_run(
-    docs: DataFrame, categories: CategoryVectors, *, encode: Encoder = hashed_words, start_year: int | None = None, done: DataFrame | None = None
+    docs: DataFrame,
+    categories: CategoryVectors,
+    *,
+    encode: Encoder = hashed_words,
+    start_year: int | None = None,
+    done: DataFrame | None = None,
+    keep_vectors: bool = False,
 ) -> DataFrame:
     """Label documents; those in ``done`` (id, category, confidence) keep their label.
 
     Without ``done`` everything is row-local, so the run also works on a stream.
+    ``keep_vectors`` leaves the column ``vec`` for a following match.
     """
+    if keep_vectors and done is not None:
+        raise ValueError("labels made earlier have no vectors")
     if start_year is not None:
         docs = from_year(docs, start_year)
     todo = docs
     if done is not None:
         done = done.filter(F.col("category").isNotNull())
         todo = remaining(docs, done, "application_id")
-    labelled = classify(encode(document_text(todo), "combined"), categories, blank=is_blank(F.col("combined"))).drop("combined", "vec")
+    labelled = classify(encode(document_text(todo), "combined"), categories, blank=is_blank(F.col("combined")))
+    labelled = labelled.drop("combined") if keep_vectors else labelled.drop("combined", "vec")
     if done is None:
         return labelled
     kept = docs.join(done.select("application_id", "category", "confidence"), "application_id")
@@ -110,9 +120,13 @@ def match_run(
     encode: Encoder = hashed_words,
     plan: Plan = Plan(),
 ) -> DataFrame:
-    """Match counts of every rating row per category and year, zeros included."""
+    """Match counts of every rating row per category and year, zeros included.
+
+    Documents are encoded unless they carry the column ``vec``.
+    """
     kept = labelled.filter(valid_category(F.col("category")) & F.col("category").isin(*categories) & F.col("year").isin(*years))
-    side = encode(document_text(kept), "combined").select(F.col("application_id").alias("id"), "vec", "category", "year")
+    encoded = kept if "vec" in kept.columns else encode(document_text(kept), "combined")
+    side = encoded.select(F.col("application_id").alias("id"), "vec", "category", "year")
     counts = match_counts(task_vectors(ratings, encode), side, threshold=threshold, k=k, plan=plan)
     return task_matches(ratings, counts.withColumnRenamed("qid", "task"), categories, years)
 
