@@ -78,8 +78,3 @@ def normalise(vec: Column, *, zero_rule: str = "clip") -> Column:
     else:
         raise ValueError(f"unknown zero rule {zero_rule!r}")
     return F.transform(vec, lambda x: F.try_divide(x, by))
-
-
-def zero_if_blank(vec: Column, blank: Column, width: int) -> Column:
-    """A zero vector of the right width where the text is blank."""
-    return F.when(blank, F.array_repeat(F.lit(0.0), width)).otherwise(vec)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskatlas.functions.text import is_blank
@@ -173,8 +173,3 @@ def reduce_dimensions(df: DataFrame, id_col: str, vec_col: str = "vec", *, n_com
 def blank_to_zero(df: DataFrame, text_col: str, vec_col: str, width: int) -> DataFrame:
     zero = F.array_repeat(F.lit(0.0), width)
     return df.withColumn(vec_col, F.when(is_blank(F.col(text_col)), zero).otherwise(F.col(vec_col)))
-
-
-def models_by_slice(vec: Column, slices: Sequence[tuple[int, int]]) -> Column:
-    """Array of sub-vectors ``vec[lo:hi]``, one per model."""
-    return F.array(*[F.slice(vec, lo + 1, hi - lo) for lo, hi in slices])

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskatlas.functions.text import clean_text
 from taskatlas.operators.filters import importance_only, task_contains
 from taskatlas.operators.joins import fan_out_counts
 from taskatlas.operators.ranking import top_per_group
@@ -146,7 +145,3 @@ def task_across_categories(counts: DataFrame, pattern: str, categories: Sequence
     """Matches of the tasks that fit a pattern, one column per category."""
     found = task_contains(counts, pattern)
     return long_to_wide(found, ["task", "title", "year"], "ai_category", categories, F.sum("matches"))
-
-
-def clean_ratings(ratings: DataFrame) -> DataFrame:
-    return ratings.withColumn("task", clean_text(F.col("task")))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taskatlas.operators.classify import CATEGORIES
-from taskatlas.plans.catalog_text import COMBINED_SQL
 from taskatlas.plans.catalog_vectors import TEXT_LABELS_SQL, definition_vectors, encode_sql
 from taskatlas.plans.registry import query
 from taskatlas.plans.runs import attach_neighbours, ensemble_run, exposure_run, label_run, neighbours_by_year

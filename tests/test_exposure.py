@@ -73,7 +73,7 @@ def test_task_matches_fills_zeros_and_fans_out(spark):
     assert {k: v for k, v in rows.items() if v} == {("s1", "c1", 2021): 7, ("s2", "c1", 2021): 7}
 
 
-def reference_links(pdf, occupations, tasks):
+def expected_links(pdf, occupations, tasks):
     """Flow links from plain group-by steps in pandas."""
     out = set()
     for (year, cat), df in pdf.groupby(["year", "ai_category"]):
@@ -99,7 +99,7 @@ def test_flows_match_pandas(spark):
     tasks = flows.top_tasks(df, top, 2021, 4)
     links = {tuple(r) for r in flows.flow_links(df, top, tasks).withColumn("value", F.round("value", 9)).collect()}
     by_cat = tasks.toPandas().groupby("ai_category")["task"].apply(list).to_dict()
-    assert links == reference_links(pd.DataFrame(rows, columns=df.columns), [r["soc_code"] for r in top.collect()], by_cat)
+    assert links == expected_links(pd.DataFrame(rows, columns=df.columns), [r["soc_code"] for r in top.collect()], by_cat)
     nodes = flows.flow_nodes(df, top, tasks).orderBy("node_id").collect()
     assert [n["node_id"] for n in nodes] == list(range(len(nodes)))
     assert [n["kind"] for n in nodes] == ["category"] * 2 + ["task"] * tasks.count() + ["occupation"] * 3
