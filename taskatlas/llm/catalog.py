@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskatlas.llm import inner_product
+from taskatlas.llm import contamination, inner_product, url_filter
 from taskatlas.plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,40 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 def _(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", inner_product.quantized(F.col("embedding")).alias("q"))
     return inner_product.top_products(vectors, "vec_id", "q", F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op3_judge_urls")
+def _(spark, sf):
+    return url_filter.judge_urls(table(spark, sf, "pages"), "page_id", "url", rules=url_filter.RULES)
+
+
+OP7_SQL = r"""
+WITH item AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS win, least(len(w), 10) AS size
+  FROM item, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0
+), doc AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), sizes AS (SELECT DISTINCT size FROM win),
+place AS (
+  SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM doc, sizes, unnest(range(1, len(w) - size + 2)) AS t(i)
+), hit AS (SELECT r, i, win.size, item_id FROM place JOIN win ON place.win = win.win AND place.size = win.size),
+word AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT r, i, size FROM hit)) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (r) LEFT JOIN ids USING (r)
+"""
+
+
+@query("op7_contamination", OP7_SQL)
+def _(spark, sf):
+    found = contamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
