@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskatlas.llm import contamination, inner_product, url_filter
+from taskatlas.llm import contamination, inner_product, notices, url_filter
 from taskatlas.plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,22 @@ def _(spark, sf):
     found = contamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+
+
+@query("op9_notices")
+def _(spark, sf):
+    """Labels of phrases and of notices found with errors; the score is the best similarity."""
+    found = notices.scan_notices(table(spark, sf, "documents"))
+    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
+    fuzzy = F.transform("notices", lambda n: n["label"])
+    best = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("notices", lambda n: n["similarity"])), F.lit(0.0)))
+    starts = F.transform("places", lambda p: p["word"])
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, fuzzy))), ",").alias("labels"),
+        F.round(best, 6).alias("score"),
+    )
