@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskatlas.llm import contamination, inner_product, notices, url_filter
+from taskatlas.llm import contamination, inner_product, language, notices, quality, url_filter
 from taskatlas.plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,18 @@ def _(spark, sf):
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, fuzzy))), ",").alias("labels"),
         F.round(best, 6).alias("score"),
     )
+
+
+@query("op5_language")
+def _(spark, sf):
+    documents = table(spark, sf, "documents")
+    labelled = documents.filter(~language.held_out()).select("doc_id", "text", F.col("lang").alias("label"))
+    found = language.identify_languages(documents, labelled)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_quality")
+def _(spark, sf):
+    """Grades: 0 poor, 1 fair writing that is toxic, 2 fair."""
+    ratings = table(spark, sf, "labels").select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("label"))
+    return quality.grade_documents(table(spark, sf, "documents"), ratings)
