@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskatlas.llm import contamination, inner_product, language, notices, quality, url_filter
+from taskatlas.llm import contamination, inner_product, language, notices, quality, toxicity, url_filter
 from taskatlas.plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,9 @@ def _(spark, sf):
     """Grades: 0 poor, 1 fair writing that is toxic, 2 fair."""
     ratings = table(spark, sf, "labels").select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("label"))
     return quality.grade_documents(table(spark, sf, "documents"), ratings)
+
+
+@query("op4_toxicity")
+def _(spark, sf):
+    labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.score_toxicity(table(spark, sf, "documents"), labels).drop("evidence")
