@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskatlas.llm import contamination, inner_product, language, notices, quality, toxicity, url_filter
+from taskatlas.llm import contamination, inner_product, language, notices, packing, quality, toxicity, url_filter
 from taskatlas.plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +126,8 @@ def _(spark, sf):
 def _(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
     return toxicity.score_toxicity(table(spark, sf, "documents"), labels).drop("evidence")
+
+
+@query("op8_pack")
+def _(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=2048)
