@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskatlas.llm import contamination, inner_product, language, notices, packing, quality, toxicity, url_filter
+from taskatlas.llm import contamination, inner_product, language, notices, packing, pseudonyms, quality, toxicity, url_filter
 from taskatlas.plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,16 @@ def _(spark, sf):
 @query("op8_pack")
 def _(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=2048)
+
+# The key of the example queries; a real run passes its own.
+EXAMPLE_KEY = "taskatlas example key"
+
+
+@query("op2_pseudonyms")
+def _(spark, sf):
+    """The new texts, how many values each kind had and the sorted pseudonyms."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    found = pseudonyms.private_values(F.col("text"))
+    rows = documents.select("doc_id", found.alias("found"), pseudonyms.pseudonymized(F.col("text"), EXAMPLE_KEY).alias("text"))
+    counts = [F.size(F.filter("found", pseudonyms.is_kind(k))).cast("long").alias(f"n_{k}") for k in pseudonyms.KINDS]
+    return rows.select("doc_id", "text", F.size("found").cast("long").alias("n_values"), *counts)
