@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskatlas.llm import contamination, inner_product, language, notices, packing, pseudonyms, quality, toxicity, url_filter
+from taskatlas.llm import contamination, inner_product, language, notices, packing, parity_join, pseudonyms, quality, toxicity, url_filter
 from taskatlas.plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,3 +144,25 @@ def _(spark, sf):
     rows = documents.select("doc_id", found.alias("found"), pseudonyms.pseudonymized(F.col("text"), EXAMPLE_KEY).alias("text"))
     counts = [F.size(F.filter("found", pseudonyms.is_kind(k))).cast("long").alias(f"n_{k}") for k in pseudonyms.KINDS]
     return rows.select("doc_id", "text", F.size("found").cast("long").alias("n_values"), *counts)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN len(w) || ' ' || array_to_string(w, ' ') ELSE '5 ' || array_to_string(w[i:i + 4], ' ') END AS s
+  FROM doc, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, least(doc.doc_id, coalesce(least_id, doc.doc_id)) AS component_id
+FROM doc LEFT JOIN n ON n.doc_id = doc.doc_id LEFT JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) r ON r.a = doc.doc_id
+"""
+
+
+@query("op6_components", OP6_SQL)
+def _(spark, sf):
+    return parity_join.jaccard_components(table(spark, sf, "documents"))
