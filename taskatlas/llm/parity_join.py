@@ -284,3 +284,20 @@ def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members with their component, which is themselves without a link."""
     placed = members.join(found.withColumnRenamed("node", "cls"), "cls", "left")
     return placed.withColumn("component", F.coalesce("component", "cls"))
+
+
+def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with all their columns, of each component the one with the smallest id.
+
+    Rows with a null id stay. Of rows that share an id those with equal texts are
+    reduced to one.
+    """
+    rows = stored(jaccard_components(documents, id_col=id_col, text_col=text_col, width=width, percent=percent), "parity-rows")
+    copies = rows.filter("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = documents.join(copies, id_col, "left_anti")
+    repeated = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(id_col))
+    repeated = stored(repeated, "parity-repeated")
+    if repeated.limit(1).count():
+        single = kept.join(repeated, id_col, "left_semi").withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).drop("__text")
+        kept = kept.join(repeated, id_col, "left_anti").unionByName(single)
+    return kept.select(*documents.columns)

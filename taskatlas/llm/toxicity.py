@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskatlas.llm.batches import score_texts
+from taskatlas.llm.batches import BATCH_ROWS, score_texts
 from taskatlas.llm.samples import fold, labelled_texts
 from taskatlas.llm.words import byte_words
 
@@ -157,20 +157,65 @@ def document_frequencies(documents: DataFrame, text_col: str, vocabulary: dict[b
     return int(found[-1]), found[:-1]
 
 
-def score_toxicity(
+class ToxicityModel:
+    """The index, its vocabulary and the calibrated curve; small and sent to every task."""
+
+    def __init__(self, vocabulary, idf, index, ids, marks, slope, offset, none_rate, k):
+        self.vocabulary, self.idf, self.index, self.ids, self.marks = vocabulary, idf, index, ids, marks
+        self.slope, self.offset, self.none_rate, self.k = slope, offset, none_rate, k
+
+    def judge(self, text: str | None) -> tuple[float, list[dict]]:
+        """Score of a whole text and the examples that voted."""
+        if self.index is None:
+            return self.none_rate, []
+        terms, weights = term_vector(byte_words(text), self.vocabulary, self.idf)
+        if not len(terms):
+            return self.none_rate, []
+        near, cosines = self.index.nearest(terms, weights, self.k)
+        share = vote(self.marks, near, cosines)
+        score = self.none_rate if np.isnan(share) else float(1.0 / (1.0 + np.exp(-(self.slope * share + self.offset))))
+        return score, [{"doc_id": int(self.ids[i]), "cosine": float(c), "label": int(self.marks[i])} for i, c in zip(near, cosines, strict=True)]
+
+
+def fit_toxicity(
     documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", examples_per_label: int = 1_500,
     folds: int = 5, k: int = 15, most_terms: int = 4_096, min_examples: int = 5, min_z: float = 2.0,
-) -> DataFrame:
+) -> ToxicityModel:
+    """Index up to ``examples_per_label`` labelled texts of each label and fit the curve.
+
+    Only ids whose crc32 is not divisible by ``folds`` are used. The words of the index
+    are those in at least ``min_examples`` examples whose share differs between the
+    labels (``min_z`` standard errors), ``most_terms`` at most. Document frequencies
+    are counted over all of ``documents``.
+    """
+    usable = labels.select(F.col(id_col).alias("doc_id"), F.col("label").cast("int").alias("label")).filter("label IN (0, 1)")
+    learn = usable.filter(fold(F.col("doc_id"), folds) != 0)
+    prior = float(learn.agg(F.avg("label")).first()[0] or 0.0)
+    sample = labelled_texts(documents, learn.select(F.col("doc_id").alias(id_col), "label"), examples_per_label, id_col=id_col, text_col=text_col)
+    ids, marks, counts = _example_counts(sample)
+    terms = index_terms(counts, marks, most_terms, min_examples, min_z) if 0 < marks.sum() < len(marks) else []
+    if not terms:
+        return ToxicityModel({}, np.zeros(0), None, ids, marks, 0.0, 0.0, prior, k)
+    vocabulary = {w: i for i, w in enumerate(terms)}
+    rows, seen = document_frequencies(documents, text_col, vocabulary)
+    idf = np.log((rows + 1.0) / (np.minimum(seen, rows) + 0.5))
+    vectors = [term_vector([w for w, n in c.items() for _ in range(n)], vocabulary, idf) for c in counts]
+    # Similar examples share blocks, so bounds are tight: by label, then by heaviest term.
+    heaviest = np.array([v[0][v[1].argmax()] if len(v[0]) else -1 for v in vectors])
+    order = np.lexsort((ids, heaviest, marks))
+    ids, marks, vectors = ids[order], marks[order], [vectors[i] for i in order]
+    index = BlockMaxIndex(vectors, len(terms))
+    own = np.array([vote(marks, *index.nearest(v[0], v[1], k, without=i)) for i, v in enumerate(vectors)])
+    return ToxicityModel(vocabulary, idf, index, ids, marks, *calibration(own, marks, prior), k)
+
+
+def score_toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, **options) -> DataFrame:
     """Per row: ``doc_id, held_out, score, predicted, evidence``.
 
-    ``labels`` has ``doc_id, label`` (0 or 1). Up to ``examples_per_label`` texts of
-    each label whose id has a crc32 not divisible by ``folds`` form the index; its
-    words are those in at least ``min_examples`` examples whose share differs between
-    the labels (``min_z`` standard errors). Document frequencies are counted over the
-    whole table. Each text is compared with all examples (exact, pruned by block
-    maxima); the ``k`` nearest vote by squared cosine and a curve fitted to
-    leave-one-out votes turns the vote into ``score``. ``evidence`` lists
-    ``(doc_id, cosine, label)`` of the voters.
+    ``labels`` has ``doc_id, label`` (0 or 1); ``options`` are those of ``fit_toxicity``.
+    Each text is compared with all examples (exact, pruned by block maxima); the
+    nearest vote by squared cosine and the curve fitted to leave-one-out votes turns
+    the vote into ``score``. ``evidence`` lists ``(doc_id, cosine, label)`` of the voters.
 
     A text that shares no word with the index, an empty or a null one has the
     calibrated rate of such examples and no evidence. Without examples of both labels
@@ -178,40 +223,24 @@ def score_toxicity(
     other columns are ignored, an empty table gives no rows. Runs jobs while the plan
     is built.
     """
-    usable = labels.select(F.col(id_col).alias("doc_id"), F.col("label").cast("int").alias("label")).filter("label IN (0, 1)")
-    learn = usable.filter(fold(F.col("doc_id"), folds) != 0)
-    prior = learn.agg(F.avg("label")).first()[0] or 0.0
-    sample = labelled_texts(documents, learn.select(F.col("doc_id").alias(id_col), "label"), examples_per_label, id_col=id_col, text_col=text_col)
-    ids, marks, counts = _example_counts(sample)
-    terms = index_terms(counts, marks, most_terms, min_examples, min_z) if 0 < marks.sum() < len(marks) else []
-    vocabulary = {w: i for i, w in enumerate(terms)}
-    if terms:
-        rows, seen = document_frequencies(documents, text_col, vocabulary)
-        idf = np.log((rows + 1.0) / (np.minimum(seen, rows) + 0.5))
-        vectors = [term_vector([w for w, n in c.items() for _ in range(n)], vocabulary, idf) for c in counts]
-        # Similar examples share blocks, so bounds are tight: by label, then by heaviest term.
-        heaviest = np.array([v[0][v[1].argmax()] if len(v[0]) else -1 for v in vectors])
-        order = np.lexsort((ids, heaviest, marks))
-        ids, marks, vectors = ids[order], marks[order], [vectors[i] for i in order]
-        index = BlockMaxIndex(vectors, len(terms))
-        own = np.array([vote(marks, *index.nearest(v[0], v[1], k, without=i)) for i, v in enumerate(vectors)])
-        slope, offset, none_rate = calibration(own, marks, prior)
-    else:
-        idf, index, slope, offset, none_rate = np.zeros(0), None, 0.0, 0.0, float(prior)
+    model = fit_toxicity(documents, labels, id_col=id_col, text_col=text_col, folds=folds, **options)
 
     def make():
-        def run(texts: list[str | None]) -> list[list]:
-            scores, evidence = [], []
-            for text in texts:
-                found = term_vector(byte_words(text), vocabulary, idf) if index else (np.empty(0, np.int64), None)
-                near, cosines = index.nearest(*found, k) if len(found[0]) else (np.empty(0, np.int64), np.empty(0))
-                share = vote(marks, near, cosines)
-                scores.append(none_rate if np.isnan(share) else float(1.0 / (1.0 + np.exp(-(slope * share + offset)))))
-                evidence.append([{"doc_id": int(ids[i]), "cosine": float(c), "label": int(marks[i])} for i, c in zip(near, cosines, strict=True)])
-            return [scores, evidence]
-
-        return run
+        return lambda texts: list(map(list, zip(*map(model.judge, texts), strict=True))) if texts else [[], []]
 
     scored = score_texts(documents, id_col, text_col, make, "score double, evidence array<struct<doc_id:long,cosine:double,label:int>>")
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame, *, text_col: str = "text", reject_from: float = 0.5, **options) -> DataFrame:
+    """The documents with all their columns whose score is below ``reject_from``; row-local."""
+    model = fit_toxicity(documents, labels, text_col=text_col, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                yield batch.filter(pa.array([model.judge(text.as_py())[0] < reject_from for text in batch[text_col]], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
