@@ -43,13 +43,10 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
 
 def entropy(text: Column) -> Column:
     """Bits per character; 0 for an empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    # Runs in the sorted characters: positions where a character starts.
-    ordered = F.array_sort(chars)
-    starts = F.filter(F.sequence(F.lit(0), F.size(ordered)), lambda i: (i == 0) | (i == F.size(ordered)) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-    counts = F.zip_with(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), starts, lambda b, a: (b - a).cast("double"))
-    bits = F.aggregate(counts, F.lit(0.0), lambda s, c: F.when(c > 0, s - c / n * F.log2(c / n)).otherwise(s))
+    n = F.length(text)
+    each = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    shares = F.transform(each, lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
+    bits = F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
     return F.when(n > 0, bits).otherwise(F.lit(0.0))
 
 
