@@ -139,8 +139,9 @@ def pack_documents(
     capacity, factors = np.array([max_tokens, max_documents, limit], dtype=float), np.array(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
+        held = list(batches)
+        if sum(b.num_rows for b in held):
+            table = pa.Table.from_batches(held)
             # The same pieces in any order of arrival are packed the same way.
             table = table.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("start", "ascending")])
             bins, offsets = best_fit(table["length"].to_numpy(), capacity, factors, rule)
