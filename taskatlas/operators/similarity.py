@@ -1,20 +1,22 @@
 """Similarity join of task vectors with document vectors.
 
 Both sides are ``(id, vec)`` tables; documents may carry grouping columns (a
-category, a year). Scores are exact unless ``leaves_to_search`` is given.
+category, a year). Scores are exact; ``approximate_top_k`` leaves out documents.
 
-Two physical ways, chosen by the measured size of the query side:
+Two physical ways with the same result, chosen by the measured size of the query
+side:
 
 * *resident*: the query matrix is below ``resident_bytes``. It is broadcast and
   documents stream past it where they lie; only counts or local top-k rows are
   shuffled.
-* *blocked*: any size. Documents and queries are assigned to cells around pivot
-  vectors. A query is sent only to cells that can hold a match by the triangle
-  inequality on angles; both sides are packed into blocks of bounded size and
-  joined on (cell, lane), where the lanes split hot cells.
+* *grid*: any size. Documents are dealt to ranges and queries to lanes by a hash of
+  their ids, both of bounded size. A query is copied once to each range, a document
+  once to each lane, and each (range, lane) pair is one group. No key of the data
+  decides where a row goes, so no group is hot.
 
 Scores never leave a task as pairs: block products are reduced to hits, running
-counts or a running top-k, whose state has a fixed limit.
+counts or a running top-k, whose state has a fixed limit. All operators that match
+run small jobs while the plan is built (sizes; the grid also stores its inputs).
 """
 
 from __future__ import annotations
@@ -37,14 +39,11 @@ from taskatlas.operators.ranking import top_per_group
 from taskatlas.sources.storage import stored
 
 RESIDENT_BYTES = 64 << 20
-BLOCK_BYTES = 1 << 20
 PRODUCT_CELLS = 4 << 20
 STATE_CELLS = 16 << 20
 OUT_ROWS = 50_000
-LANES = 16
-LANE_ROWS = 500_000
-PIVOTS, MAX_PIVOTS = 64, 4096
-ANGLE_SLACK = 1e-6
+RANGE_ROWS = 16_384
+LANE_ROWS = 2_048
 
 
 @dataclass(frozen=True)
@@ -52,9 +51,7 @@ class Plan:
     """Physical settings of a match; the defaults suit executors of a few GiB."""
 
     resident_bytes: int = RESIDENT_BYTES
-    block_bytes: int = BLOCK_BYTES
-    pivots: int = PIVOTS
-    lanes: int = LANES
+    range_rows: int = RANGE_ROWS
     lane_rows: int = LANE_ROWS
 
 
@@ -266,192 +263,91 @@ def _resident(queries: DataFrame, docs: DataFrame, keys: Sequence[str], collecto
                     yield from _rows(arrow, kept.add(values, ids[take], scores(matrix, vectors[take])))
         yield from _rows(arrow, kept.finish())
 
-    return docs.select("id", "vec", *keys).mapInArrow(run, schema)
+    rows = docs.select("id", "vec", *keys)
+    # Key by key inside a task, so that few groups are open at a time.
+    return (rows.sortWithinPartitions(*keys) if keys else rows).mapInArrow(run, schema)
 
 
-def _pivot_matrix(docs: DataFrame, count: int) -> np.ndarray:
-    """``count`` document vectors in hash order; a bounded driver read."""
-    table = docs.select("vec", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(count).toArrow()
-    return unit_rows(matrix_of(table.column("vec")))
+def _grid_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], collector: Collector, schema: T.StructType) -> DataFrame:
+    """Reduce the products of each (part, lane) group of queries and documents.
 
+    ``left`` has ``part, lane, qid, vec``, ``right`` ``part, lane, id, vec`` and the
+    keys. Documents are taken key by key, so few groups of keys are open at a time.
+    """
+    arrow = _arrow_schema(schema)
 
-def _leaf_matrix(docs: DataFrame, leaves: int, training_rows: int, seed: int) -> np.ndarray:
-    """KMeans centres, trained on at most about ``training_rows`` rows."""
-    total, _ = _measure(docs, "vec")
-    training = docs.select("vec")
-    if total > training_rows:
-        training = training.sample(fraction=training_rows / total, seed=seed)
-    # Training passes over the rows many times: the sample is written once.
-    vectors = stored(training, "leaf-training").select(array_to_vector("vec").alias("features"))
-    model = KMeans(k=leaves, seed=seed, maxIter=20).fit(vectors)
-    return unit_rows(np.array(model.clusterCenters()))
+    def match(queries: pa.Table, docs: pa.Table) -> pa.Table:
+        found = []
+        if queries.num_rows and docs.num_rows:
+            docs = docs.sort_by("id")
+            qids, matrix = queries.column("qid").combine_chunks(), unit_rows(matrix_of(queries.column("vec")))
+            ids, vectors = docs.column("id").to_numpy(), unit_rows(matrix_of(docs.column("vec")))
+            runs = list(_group_runs(docs, keys))
+            for low in range(0, len(matrix), LANE_ROWS):
+                kept = collector(qids.slice(low, LANE_ROWS).to_numpy(zero_copy_only=False))
+                part = matrix[low : low + LANE_ROWS]
+                step = max(1, PRODUCT_CELLS // len(part))
+                for values, rows in runs:
+                    for at in range(0, len(rows), step):
+                        take = rows[at : at + step]
+                        found += _rows(arrow, kept.add(values, ids[take], scores(part, vectors[take])))
+                found += _rows(arrow, kept.finish())
+        return pa.Table.from_batches(found, schema=arrow)
 
+    return left.groupBy("part", "lane").cogroup(right.groupBy("part", "lane")).applyInArrow(match, schema)
 
-def _place(df: DataFrame, id_col: str, keys: Sequence[str], pivots) -> DataFrame:
-    """Nearest pivot of each vector and the cosine to it."""
-    schema = T.StructType(
-        [_field(df, id_col), T.StructField("vec", T.ArrayType(T.DoubleType())), *[_field(df, k) for k in keys],
-         T.StructField("cell", T.IntegerType()), T.StructField("near", T.DoubleType())]
-    )
-    arrow = _arrow_schema(schema)
 
-    def run(batches):
-        for batch in batches:
-            sims = unit_rows(matrix_of(batch.column("vec"))) @ pivots.value.T
-            cell = sims.argmax(axis=1)
-            columns = [batch.column(id_col), batch.column("vec"), *[batch.column(k) for k in keys]]
-            yield _record(arrow, [*columns, cell.astype(np.int32), sims[np.arange(len(cell)), cell]])
+def _dealt(id_col: str, count: int):
+    return F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int")
 
-    return df.select(id_col, F.col("vec").cast("array<double>").alias("vec"), *keys).mapInArrow(run, schema)
 
+def _each(count: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-def _pack(df: DataFrame, id_col: str, group: Sequence[str], rows_per_block: int, names: tuple[str, str]) -> DataFrame:
-    """Pack vectors of equal ``group`` into rows of one block each.
 
-    Rows arrive clustered by group; a block never spans Arrow batches, so memory
-    stays bounded whatever the size of a group.
-    """
-    schema = T.StructType(
-        [*[_field(df, g) for g in group],
-         T.StructField(names[0], T.ArrayType(df.schema[id_col].dataType)),
-         T.StructField(names[1], T.ArrayType(T.DoubleType()))]
-    )
-    arrow = _arrow_schema(schema)
+def _sides(queries: DataFrame, docs: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both inputs stored once, as they are measured and read again."""
+    wide = F.col("vec").cast("array<double>").alias("vec")
+    return stored(queries.select("qid", wide), "match-queries"), stored(docs.select("id", wide, *keys), "match-documents")
 
-    def run(batches):
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            matrix = matrix_of(part.column("vec"))
-            for values, rows in _group_runs(part, group):
-                for at in range(0, len(rows), rows_per_block):
-                    take = rows[at : at + rows_per_block]
-                    ids = part.column(id_col).take(pa.array(take)).to_pylist()
-                    yield _record(arrow, [*[[v] for v in values], [ids], [matrix[take].ravel()]])
 
-    return df.mapInArrow(run, schema)
+def grid_shape(queries: int, docs: int, plan: Plan) -> tuple[int, int]:
+    """Document ranges and query lanes: a query is copied once per range, a document once per lane."""
+    return max(1, -(-docs // plan.range_rows)), max(1, -(-queries // plan.lane_rows))
 
 
-def _blocked(queries, docs, keys, collector, schema, *, width, plan, cells, visit) -> DataFrame:
-    """Join query blocks with document blocks on (cell, lane) and reduce the block products.
+def _grid(queries: DataFrame, docs: DataFrame, keys: Sequence[str], collector: Collector, schema: T.StructType, plan: Plan) -> DataFrame:
+    """All products of the two sides, in groups of at most about range_rows x lane_rows."""
+    queries, docs = _sides(queries, docs, keys)
+    ranges, lanes = grid_shape(queries.count(), docs.count(), plan)
+    left = queries.select(_dealt("qid", lanes).alias("lane"), "qid", "vec", _each(ranges).alias("part"))
+    right = docs.select(_dealt("id", ranges).alias("part"), "id", "vec", *keys, _each(lanes).alias("lane"))
+    return _grid_groups(left, right, keys, collector, schema)
 
-    ``visit`` maps a query batch and its pivot cosines to a boolean (query, cell)
-    matrix of the cells to visit.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(cells.pivots)
-    rows_per_block = max(1, plan.block_bytes // (8 * max(1, width)))
 
-    placed = _place(docs, "id", keys, shared)
-    lane = F.pmod(F.xxhash64("id"), F.lit(cells.lanes)).cast("int")
-    spread = placed.withColumn("lane", lane).repartition("cell", "lane").sortWithinPartitions("cell", *keys, "id")
-    doc_blocks = _pack(spread.drop("near"), "id", ["cell", "lane", *keys], rows_per_block, ("ids", "block"))
+def _leaf_matrix(docs: DataFrame, leaves: int, fraction: float, seed: int) -> np.ndarray:
+    """KMeans centres, trained on all rows or on the caller's ``fraction`` of them."""
+    training = docs.select("vec") if fraction >= 1 else docs.select("vec").sample(fraction=fraction, seed=seed)
+    model = KMeans(k=leaves, seed=seed, maxIter=20).fit(training.select(array_to_vector("vec").alias("features")))
+    return unit_rows(np.array(model.clusterCenters()))
 
-    visit_schema = T.StructType(
-        [T.StructField("cell", T.IntegerType()), _field(queries, "qid"), T.StructField("vec", T.ArrayType(T.DoubleType()))]
-    )
-    visit_arrow = _arrow_schema(visit_schema)
 
-    def visits(batches):
-        for batch in batches:
-            matrix = matrix_of(batch.column("vec"))
-            rows, to = np.nonzero(visit(batch, unit_rows(matrix) @ shared.value.T))
-            step = max(1, PRODUCT_CELLS // max(1, matrix.shape[1]))
-            for at in range(0, len(rows), step):
-                take = rows[at : at + step]
-                yield _record(
-                    visit_arrow,
-                    [to[at : at + step].astype(np.int32), batch.column("qid").take(pa.array(take)), list(matrix[take])],
-                )
-
-    q_columns = ["qid", F.col("vec").cast("array<double>").alias("vec"), *[c for c in queries.columns if c not in ("qid", "vec")]]
-    visiting = queries.select(*q_columns).mapInArrow(visits, visit_schema)
-    q_lane = F.pmod(F.xxhash64("qid"), F.lit(cells.lanes)).cast("int")
-    visiting = visiting.withColumn("q_lane", q_lane).repartition("cell", "q_lane").sortWithinPartitions("cell", "qid")
-    query_blocks = _pack(visiting, "qid", ["cell", "q_lane"], rows_per_block, ("qids", "q_block")).drop("q_lane")
-    query_blocks = query_blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(cells.lanes - 1))))
-
-    # A merge join streams the query blocks, which the collectors below rely on to stay small.
-    joined = query_blocks.join(doc_blocks.hint("merge"), ["cell", "lane"])
+def _nearest_leaves(df: DataFrame, id_col: str, keys: Sequence[str], centres: np.ndarray, count: int) -> DataFrame:
+    """The rows with ``leaves``, the numbers of the ``count`` nearest centres."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+    schema = T.StructType([_field(df, id_col), _field(df, "vec"), *[_field(df, k) for k in keys], T.StructField("leaves", T.ArrayType(T.IntegerType()))])
     arrow = _arrow_schema(schema)
 
     def run(batches):
-        # The join yields the document blocks of one query block in a row, so one
-        # collector serves them all.
-        current, kept, q = None, None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                qids = row.column("qids").flatten().to_numpy(zero_copy_only=False)
-                if current is None or not np.array_equal(qids, current):
-                    if kept is not None:
-                        yield from _rows(arrow, kept.finish())
-                    current, kept = qids.copy(), collector(qids.copy())
-                    q = unit_rows(row.column("q_block").flatten().to_numpy().reshape(len(qids), -1))
-                ids = row.column("ids").flatten().to_numpy(zero_copy_only=False)
-                d = unit_rows(row.column("block").flatten().to_numpy().reshape(len(ids), -1))
-                values = tuple(row.column(k)[0].as_py() for k in keys)
-                yield from _rows(arrow, kept.add(values, ids, scores(q, d)))
-        if kept is not None:
-            yield from _rows(arrow, kept.finish())
-
-    return joined.select("qids", "q_block", "ids", "block", *keys).mapInArrow(run, schema)
-
-
-@dataclass(frozen=True)
-class Cells:
-    """Pivots, the largest angle of a document to its pivot per cell, and the lanes to use."""
+            if batch.num_rows:
+                sims = unit_rows(matrix_of(batch.column("vec"))) @ shared.value.T
+                _, cols = best_cells(sims, count)
+                leaves = cols.reshape(len(sims), -1).astype(np.int32)
+                columns = [batch.column(id_col), batch.column("vec"), *[batch.column(k) for k in keys]]
+                yield _record(arrow, [*columns, list(leaves)])
 
-    pivots: np.ndarray
-    reach: np.ndarray
-    lanes: int
-
-
-def _survey(docs: DataFrame, pivots: np.ndarray, plan: Plan) -> Cells:
-    """Measure the cells in one pass; the driver reads one row per pivot.
-
-    The largest cell decides the number of lanes, so a cell with a third of all
-    documents is still cut into pieces of about ``lane_rows``.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(pivots)
-    rows = _place(docs, "id", [], shared).groupBy("cell").agg(F.min("near").alias("near"), F.count("*").alias("n")).collect()
-    reach = np.full(len(pivots), -np.inf)
-    for row in rows:
-        reach[row["cell"]] = np.arccos(np.clip(row["near"], -1.0, 1.0))
-    largest = max((row["n"] for row in rows), default=0)
-    return Cells(pivots, reach, max(plan.lanes, -(-largest // plan.lane_rows)))
-
-
-def _exact_cells(docs: DataFrame, plan: Plan) -> Cells:
-    """Cells around sampled pivots; their number grows with the square root of the documents."""
-    total, _ = _measure(docs, "vec")
-    count = min(MAX_PIVOTS, max(plan.pivots, int(total**0.5 / 8)))
-    return _survey(docs, _pivot_matrix(docs, count), plan)
-
-
-def _within(reach: np.ndarray, threshold: float | None) -> Callable:
-    """Cells that can hold a document at or above the query's threshold.
-
-    A fixed threshold, or the batch column ``floor`` with one value per query.
-    """
-
-    def cells(batch, sims):
-        limit = np.full(len(sims), threshold) if threshold is not None else batch.column("floor").to_numpy()
-        widest = np.arccos(np.clip(limit, -1.0, 1.0))[:, None]
-        closest = np.arccos(np.clip(sims, -1.0, 1.0)) - reach[None, :]
-        # Rounding moves a score by half a unit of its last digit: the slack covers it.
-        return closest <= widest + ANGLE_SLACK
-
-    return cells
-
-
-def _nearest_cells(count: int) -> Callable:
-    def cells(batch, sims):
-        out = np.zeros(sims.shape, dtype=bool)
-        rows, cols = best_cells(sims, count)
-        out[rows, cols] = True
-        return out
-
-    return cells
+    return df.select(id_col, "vec", *keys).mapInArrow(run, schema)
 
 
 def _row_schema(queries: DataFrame, docs: DataFrame, keys: Sequence[str], *rest: tuple[str, T.DataType]) -> T.StructType:
@@ -462,14 +358,13 @@ def _clean(df: DataFrame) -> DataFrame:
     return df.filter(F.col("vec").isNotNull())
 
 
-def _run_threshold(queries, docs, keys, threshold, collector, schema, plan) -> DataFrame:
+def _matched(queries, docs, keys, collector, schema, plan, state: int = 1) -> DataFrame:
+    """The resident way while the query matrix and ``state`` values for each query fit, else the grid."""
     queries, docs = _clean(queries), _clean(docs)
     n, width = _measure(queries, "vec")
-    if n * width * 8 <= plan.resident_bytes:
+    if n * width * 8 <= plan.resident_bytes and n * state <= STATE_CELLS:
         return _resident(queries, docs, keys, collector, schema)
-    cells = _exact_cells(docs, plan)
-    visit = _within(cells.reach, threshold)
-    return _blocked(queries, docs, keys, collector, schema, width=width, plan=plan, cells=cells, visit=visit)
+    return _grid(queries, docs, keys, collector, schema, plan)
 
 
 # -------------------------------------------------------------------- operators
@@ -478,7 +373,7 @@ def _run_threshold(queries, docs, keys, threshold, collector, schema, plan) -> D
 def similar_pairs(queries: DataFrame, docs: DataFrame, *, threshold: float, keys: Sequence[str] = (), plan: Plan = Plan()) -> DataFrame:
     """Pairs with cosine similarity at or above the threshold: ``(qid, *keys, id, sim)``."""
     schema = _row_schema(queries, docs, keys, ("id", docs.schema["id"].dataType), ("sim", T.DoubleType()))
-    return _run_threshold(queries, docs, keys, threshold, partial(Hits, threshold=threshold), schema, plan)
+    return _matched(queries, docs, keys, partial(Hits, threshold=threshold), schema, plan)
 
 
 def match_counts(
@@ -496,7 +391,7 @@ def match_counts(
     and needs no sort. Groups without a match have no row.
     """
     schema = _row_schema(queries, docs, keys, ("n", T.LongType()))
-    counted = _run_threshold(queries, docs, keys, threshold, partial(Counts, threshold=threshold), schema, plan)
+    counted = _matched(queries, docs, keys, partial(Counts, threshold=threshold), schema, plan)
     total = F.sum("n")
     return counted.groupBy("qid", *keys).agg((total if k is None else F.least(F.lit(k).cast("long"), total)).alias("matches"))
 
@@ -510,27 +405,8 @@ def top_k(queries: DataFrame, docs: DataFrame, *, k: int, keys: Sequence[str] =
 
     Equal scores are ordered by id.
     """
-    queries, docs = _clean(queries), _clean(docs)
     schema = _row_schema(queries, docs, keys, ("id", docs.schema["id"].dataType), ("sim", T.DoubleType()))
-    n, width = _measure(queries, "vec")
-    if n * width * 8 <= plan.resident_bytes and n * k <= STATE_CELLS:
-        local = _resident(queries, docs, keys, partial(LocalTop, k=k), schema)
-    else:
-        cells = _exact_cells(docs, plan)
-        settings = dict(width=width, plan=plan, cells=cells)
-        # The k-th score inside the nearest cell bounds the k-th score overall from below.
-        near = _ranked(_blocked(queries, docs, keys, partial(LocalTop, k=k), schema, visit=_nearest_cells(1), **settings), keys, k)
-        per_group = near.groupBy("qid", *keys).agg(F.count("*").alias("n"), F.min("sim").alias("kth"))
-        bound = per_group.groupBy("qid").agg(
-            F.min(F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(-1.0))).alias("floor"),
-            F.count("*").alias("groups"),
-        )
-        # A query that has not met every group has no bound yet.
-        groups = docs.select(*keys).distinct().count() if keys else 1
-        floor = F.when(F.col("groups") == groups, F.col("floor")).otherwise(F.lit(-1.0))
-        bounded = queries.join(bound.select("qid", floor.alias("floor")), "qid", "left").na.fill(-1.0, ["floor"])
-        visit = _within(cells.reach, None)
-        local = _blocked(bounded, docs, keys, partial(LocalTop, k=k), schema, visit=visit, **settings)
+    local = _matched(queries, docs, keys, partial(LocalTop, k=k), schema, plan, state=k)
     return _ranked(local, keys, k).select("qid", *keys, "rank", "id", "sim")
 
 
@@ -542,23 +418,34 @@ def approximate_top_k(
     keys: Sequence[str] = (),
     leaves: int = 200,
     leaves_to_search: int = 100,
-    training_rows: int = 250_000,
+    training_fraction: float = 1.0,
     seed: int = 42,
     plan: Plan = Plan(),
 ) -> DataFrame:
     """Top ``k`` among the documents of the ``leaves_to_search`` nearest KMeans leaves.
 
-    Scores inside the searched leaves are exact; with all leaves searched the
-    result is the exact one.
+    Centres are trained on all documents unless the caller names a smaller
+    ``training_fraction``. Scores inside the searched leaves are exact; with all
+    leaves searched the result is the exact one. A leaf is cut into as many parts of
+    about ``range_rows`` documents as its size asks for, so a hot leaf is no hot group.
     """
-    queries, docs = _clean(queries), _clean(docs)
+    queries, docs = _sides(_clean(queries), _clean(docs), keys)
     schema = _row_schema(queries, docs, keys, ("id", docs.schema["id"].dataType), ("sim", T.DoubleType()))
-    _, width = _measure(queries, "vec")
-    cells = _survey(docs, _leaf_matrix(docs, leaves, training_rows, seed), plan)
-    local = _blocked(
-        queries, docs, keys, partial(LocalTop, k=k), schema,
-        width=width, plan=plan, cells=cells, visit=_nearest_cells(min(leaves_to_search, len(cells.pivots))),
-    )
+    centres = _leaf_matrix(docs, leaves, training_fraction, seed)
+    count = len(centres)
+    placed = stored(_nearest_leaves(docs, "id", keys, centres, 1).withColumn("leaf", F.get("leaves", F.lit(0))).drop("leaves"), "match-leaves")
+    # One row per leaf; parts are numbered through all leaves.
+    sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    parts = [-(-sizes.get(i, 0) // plan.range_rows) for i in range(count)]
+    starts = np.cumsum([0, *parts]).tolist()
+    first, many = (F.array(*[F.lit(x) for x in xs]) for xs in (starts[:-1], parts))
+    right = placed.withColumn("part", (F.get(first, F.col("leaf")) + F.pmod(F.xxhash64("id"), F.get(many, F.col("leaf")))).cast("int")).drop("leaf")
+    _, lanes = grid_shape(queries.count(), 0, plan)
+    visits = _nearest_leaves(queries, "qid", [], centres, min(leaves_to_search, count)).select("qid", "vec", F.explode("leaves").alias("leaf"))
+    own = F.when(F.get(many, F.col("leaf")) > 0, F.sequence(F.get(first, F.col("leaf")), F.get(first, F.col("leaf")) + F.get(many, F.col("leaf")) - 1))
+    left = visits.select(_dealt("qid", lanes).alias("lane"), "qid", "vec", F.explode(own).alias("part"))
+    right = right.select("part", "id", "vec", *keys, _each(lanes).alias("lane"))
+    local = _grid_groups(left, right, keys, partial(LocalTop, k=k), schema)
     return _ranked(local, keys, k).select("qid", *keys, "rank", "id", "sim")
 
 

@@ -279,11 +279,15 @@ def _(spark, sf):
     return similarity.top_k(queries_of(docs), docs, k=5, keys=["year"]).withColumn("sim", F.round("sim", ROUND))
 
 
+# The way of large query sides, on small data: some ranges and lanes.
+GRID = similarity.Plan(resident_bytes=0, range_rows=512, lane_rows=64)
+
+
 @query("v12_top_k_blocked", _top_sql(10))
 def _(spark, sf):
     """The way taken when the query side does not fit in memory."""
     docs = vectors(spark, sf)
-    plan = similarity.Plan(resident_bytes=0, pivots=16, lanes=4)
+    plan = GRID
     return similarity.top_k(queries_of(docs), docs, k=10, plan=plan).withColumn("sim", F.round("sim", ROUND))
 
 

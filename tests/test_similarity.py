@@ -6,7 +6,7 @@ from taskatlas.functions import vectors as vx
 from taskatlas.operators import classify, embedding, similarity
 from taskatlas.operators.similarity import Plan
 
-BLOCKED = Plan(resident_bytes=0, pivots=5, lanes=2, block_bytes=8 * 6 * 7, lane_rows=9)
+GRID = Plan(resident_bytes=0, range_rows=23, lane_rows=9)
 
 
 def frame(spark, matrix, name, groups=None):
@@ -43,7 +43,7 @@ def expected_top(sims, groups, k):
     return out
 
 
-@pytest.mark.parametrize("plan", [Plan(), BLOCKED], ids=["resident", "blocked"])
+@pytest.mark.parametrize("plan", [Plan(), GRID], ids=["resident", "grid"])
 def test_match_against_brute_force(spark, data, plan):
     queries, docs, groups = data
     sims = brute(queries, docs)
@@ -66,14 +66,40 @@ def test_top_k_handles_groups_a_query_meets_late(spark):
     groups = [0] * 6 + [1] * 6
     queries = np.array([[1.0, 0.05], [-1.0, 0.0]])
     q, d = frame(spark, queries, "qid").select("qid", "vec"), frame(spark, docs, "id", groups)
-    found = similarity.top_k(q, d, k=2, keys=["g"], plan=Plan(resident_bytes=0, pivots=2, lanes=2)).collect()
+    found = similarity.top_k(q, d, k=2, keys=["g"], plan=Plan(resident_bytes=0, range_rows=3, lane_rows=1)).collect()
     assert {(r["qid"], r["g"], r["rank"], r["id"]) for r in found} == expected_top(brute(queries, docs), groups, 2)
 
 
-def test_pruning_skips_far_cells(spark):
-    reach = np.array([0.1, 0.1])
-    sims = np.array([[1.0, 0.0]])
-    assert similarity._within(reach, 0.9)(None, sims).tolist() == [[True, False]]
+def test_both_ways_agree_on_near_copies(spark):
+    """At a threshold of 1 rounding decides; the ways must decide alike."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 8))
+    docs = np.concatenate([base, base * 3.0, base + 1e-6 * rng.normal(size=base.shape), base + 1e-3])
+    q, d = frame(spark, base, "qid").select("qid", "vec"), frame(spark, docs, "id").drop("g")
+    for threshold in (1.0, 1.0 - 1e-9, 0.999999):
+        ways = [sorted(map(tuple, similarity.similar_pairs(q, d, threshold=threshold, plan=p).collect())) for p in (Plan(), GRID)]
+        assert ways[0] == ways[1] and len(ways[0]) >= 12
+
+
+def test_grid_copies_follow_the_sizes(spark, data):
+    """A query goes once to each range and a document once to each lane; both inputs are read once."""
+    assert similarity.grid_shape(25, 120, GRID) == (6, 3)
+    queries, docs, _ = data
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def run(batches):
+            for batch in batches:
+                reads.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    q, d = frame(spark, queries, "qid").select("qid", "vec"), frame(spark, docs, "id").drop("g")
+    found = similarity.top_k(q, counted(d), k=3, plan=GRID)
+    assert found.count() == 75 and reads.value == 120
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_approximate_top_k(spark, data):
