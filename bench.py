@@ -8,6 +8,7 @@ import time
 
 from taskatlas.plans.catalog import QUERIES
 from taskatlas.session import local_session
+from taskatlas.sources.storage import clear_scratch
 
 HEADLINE = (
     "p1_clean_text", "d1_drop_identical", "d2_keep_first", "v1_encode_text", "c1_zero_shot_text", "c1_zero_shot", "c2_models",
@@ -28,6 +29,7 @@ def main() -> None:
         # The noop sink runs every row and column without a driver collect.
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    clear_scratch(spark)
     spark.stop()
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}))

@@ -104,8 +104,9 @@ def shorten(col: Column, width: int) -> Column:
 
 
 def category_title(col: Column) -> Column:
-    """``machine_learning`` becomes ``Machine Learning``."""
-    return F.initcap(F.replace(col, F.lit("_"), F.lit(" ")))
+    """``machine_learning`` becomes ``Machine Learning``; every run of letters starts with a capital."""
+    runs = F.regexp_extract_all(F.replace(col, F.lit("_"), F.lit(" ")), F.lit(r"(\p{L}+|[^\p{L}]+)"))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
 
 
 def category_slug(col: Column) -> Column:

@@ -52,6 +52,8 @@ def combine_models(inputs: Sequence[DataFrame], names: Sequence[str] | None, id_
     """
     if len(inputs) < 2:
         raise ValueError("at least two inputs are needed")
+    if len(inputs) > 62:
+        raise ValueError("at most 62 inputs can be combined")
     names = list(names or [])
     names += [f"model_{i + 1}" for i in range(len(names), len(inputs))]
     rows = None
@@ -64,6 +66,12 @@ def combine_models(inputs: Sequence[DataFrame], names: Sequence[str] | None, id_
     return rows.drop("__bit").join(full.select("id"), "id", "left_semi")
 
 
+def with_base(voted: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
+    """Vote results (or wide models) with the base input's columns that they do not have."""
+    shared = [c for c in base.columns if c != id_col and c in voted.columns]
+    return voted.join(base.drop(*shared).withColumnRenamed(id_col, "id"), "id")
+
+
 def wide_models(long: DataFrame, names: Sequence[str]) -> DataFrame:
     """``{model}_category`` and ``{model}_confidence`` columns, one row per id."""
     return long.groupBy("id").pivot("model", list(names)).agg(

@@ -45,7 +45,7 @@ def from_year(df: DataFrame, start: int) -> DataFrame:
     if "year" not in df.columns:
         return df
     # Through double, because years arrive as 2021 and as 2021.0.
-    year = F.col("year").cast("string").try_cast("double").cast("int")
+    year = F.col("year").cast("string").try_cast("double").try_cast("int")
     return df.withColumn("year", year).filter(F.col("year") >= start)
 
 

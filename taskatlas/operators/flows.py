@@ -42,8 +42,7 @@ def top_occupations(counts: DataFrame, first_year: int, n: int) -> DataFrame:
 
 def top_tasks(counts: DataFrame, occupations: DataFrame, first_year: int, m: int) -> DataFrame:
     """The ``m`` largest tasks per category among the given occupations in the first year."""
-    # At most the n rows of top_occupations, so broadcasting is bounded.
-    kept = counts.filter(F.col("year") == first_year).join(F.broadcast(occupations.select("soc_code")), "soc_code", "left_semi")
+    kept = counts.filter(F.col("year") == first_year).join(occupations.select("soc_code"), "soc_code", "left_semi")
     sums = contributions(kept).groupBy("ai_category", "task").agg(
         F.round(F.sum("contribution"), RANK_DIGITS).alias("total_contribution")
     )
@@ -60,8 +59,7 @@ def flow_links(
     over occupations; a task -> occupation link is one rating row, present only
     with its parent link.
     """
-    # At most the n rows of top_occupations; the task list grows with the categories.
-    kept = counts.join(F.broadcast(occupations.select("soc_code")), "soc_code", "left_semi")
+    kept = counts.join(occupations.select("soc_code"), "soc_code", "left_semi")
     kept = spread_join(kept, tasks.select("ai_category", "task"), ["ai_category", "task"], "left_semi")
     rows = contributions(kept)
     if min_contribution is not None:

@@ -1,13 +1,14 @@
 """Importance against matches: points, quadrants, outliers and summaries.
 
 Input is the long match-count table restricted to importance ratings.
-Cuts are medians of the non-zero match counts of a year. There is one row per
-year and a year column holds 1900 to 2100, so the cut table is at most 201 rows
-and is broadcast.
+Cuts are medians of the non-zero match counts of a year. A year without any match
+has no cut: its rows are in no quadrant, and the year is reported with counts of 0.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,6 @@ HIGH_IMPORTANCE = 4.0
 LOW_IMPORTANCE = 3.0
 OUTLIER_FACTOR = 1.5
 HIGH_MATCHES = 50
-YEARS = (1900, 2100)
 
 
 def points(counts: DataFrame) -> DataFrame:
@@ -43,32 +43,34 @@ def all_year_points(counts: DataFrame, *, by_category: bool = True) -> DataFrame
     return kept.groupBy("task", F.col("data_value").alias("importance"), "year").agg(F.sum("matches").alias("matches"))
 
 
-def match_cut(counts: DataFrame, share: float = 0.5) -> DataFrame:
-    """Quantile of the non-zero match counts per year."""
-    kept = counts.filter((F.col("matches") > 0) & F.col("year").between(*YEARS))
-    return count_quantile(kept, ["year"], "matches", share, "cut")
+def match_cut(counts: DataFrame, share: float = 0.5, *, keys: Sequence[str] = ("year",)) -> DataFrame:
+    """Quantile of the non-zero match counts per year, or over all rows with no ``keys``."""
+    return count_quantile(counts.filter(F.col("matches") > 0), list(keys), "matches", share, "cut")
 
 
 def _with_cut(counts: DataFrame, share: float) -> DataFrame:
-    return counts.join(F.broadcast(match_cut(counts, share)), "year")
+    """Every row with the cut of its year, null without one; a null year is a year of its own."""
+    cuts = match_cut(counts, share).withColumnRenamed("year", "__year")
+    return counts.join(cuts, F.col("year").eqNullSafe(F.col("__year")), "left").drop("__year")
 
 
 def quadrant(importance: Column, matches: Column, cut: Column, high_importance: float) -> Column:
     important, many = importance >= high_importance, matches >= cut
     return (
-        F.when(important & many, "high_concern").when(important, "protected").when(many, "routine_automation").otherwise("minimal_impact")
+        F.when(cut.isNull(), F.lit(None))
+        .when(important & many, "high_concern").when(important, "protected").when(many, "routine_automation").otherwise("minimal_impact")
     )
 
 
 def quadrant_counts(counts: DataFrame, *, high_importance: float = HIGH_IMPORTANCE, share: float = 0.5) -> DataFrame:
-    """Rows and percent per quadrant and year."""
+    """Rows and percent per quadrant and year, all 0 in a year without matches."""
     rows = _with_cut(counts, share)
     named = rows.withColumn("quadrant", quadrant(F.col("data_value"), F.col("matches"), F.col("cut"), high_importance))
-    sizes = named.groupBy("year").pivot("quadrant", ["high_concern", "protected", "routine_automation", "minimal_impact"]).count().na.fill(0)
-    names = sizes.columns[1:]
+    names = ["high_concern", "protected", "routine_automation", "minimal_impact"]
+    sizes = named.groupBy("year").pivot("quadrant", names).count().na.fill(0, names)
     total = sum((F.col(n) for n in names), F.lit(0))
     entries = [
-        F.struct(F.lit(n).alias("quadrant"), F.col(n).alias("n"), F.round(100.0 * F.try_divide(F.col(n), total), 4).alias("percent"))
+        F.struct(F.lit(n).alias("quadrant"), F.col(n).alias("n"), F.round(F.coalesce(100.0 * F.try_divide(F.col(n), total), F.lit(0.0)), 4).alias("percent"))
         for n in names
     ]
     return sizes.select("year", F.inline(F.array(*entries)))
@@ -121,7 +123,7 @@ def change_by_importance(counts: DataFrame, first: int, last: int) -> DataFrame:
 
 def high_concern(counts: DataFrame, *, share: float = 0.5) -> DataFrame:
     """Important rows at or above the cut of their year."""
-    rows = _with_cut(counts.filter(F.col("year").isNotNull()), share)
+    rows = _with_cut(counts, share)
     kept = rows.filter((F.col("data_value") >= HIGH_IMPORTANCE) & (F.col("matches") >= F.col("cut")))
     return kept.select("year", "task", "title", "ai_category", F.col("data_value").alias("importance"), "matches")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def number_rows(df: DataFrame, order_col: str, name: str, *, buckets: int = 256) -> DataFrame:
-    """Number rows from 0 in ``order_col`` order (a numeric column without repeats).
+    """Number rows from 0 in ``order_col`` order (a numeric column without repeats); nulls come last.
 
     Approximate quantiles cut the order into buckets of near-equal size; rows are
     numbered inside their bucket and shifted by the size of the buckets before
@@ -21,8 +21,10 @@ def number_rows(df: DataFrame, order_col: str, name: str, *, buckets: int = 256)
     number = F.col(order_col).cast("double")
     cuts = df.agg(F.percentile_approx(number, shares, F.lit(20 * buckets)).alias("c")).first()["c"] or [0.0]
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    cutter = Bucketizer(splits=splits, inputCol="__number", outputCol="__bucket")
+    # Nulls get a bucket of their own after the others.
+    cutter = Bucketizer(splits=splits, inputCol="__number", outputCol="__bucket", handleInvalid="keep")
     placed = cutter.transform(df.withColumn("__number", number)).drop("__number")
+    placed = placed.withColumn("__bucket", F.coalesce("__bucket", F.lit(float(len(splits)))))
     sizes = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

@@ -147,6 +147,20 @@ def _(spark, sf):
     return ensemble.combine_models([base, quality, third], ["base", "quality"], "doc_id").drop("weight")
 
 
+@query(
+    "j1_combine_wide",
+    """SELECT d.doc_id AS id, d.source, d.text, d.lang AS base_category, CAST(d.n_chars AS DOUBLE) AS base_confidence,
+              CAST(l.quality AS VARCHAR) AS quality_category, CAST(l.toxic AS DOUBLE) AS quality_confidence
+       FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def _(spark, sf):
+    """The merged table with the base's own columns."""
+    base = table(spark, sf, "documents").select("doc_id", "source", "text", F.col("lang").alias("ai_category"), F.col("n_chars").alias("confidence"))
+    quality = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("category"), F.col("toxic").alias("ai_category_confidence"))
+    wide = ensemble.wide_models(ensemble.combine_models([base, quality], ["base", "quality"], "doc_id"), ["base", "quality"])
+    return ensemble.with_base(wide, base.drop("ai_category", "confidence"), "doc_id")
+
+
 # ----------------------------------------------------------------- agreement
 
 

@@ -293,6 +293,11 @@ def _(spark, sf):
     return quadrants.match_cut(importance(spark, sf))
 
 
+@query("q4_match_median_all_years", with_sql(COUNTS_SQL, "SELECT quantile_cont(matches, 0.5) AS cut FROM imp WHERE matches > 0"))
+def _(spark, sf):
+    return quadrants.match_cut(importance(spark, sf), keys=())
+
+
 def _quadrant_sql(cut: str, high: float) -> str:
     return with_sql(
         CUT_SQL + f""", named AS (SELECT year, CASE WHEN data_value >= {high} AND matches >= {cut} THEN 'high_concern'

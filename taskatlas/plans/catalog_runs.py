@@ -113,5 +113,5 @@ matched AS (
 )
 def _(spark, sf):
     docs = documents(spark, sf)
-    labels = label_run(docs, definition_vectors(spark), keep_vectors=True)
+    labels = label_run(docs, definition_vectors(spark), years=DOC_YEARS, keep_vectors=True)
     return exposure_run(labels, _ratings(spark, sf), NAMES, DOC_YEARS, threshold=THRESHOLD, k=CAP)

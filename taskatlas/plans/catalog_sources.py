@@ -38,14 +38,14 @@ def _(spark, sf):
     docs = _documents(spark, sf)
     # Every row twice: the reader drops the copies.
     writers.save_table(docs.unionAll(docs), path)
-    return readers.read_documents(spark, path)
+    return readers.read_documents(spark, path, multi_line=True)
 
 
 @query("s2_read_tsv", with_sql(DOCS_SQL, f"SELECT {_DOC_COLUMNS} FROM docs"))
 def _(spark, sf):
     path = scratch_dir(spark, "documents") + ".tsv"
     writers.save_table(_documents(spark, sf), path)
-    return readers.read_delimited(spark, path, readers.DOCUMENT_SCHEMA)
+    return readers.read_delimited(spark, path, readers.DOCUMENT_SCHEMA, multi_line=True)
 
 
 @query(

@@ -161,11 +161,11 @@ def _(spark, sf):
 
 @query(
     "p13_category_labels",
-    """SELECT p_partkey, array_to_string(list_transform(string_split(p_name || ' ' || p_type, ' '),
-         lambda w: upper(substring(w, 1, 1)) || lower(substring(w, 2))), ' ') AS label FROM part""",
+    r"""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_name || ' x-ray*' || p_type, '\p{L}+|[^\p{L}]+'),
+         lambda w: upper(substring(w, 1, 1)) || lower(substring(w, 2))), '') AS label FROM part""",
 )
 def _(spark, sf):
-    slug = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_type"))
+    slug = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_x-ray*"), F.col("p_type"))
     return table(spark, sf, "part").select("p_partkey", category_title(slug).alias("label"))
 
 

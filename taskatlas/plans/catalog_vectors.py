@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from taskatlas.functions.vectors import METRICS, metric, normalise
@@ -72,24 +73,28 @@ def _(spark, sf):
     return _entries(embedding.encode_text(docs, "text", width=WIDTH), "application_id").filter(F.col("value") != 0)
 
 
-@query("v1_encode_with")
+@query(
+    "v1_encode_with",
+    with_sql(
+        DOCS_SQL + ", " + encode_sql("docs", "application_id", "text", "enc"),
+        f"SELECT id AS application_id, CAST(bucket AS INTEGER) AS dim, round(value, {ROUND}) AS value FROM enc",
+    ),
+)
 def _(spark, sf):
-    def make():
-        import zlib
-
-        import numpy as np
+    """The way for outside models, with the hashed words as the model."""
 
+    def make():
         def encode(texts):
-            out = np.zeros((len(texts), 32))
+            out = np.zeros((len(texts), WIDTH))
             for i, text in enumerate(texts):
-                for word in text.split():
-                    out[i, zlib.crc32(word.encode()) % 32] += 1.0
+                for word in text.lower().split():
+                    out[i, embedding.token_bucket(word, WIDTH)] += 1.0
             return out
 
         return encode
 
-    docs = documents(spark, sf)
-    return _entries(embedding.encode_with(docs, "application_abstract", make, width=32), "application_id")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("application_id"), "text")
+    return _entries(embedding.encode_with(docs, "text", make, width=WIDTH), "application_id").filter(F.col("value") != 0)
 
 
 def _tokens(spark, sf):
@@ -287,8 +292,29 @@ GRID = similarity.Plan(resident_bytes=0, range_rows=512, lane_rows=64)
 def _(spark, sf):
     """The way taken when the query side does not fit in memory."""
     docs = vectors(spark, sf)
-    plan = GRID
-    return similarity.top_k(queries_of(docs), docs, k=10, plan=plan).withColumn("sim", F.round("sim", ROUND))
+    return similarity.top_k(queries_of(docs), docs, k=10, plan=GRID).withColumn("sim", F.round("sim", ROUND))
+
+
+@query("v12_top_k_by_year_blocked", _top_sql(5, ", year"))
+def _(spark, sf):
+    docs = vectors(spark, sf)
+    return similarity.top_k(queries_of(docs), docs, k=5, keys=["year"], plan=GRID).withColumn("sim", F.round("sim", ROUND))
+
+
+@query("f8_similar_pairs_blocked", with_sql(_SIMS_SQL, f"SELECT qid, id, round(sim, {ROUND}) AS sim FROM sims WHERE sim >= {THRESHOLD}"))
+def _(spark, sf):
+    docs = vectors(spark, sf)
+    return similarity.similar_pairs(queries_of(docs), docs, threshold=THRESHOLD, plan=GRID).select("qid", "id", F.round("sim", ROUND).alias("sim"))
+
+
+@query(
+    "a7_match_counts_blocked",
+    with_sql(_SIMS_SQL, f"SELECT qid, category, year, least({COUNT_CAP}, count(*)) AS matches FROM sims WHERE sim >= {THRESHOLD} AND category <> 'unknown' GROUP BY ALL"),
+)
+def _(spark, sf):
+    docs = vectors(spark, sf)
+    valid = docs.filter(filters.valid_category(F.col("category")))
+    return similarity.match_counts(queries_of(docs), valid, threshold=THRESHOLD, k=COUNT_CAP, plan=GRID)
 
 
 @query("v13_approximate_top_k")
@@ -298,6 +324,20 @@ def _(spark, sf):
     return found.withColumn("sim", F.round("sim", ROUND))
 
 
+@query(
+    "v13_recall",
+    with_sql(_SIMS_SQL, "SELECT least(10, (SELECT count(DISTINCT id) FROM sims)) * count(DISTINCT qid) AS n_rows, CAST(0 AS BIGINT) AS wrong_scores, true AS recall_holds FROM sims"),
+)
+def _(spark, sf):
+    """Rows found, scores that differ from the exact ones, and whether recall reaches 0.8."""
+    docs = vectors(spark, sf)
+    found = similarity.approximate_top_k(queries_of(docs), docs, k=10, leaves=16, leaves_to_search=8)
+    exact = similarity.top_k(queries_of(docs), docs, k=10)
+    both = found.join(exact.select("qid", "id", F.col("sim").alias("true_sim")), ["qid", "id"], "left")
+    wrong = F.count_if(F.abs(F.col("sim") - F.col("true_sim")) > 1e-6)
+    return both.agg(F.count("*").alias("n_rows"), wrong.alias("wrong_scores"), (F.count("true_sim") >= 0.8 * F.count("*")).alias("recall_holds"))
+
+
 @query("v13_all_leaves", _top_sql(10))
 def _(spark, sf):
     docs = vectors(spark, sf)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from taskatlas.functions.text import combine_text, is_blank
 from taskatlas.operators.classify import CategoryVectors, classify
 from taskatlas.operators.embedding import encode_text
-from taskatlas.operators.ensemble import combine_models, vote_long
+from taskatlas.operators.ensemble import combine_models, vote_long, with_base
 from taskatlas.operators.exposure import exposure, task_matches
 from taskatlas.operators.filters import filter_documents, from_year, quality_filter, valid_category
 from taskatlas.operators.joins import remaining, spread_join
@@ -42,11 +42,14 @@ def label_run(
     *,
     encode: Encoder = hashed_words,
     start_year: int | None = None,
+    years: Sequence[int] | None = None,
     done: DataFrame | None = None,
     keep_vectors: bool = False,
 ) -> DataFrame:
     """Label documents; those in ``done`` (id, category, confidence) keep their label.
 
+    Documents outside ``years`` or before ``start_year`` are left out before anything
+    is encoded. Of repeated ids in ``done`` the most confident row counts.
     Without ``done`` everything is row-local, so the run also works on a stream.
     ``keep_vectors`` leaves the column ``vec`` for a following match.
     """
@@ -54,9 +57,12 @@ def label_run(
         raise ValueError("labels made earlier have no vectors")
     if start_year is not None:
         docs = from_year(docs, start_year)
+    if years is not None:
+        docs = docs.filter(F.col("year").isin(*years))
     todo = docs
     if done is not None:
-        done = done.filter(F.col("category").isNotNull())
+        best = F.max_by(F.struct("category", "confidence"), F.struct(F.coalesce("confidence", F.lit(-1.0)), "category"))
+        done = done.filter(F.col("category").isNotNull()).groupBy("application_id").agg(best.alias("d")).select("application_id", "d.*")
         todo = remaining(docs, done, "application_id")
     labelled = classify(encode(document_text(todo), "combined"), categories, blank=is_blank(F.col("combined")))
     labelled = labelled.drop("combined") if keep_vectors else labelled.drop("combined", "vec")
@@ -74,11 +80,16 @@ def ensemble_run(
     weighted: bool = False,
     min_confidence: float | None = None,
     min_votes: int | None = None,
+    base_columns: bool = False,
     **columns,
 ) -> DataFrame:
-    """Vote over several label tables and keep the rows of the wanted quality."""
+    """Vote over several label tables and keep the rows of the wanted quality.
+
+    With ``base_columns`` the first input's other columns stand beside the vote.
+    """
     voted = vote_long(combine_models(inputs, names, id_col, **columns), weighted=weighted)
-    return quality_filter(voted, min_confidence=min_confidence, min_votes=min_votes)
+    kept = quality_filter(voted, min_confidence=min_confidence, min_votes=min_votes)
+    return with_base(kept, inputs[0], id_col) if base_columns else kept
 
 
 def neighbours_by_year(

@@ -13,10 +13,8 @@ from taskatlas.operators.columns import RATING_NAMES, RESULT_COLUMNS, rename_rat
 from taskatlas.operators.dedup import concat_results, drop_identical
 from taskatlas.operators.reshape import year_columns, years_to_long
 
-# Quotes are doubled inside quoted fields, and text may hold line breaks. A
-# multi-line file is read by one task, so the writers bound file sizes. An empty
-# field is null.
-CSV_READ = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+# Quotes are doubled inside quoted fields. An empty field is null.
+CSV_READ = {"header": True, "quote": '"', "escape": '"'}
 NAME_PREFIX = "name="
 
 DOCUMENT_SCHEMA = T.StructType(
@@ -35,15 +33,19 @@ def suffix_of(path: str) -> str:
     return PurePosixPath(path.rstrip("/")).suffix.lower()
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV, or TSV when the name ends in ``.tsv``. Without a schema all columns are text."""
-    reader = spark.read.options(**CSV_READ, sep="\t" if suffix_of(path) == ".tsv" else ",")
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, *, multi_line: bool = False) -> DataFrame:
+    """CSV, or TSV when the name ends in ``.tsv``. Without a schema all columns are text.
+
+    ``multi_line`` allows line breaks inside quoted fields; each file is then read by
+    one task, so it suits files of bounded size. Parquet is the form for large tables.
+    """
+    reader = spark.read.options(**CSV_READ, multiLine=multi_line, sep="\t" if suffix_of(path) == ".tsv" else ",")
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT_SCHEMA) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT_SCHEMA, *, multi_line: bool = False) -> DataFrame:
     """Documents without fully repeated rows."""
-    return drop_identical(read_delimited(spark, path, schema))
+    return drop_identical(read_delimited(spark, path, schema, multi_line=multi_line))
 
 
 def read_ratings(spark: SparkSession, path: str, *, required: tuple[str, ...] = RESULT_COLUMNS) -> DataFrame:
@@ -81,7 +83,7 @@ def read_category_results(spark: SparkSession, folder: str, pattern: str | None
         wide = rename_ratings(read_delimited(spark, f"{folder.rstrip('/')}/{entry}"))
         wide = require_columns(wide, [c for c in RATING_NAMES.values() if c in ("soc_code", "title", "task", "scale_name", "data_value")])
         years = year_columns(wide)
-        typed = wide.withColumns({"data_value": F.col("data_value").try_cast("double"), **{y: F.col(f"`{y}`").try_cast("double").cast("long") for y in years}})
+        typed = wide.withColumns({"data_value": F.col("data_value").try_cast("double"), **{y: F.col(f"`{y}`").try_cast("double").try_cast("long") for y in years}})
         parts.append(years_to_long(typed, years=years).withColumn("ai_category", category_from_name(F.lit(stem))))
     if not parts:
         raise FileNotFoundError(f"no result files in {folder}")

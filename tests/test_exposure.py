@@ -6,7 +6,6 @@ from taskatlas.operators import exposure as ex
 from taskatlas.operators import flows, quadrants
 from taskatlas.operators.columns import RESULT_COLUMNS
 from taskatlas.plans.views import FIRST_YEAR, task_counts
-from taskatlas.sources.samples import sample_documents, sample_ratings, sample_topics
 
 COUNTS = "soc_code string, title string, task string, scale_name string, task_category string, data_value double, ai_category string, year int, matches long"
 
@@ -131,9 +130,16 @@ def test_first_year_of_the_views(spark, sf_dir):
     assert task_counts(spark, sf_dir).agg(F.min("year")).first()[0] == FIRST_YEAR
 
 
-def test_samples(spark):
-    docs = sample_documents(spark)
-    assert {r["year"]: r["count"] for r in docs.groupBy("year").count().collect()} == {2021: 30, 2022: 35, 2023: 35}
-    ratings = sample_ratings(spark)
-    assert ratings.count() == 50 and ratings.select("title").distinct().count() == 5
-    assert sample_topics(spark).filter("flag = 1").count() == 2
+def test_no_year_is_lost(spark):
+    """Years far away, years without a match and null years stay; the last two have no cut."""
+    rows = [row("a", "x", 4.5, 5, year=1850), row("a", "y", 2.0, 1, year=1850), row("a", "x", 4.5, 0, year=2021), row("a", "x", 4.5, 3, year=2022), row("a", "x", 4.5, 2, year=None)]
+    df = spark.createDataFrame(rows, COUNTS)
+    got = {}
+    for r in quadrants.quadrant_counts(df).collect():
+        got.setdefault(r["year"], {})[r["quadrant"]] = (r["n"], r["percent"])
+    none = (0, 0.0)
+    assert got[1850] == {"high_concern": (1, 50.0), "protected": none, "routine_automation": none, "minimal_impact": (1, 50.0)}
+    assert got[2021] == dict.fromkeys(got[1850], none)
+    assert got[2022]["high_concern"] == got[None]["high_concern"] == (1, 100.0)
+    assert {r["year"] for r in quadrants.high_concern(df).collect()} == {1850, 2022, None}
+    assert quadrants.match_cut(df, keys=()).first()["cut"] == 2.5

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taskatlas.operators import dedup, joins, ranking, reshape
+from taskatlas.functions import text
+from taskatlas.operators import dedup, filters, joins, ranking, reshape
 from taskatlas.operators.quantiles import count_quantile, exact_quantiles, value_counts
 from taskatlas.operators.reports import similarity_distribution
 from taskatlas.sources import readers, storage, writers
@@ -16,11 +17,11 @@ def test_text_files_keep_every_character(spark, tmp_path, suffix):
     rows = [(1, 'say "hi", twice', "line one\nline two\ttab", 2021, " padded "), (2, None, "", 2022, "a\\b")]
     path = f"{tmp_path}/docs.{suffix}"
     writers.save_table(spark.createDataFrame(rows, readers.DOCUMENT_SCHEMA), path)
-    got = readers.read_delimited(spark, path, readers.DOCUMENT_SCHEMA)
+    got = readers.read_delimited(spark, path, readers.DOCUMENT_SCHEMA, multi_line=True)
     # An empty field is a null, quoted or not.
     assert sorted(tuple(r) for r in got.collect()) == [rows[0], (2, None, None, 2022, "a\\b")]
     writers.save_table(got, path.replace("docs", "twice"))
-    both = readers.read_documents(spark, f"{tmp_path}/{{docs,twice}}.{suffix}")
+    both = readers.read_documents(spark, f"{tmp_path}/{{docs,twice}}.{suffix}", multi_line=True)
     assert both.count() == 2
 
 
@@ -102,8 +103,11 @@ def test_spread_join_splits_a_hot_key(spark):
     assert semi.count() == 2500 and semi.columns == ["k", "id"]
     with pytest.raises(ValueError):
         joins.spread_join(facts, lookup, ["k"], "full")
-    lanes = facts.withColumn("s", F.pmod(F.xxhash64("k", "id"), F.lit(joins.SALTS))).filter("k = 0").groupBy("s").count()
-    assert lanes.count() == joins.SALTS
+    assert joins.hot_keys(facts, ["k"], 1000).collect()[0]["k"] == 0
+    salted = joins.spread_join(facts, lookup, ["k"], "left", hot_rows=100)
+    assert sorted(map(tuple, salted.collect()), key=str) == plain
+    assert "__salt" in salted._jdf.queryExecution().analyzed().toString()
+    assert joins.spread_join(facts, lookup.select("k"), ["k"], "left_semi", hot_rows=100).count() == 2500
 
 
 def test_totals_match_a_window(spark):
@@ -169,3 +173,51 @@ def test_count_quantile(spark):
     df = spark.createDataFrame(rows, "year int, matches long")
     got = {r["year"]: r["p"] for r in count_quantile(df, ["year"], "matches", 0.75, "p").collect()}
     assert got == {y: np.quantile([m for k, m in rows if k == y], 0.75) for y in (1, 2)}
+
+
+def test_null_order_values_are_numbered_last(spark):
+    df = spark.createDataFrame([(2.0,), (None,), (1.0,)], "o double")
+    assert {r["o"]: r["n"] for r in ranking.number_rows(df, "o", "n").collect()} == {1.0: 0, 2.0: 1, None: 2}
+
+
+def test_odd_year_texts_are_dropped(spark):
+    df = spark.createDataFrame([("2021",), ("2022.0",), ("nan",), ("1e20",), ("x",), (None,)], "year string")
+    assert sorted(r["year"] for r in filters.from_year(df, 2021).collect()) == [2021, 2022]
+
+
+def test_scratch_needs_a_shared_folder_and_is_cleared(spark, monkeypatch, tmp_path):
+    from taskatlas.sources import storage
+
+    class Bare:
+        """A session without any checkpoint folder."""
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.scratch_dir(Bare, "x")
+    monkeypatch.setattr(storage, "_made", [])
+    kept = storage.stored(spark.range(3), "cleared")
+    assert kept.count() == 3 and storage.clear_scratch(spark) == 1 and storage.clear_scratch(spark) == 0
+
+
+def test_title_case_follows_every_mark(spark):
+    df = spark.createDataFrame([("deep_learning",), ("a-b c*d",), ("éa_1st",), ("",), (None,)], "c string")
+    got = [r[0] for r in df.select(text.category_title(F.col("c"))).collect()]
+    assert got == ["Deep Learning", "A-B C*D", "Éa 1St", "", None]
+
+
+def test_repeated_done_ids_do_not_repeat_documents(spark):
+    from taskatlas.operators.classify import CategoryVectors
+    from taskatlas.plans.runs import label_run
+
+    docs = spark.createDataFrame([(i, "t", "words", 2020 + i) for i in range(4)], "application_id long, application_title string, application_abstract string, year int")
+    done = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.9), (2, None, 0.5)], "application_id long, category string, confidence double")
+    cats = CategoryVectors(("first",), np.ones((1, 64)))
+    got = label_run(docs, cats, done=done).collect()
+    assert len(got) == 4 and {r["category"] for r in got if r["application_id"] == 1} == {"b"}
+    plan = label_run(docs, cats, years=[2021])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Filter")
