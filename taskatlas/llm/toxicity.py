@@ -16,6 +16,13 @@ from taskatlas.llm.words import byte_words
 
 BLOCK = 64  # examples of a block
 FIRST_BLOCKS = 4  # blocks scored before the others are pruned
+BEGINNINGS = (4, 5)  # bytes of a word's beginnings that are terms beside the word
+
+
+def terms_of(text: str | None) -> list[bytes]:
+    """Words of a whole text and the beginnings of longer words, which inflected forms and compounds share."""
+    tokens = byte_words(text)
+    return tokens + [w[:n] + b" " for n in BEGINNINGS for w in tokens if len(w) > n]
 
 
 class BlockMaxIndex:
@@ -107,7 +114,7 @@ def _example_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, list[Cou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counted = [Counter(byte_words(t)) for t in batch["text"].to_pylist()]
+            counted = [Counter(terms_of(t)) for t in batch["text"].to_pylist()]
             columns = [batch["doc_id"], batch["label"], pa.array([list(c) for c in counted], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "words", "counts"])
 
@@ -118,7 +125,7 @@ def _example_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, list[Cou
 
 
 def index_terms(counts: list[Counter], labels: np.ndarray, most: int, min_examples: int, min_z: float) -> list[bytes]:
-    """Words whose share of examples differs between the labels, the clearest ``most`` of them."""
+    """Terms whose share of examples differs between the labels, the clearest ``most`` of them."""
     ones = max(int((labels == 1).sum()), 1)
     zeros = max(int((labels == 0).sum()), 1)
     seen = [Counter(), Counter()]
@@ -144,7 +151,7 @@ def document_frequencies(documents: DataFrame, text_col: str, vocabulary: dict[b
         for batch in batches:
             for text in batch["text"].to_pylist():
                 rows += 1
-                for v in {*map(vocabulary.get, byte_words(text))} - {None}:
+                for v in {*map(vocabulary.get, terms_of(text))} - {None}:
                     seen[v] += 1
         seen[-1] = rows
         at = np.flatnonzero(seen)
@@ -168,7 +175,7 @@ class ToxicityModel:
         """Score of a whole text and the examples that voted."""
         if self.index is None:
             return self.none_rate, []
-        terms, weights = term_vector(byte_words(text), self.vocabulary, self.idf)
+        terms, weights = term_vector(terms_of(text), self.vocabulary, self.idf)
         if not len(terms):
             return self.none_rate, []
         near, cosines = self.index.nearest(terms, weights, self.k)
@@ -183,8 +190,8 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Index up to ``examples_per_label`` labelled texts of each label and fit the curve.
 
-    Only ids whose crc32 is not divisible by ``folds`` are used. The words of the index
-    are those in at least ``min_examples`` examples whose share differs between the
+    Only ids whose crc32 is not divisible by ``folds`` are used. The terms of the index
+    (words and beginnings of words) are those in at least ``min_examples`` examples whose share differs between the
     labels (``min_z`` standard errors), ``most_terms`` at most. Document frequencies
     are counted over all of ``documents``.
     """
