@@ -292,6 +292,13 @@ def _(spark, sf):
     return filters.low_confidence(labelled(spark, sf)).select("id", "category", F.round("confidence", ROUND).alias("confidence"))
 
 
+@query("f10_low_confidence_cut", with_sql(LABELS_SQL, "SELECT id, category, round(confidence, 6) AS confidence FROM labelled WHERE confidence < 0.2"))
+def _(spark, sf):
+    """A cut inside the data, which keeps some of the rows."""
+    kept = filters.low_confidence(labelled(spark, sf), below=0.2)
+    return kept.select("id", "category", F.round("confidence", ROUND).alias("confidence"))
+
+
 @query(
     "a1_category_distribution",
     with_sql(
@@ -321,6 +328,19 @@ def _(spark, sf):
     return reports.mean_confidence(labelled(spark, sf))
 
 
+@query(
+    "a3_confidence_bands_cut",
+    with_sql(
+        LABELS_SQL,
+        """SELECT band, count(l.id) AS n, round(100.0 * count(l.id) / (SELECT count(*) FROM labelled), 4) AS percent
+           FROM (VALUES ('high'), ('medium'), ('low')) b(band)
+           LEFT JOIN labelled l ON band = CASE WHEN confidence >= 0.27 THEN 'high' WHEN confidence >= 0.16 THEN 'medium' ELSE 'low' END GROUP BY band""",
+    ),
+)
+def _(spark, sf):
+    return reports.confidence_bands(labelled(spark, sf), high=0.27, medium=0.16)
+
+
 @query(
     "a3_confidence_bands",
     with_sql(

@@ -64,6 +64,18 @@ def _(spark, sf):
     return ex.unusable_rows(task_counts(spark, sf))
 
 
+@query(
+    "a10_unusable_gaps",
+    with_sql(COUNTS_SQL, """SELECT count(*) AS rows, count(*) FILTER (matches % 3 = 2) AS no_importance,
+        count(*) FILTER (data_value > 4.5) AS no_count, CAST(0 AS BIGINT) AS no_occupation FROM imp"""),
+)
+def _(spark, sf):
+    """Counts with some ratings and some matches taken out."""
+    counts = task_counts(spark, sf)
+    gaps = {"data_value": F.when(F.col("matches") % 3 != 2, F.col("data_value")), "matches": F.when(F.col("data_value") <= 4.5, F.col("matches"))}
+    return ex.unusable_rows(counts.withColumns(gaps))
+
+
 _YEAR_COLUMNS = ", ".join(f"max(exposure) FILTER (year = {y}) AS \"{y}\"" for y in YEARS)
 
 
@@ -250,6 +262,17 @@ def _(spark, sf):
     return flows.flow_links(*_flow_parts(spark, sf), min_contribution=0.5).withColumn("value", F.round("value", 12))
 
 
+@query(
+    "w6_flow_links_large",
+    with_sql(LINKS_SQL.replace("FROM weights GROUP BY ALL", "FROM weights WHERE contribution > 3.5 GROUP BY ALL")
+             .replace("WHERE round(w.contribution, 9) > 0.01", "WHERE w.contribution > 3.5"),
+             "SELECT year, kind, ai_category, task, soc_code, round(value, 12) AS value FROM links"),
+)
+def _(spark, sf):
+    """A cut above the smallest contribution, which removes links."""
+    return flows.flow_links(*_flow_parts(spark, sf), min_contribution=3.5).withColumn("value", F.round("value", 12))
+
+
 @query("j4_top_members", with_sql(FLOW_SQL, "SELECT soc_code, task, ai_category, year, matches FROM imp WHERE soc_code IN (SELECT soc_code FROM top_occ)"))
 def _(spark, sf):
     counts = importance(spark, sf)
@@ -312,7 +335,33 @@ def _quadrant_sql(cut: str, high: float) -> str:
 
 @query("q5_quadrants", _quadrant_sql("cut", 4.0))
 def _(spark, sf):
-    return quadrants.quadrant_counts(importance(spark, sf))
+    # Read by the cuts and by the rows: counted once.
+    return quadrants.quadrant_counts(stored(importance(spark, sf), "counts"))
+
+
+@query("q3_matched_points", with_sql(MATCHED_SQL, "SELECT task, data_value AS importance, year, matches, ai_category FROM matched WHERE matches > 0"))
+def _(spark, sf):
+    """From counts that hold a row for every zero."""
+    return quadrants.all_year_points(matched_vectors(spark, sf))
+
+
+@query(
+    "q5_matched_quadrants",
+    with_sql(
+        MATCHED_SQL + """, cuts AS (SELECT year, quantile_cont(matches, 0.5) AS cut FROM matched WHERE matches > 0 GROUP BY year),
+named AS (SELECT year, CASE WHEN cut IS NULL THEN NULL WHEN data_value >= 4.0 AND matches >= cut THEN 'high_concern'
+    WHEN data_value >= 4.0 THEN 'protected' WHEN matches >= cut THEN 'routine_automation' ELSE 'minimal_impact' END AS quadrant
+  FROM matched LEFT JOIN cuts USING (year))""",
+        """SELECT y.year, q.quadrant, count(n.year) AS n,
+             round(CASE WHEN y.total = 0 THEN 0.0 ELSE 100.0 * count(n.year) / y.total END, 4) AS percent
+           FROM (SELECT year, count(quadrant) AS total FROM named GROUP BY year) y
+           CROSS JOIN (VALUES ('high_concern'), ('protected'), ('routine_automation'), ('minimal_impact')) q(quadrant)
+           LEFT JOIN named n ON n.year = y.year AND n.quadrant = q.quadrant GROUP BY y.year, q.quadrant, y.total""",
+    ),
+)
+def _(spark, sf):
+    """From counts that hold a row for every zero; zeros are below every cut."""
+    return quadrants.quadrant_counts(matched_vectors(spark, sf))
 
 
 @query("q5_quadrants_chart", _quadrant_sql("cut", 3.5))
