@@ -351,6 +351,21 @@ def _(spark, sf):
     return _entries(projected, "id").withColumn("explained", F.lit(round(share, ROUND)))
 
 
+@query(
+    "v14_pca_full_width",
+    with_sql(
+        VECTORS_SQL + """, long AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM vectors),
+middle AS (SELECT i, avg(x) AS m FROM long GROUP BY i)""",
+        "SELECT id, round(sum((x - m) * (x - m)), 4) AS squared_length, CAST(1.0 AS DOUBLE) AS explained FROM long JOIN middle USING (i) GROUP BY id",
+    ),
+)
+def _(spark, sf):
+    """All components keep the length of the centred vector."""
+    projected, share = embedding.reduce_dimensions(vectors(spark, sf), "id", n_components=WIDTH)
+    length = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    return projected.select("id", F.round(length, 4).alias("squared_length"), F.lit(round(share, ROUND)).alias("explained"))
+
+
 @query("v15_width", with_sql(VECTORS_SQL, "SELECT CAST(max(len(vec)) AS INTEGER) AS width FROM vectors"))
 def _(spark, sf):
     return embedding.embedding_width(vectors(spark, sf))
