@@ -8,7 +8,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -16,9 +16,10 @@ from taskatlas.llm.components import components
 from taskatlas.operators.ranking import top_per_group
 from taskatlas.sources.storage import stored
 
-ANCHORS = 64  # members of a key compared with its other members in one round
+ANCHORS = 2  # members of a key compared with its other members in the first round
 LANE = 128  # texts compared with one text in one group
 RATIO = 1.5  # growth of the size bands
+FILLED_MOST = (1 << 22) - 1
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -103,37 +104,33 @@ def sketch(values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return words, sizes
 
 
-def keys_of(values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of a set and whether each is strong.
+def keys_of(values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, int]:
+    """Join keys of a set, whether each is of its own band, and its filled parts there.
 
-    As the smaller partner a set needs only ``smaller + 1`` of its parts, as at most
-    ``smaller`` can differ: those with most elements, marked strong. As the larger
-    partner it shows all parts. Empty parts are keys only for a set with so few
-    filled parts that the differing ones could be all of them.
+    A key names band, part and content. A set shows its filled parts. Empty parts are
+    keys only for a set with so few filled parts that the differing ones could be all
+    of them; the number of filled parts is then given as 0.
     """
-    size, keys, strong = len(values), [], []
-    own = bands.number(size)
+    size, keys, own = len(values), [], []
+    home, filled_at_home = bands.number(size), 0
     for band in bands.of(size):
         parts = bands.parts(band)
         words, counts = sketch(values, parts)
         name = mixed(words + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32) + (counts.astype(np.uint64) << np.uint64(48))))
         filled = int((counts > 0).sum())
-        marked = np.zeros(parts, dtype=bool)
-        shown = counts > 0
-        if band == own:
-            marked[np.argsort(-counts, kind="stable")[: bands.smaller(size) + 1]] = True
-            shown = shown | marked
-        if filled <= bands.larger(size):
-            shown = np.ones(parts, dtype=bool)
-        keys.append(name[shown])
-        strong.append(marked[shown])
-    return np.concatenate(keys).view(np.int64), np.concatenate(strong)
+        few = filled <= (bands.smaller(size) if band == home else bands.larger(size))
+        shown = name if few else name[counts > 0]
+        keys.append(shown)
+        own.append(np.full(len(shown), band == home))
+        if band == home and not few:
+            filled_at_home = filled
+    return np.concatenate(keys).view(np.int64), np.concatenate(own), filled_at_home
 
 
 def _rows(documents: DataFrame, width: int, percent: int) -> DataFrame:
     """``key, cls, meta, doc_id``: the keys of each different set of a task, and one row with
-    ``doc_id`` for each document. ``meta`` of a key is twice the set's size, plus 1 for a
-    strong key; of a document -1 less the size."""
+    ``doc_id`` for each document. ``meta`` of a key is the set's filled parts times 2**40,
+    plus twice its size, plus 1 for a key of its own band; of a document -1 less the size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
@@ -156,8 +153,10 @@ def _rows(documents: DataFrame, width: int, percent: int) -> DataFrame:
                     if len(values) and name not in seen:
                         # Copies in this task would only repeat the keys.
                         seen.add(name)
-                        keys, strong = keys_of(values, bands)
-                        for c, x in zip(columns, (keys, np.full(len(keys), name), 2 * len(values) + strong.astype(np.int64)), strict=True):
+                        keys, at_home, filled = keys_of(values, bands)
+                        # Fewer filled parts than there are only make more keys strong.
+                        meta = (min(filled, FILLED_MOST) << 40) + 2 * len(values) + at_home.astype(np.int64)
+                        for c, x in zip(columns, (keys, np.full(len(keys), name), meta), strict=True):
                             c.append(x)
                 names = np.array(own, dtype=np.int64).reshape(-1, 2)
                 # A document's row goes anywhere: its key only spreads the rows.
@@ -169,17 +168,16 @@ def _rows(documents: DataFrame, width: int, percent: int) -> DataFrame:
     return documents.mapInArrow(run, "key long, cls long, meta long, doc_id long")
 
 
-def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` of classes whose sets have the Jaccard similarity.
 
-    The texts of a class and of at most about LANE partners meet in one group; a
-    class with more partners is copied to several.
+    ``texts`` has ``cls, text``. The texts of a class and of at most about LANE
+    partners meet in one group; a class with more partners is copied to several.
     """
     degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
     spread = pairs.join(degree, "a").withColumn("lane", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / LANE)))
     places = spread.select("a", "lane", F.col("b").alias("cls")).union(spread.select("a", "lane", F.col("a").alias("cls")).distinct())
-    wanted = places.join(classes.select("cls", "doc_id"), "cls")
-    texts = documents.join(wanted, "doc_id").select("a", "lane", "cls", "text")
+    placed = places.join(texts, "cls").select("a", "lane", "cls", "text")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(group: pa.Table) -> pa.Table:
@@ -202,10 +200,31 @@ def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, width:
                     linked.append(cls)
         return pa.table([pa.array([hub] * len(linked), pa.int64()), pa.array(linked, pa.int64())], schema=out)
 
-    return texts.groupBy("a", "lane").applyInArrow(compare, "a long, b long")
+    return placed.groupBy("a", "lane").applyInArrow(compare, "a long, b long")
 
 
-def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+def shared_keys(rows: DataFrame, percent: int) -> DataFrame:
+    """``key, cls, n, strong`` of the keys that could find a link.
+
+    As the smaller partner a set of n elements needs only ``smaller(n)`` + 1 of its
+    own parts, as at most ``smaller(n)`` can differ, and it may choose: parts that no
+    other set has come first, then those that the fewest have. Only what is missing to
+    that number is strong, so a passage that unlinked texts share makes no pairs. A
+    set with few filled parts keeps all. Keys without a strong member are left out.
+    """
+    members = rows.select("key", "cls", F.expr("meta >> 40").alias("filled"), F.expr("(meta & ((1L << 40) - 1)) div 2").alias("n"), (F.col("meta") % 2 == 1).alias("own"), "seen")
+    by_class = Window.partitionBy("cls").orderBy(F.col("own").desc(), "seen", "key")
+    whole = Window.partitionBy("cls")
+    allowed = (F.col("n") + F.expr(f"100 * n div {percent}")) * (100 - percent)
+    needed = F.expr(f"allowed div {100 + percent}") + 1 - (F.col("filled") - F.count_if("own").over(whole))
+    ranked = members.distinct().withColumn("allowed", allowed).withColumn("needed", needed).withColumn("place", F.row_number().over(by_class))
+    strong = F.col("own") & ((F.col("filled") == 0) | (F.col("place") <= F.col("needed")))
+    marked = ranked.select("key", "cls", "n", strong.alias("strong"))
+    alive = F.max("strong").over(Window.partitionBy("key"))
+    return marked.withColumn("alive", alive).filter("alive").drop("alive")
+
+
+def _candidates(left: DataFrame, right: DataFrame, percent: int, also: Column | None = None) -> DataFrame:
     """Pairs of the two sides that share a key, fit in size and of which the smaller shows a strong key."""
     x, y = left.alias("x"), right.alias("y")
     fits = (
@@ -213,7 +232,7 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
         & ((F.col("x.strong") & (F.col("x.n") <= F.col("y.n"))) | (F.col("y.strong") & (F.col("y.n") <= F.col("x.n"))))
     )
-    return x.join(y, "key").filter(fits).select("x.cls", F.col("y.cls").alias("other"))
+    return x.join(y, "key").filter(fits if also is None else fits & also).select("x.cls", F.col("y.cls").alias("other"))
 
 
 def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -222,57 +241,58 @@ def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col
     Two documents link when their sets of ``width``-word shingles have a Jaccard
     similarity of at least ``percent`` / 100; the component is the smallest id
     reachable by links. Exact: every pair that could link shares a key of the parity
-    sketches, and shared keys are worked off until all their members are in one
-    component or compared:
+    sketches, and the keys that could find a link are worked off until all their
+    members are in one component or compared:
 
     1. Each class of equal sets is compared with the class it shares most keys with,
        out of the first members of its keys.
-    2. In keys that still hold several components, the members outside the largest
-       one are compared with all members of other components, at most ANCHORS per key
-       and round.
+    2. In keys that still hold several components, members outside the largest one are
+       compared with all members of other components: at most ANCHORS per key, then
+       four times as many in each further round, until none is left.
 
     A null id takes no part and has no component; a null or empty text has no
     shingles and is its own component. Repeated rows repeat. An empty table gives no
     rows, other columns are ignored. Runs jobs while the plan is built.
     """
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    by_key = Window.partitionBy("key").orderBy("cls")
-    alone = F.lag("cls").over(by_key).isNull() & F.lead("cls").over(by_key).isNull()
-    kept = _rows(texts, width, percent).withColumn("alone", alone).filter("meta < 0 OR NOT alone").drop("alone")
-    table = stored(kept, "parity-keys")
+    by_key = Window.partitionBy("key")
+    rows = _rows(texts, width, percent).withColumns(
+        {"least": F.min("cls").over(by_key), "most": F.max("cls").over(by_key), "seen": F.count("*").over(by_key)}
+    )
+    table = stored(rows.filter("meta < 0 OR least <> most").drop("least", "most"), "parity-keys")
     sized = table.filter("meta < 0").select("doc_id", "cls", (-1 - F.col("meta")).alias("n_shingles"))
-    classes = stored(sized.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "parity-classes")
-    members = table.filter("meta >= 0").select("key", "cls", F.expr("meta div 2").alias("n"), (F.col("meta") % 2 == 1).alias("strong"))
-    members = members.groupBy("key", "cls", "n").agg(F.max("strong").alias("strong"))
-    members = stored(members, "parity-members")
+    members = stored(shared_keys(table.filter("meta >= 0"), percent), "parity-members")
+    classes = stored(sized.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "parity-classes")
+    wanted = classes.join(members.select("cls").distinct(), "cls")
+    held = stored(texts.join(wanted, "doc_id").select("cls", "text"), "parity-texts")
     # Round 1.
     first = members.groupBy("key").agg(F.min_by(F.struct("cls", "n", "strong"), "cls").alias("f")).select("key", "f.*")
     shares = _candidates(first, members, percent).groupBy("cls", "other").agg(F.count("*").alias("keys"))
     best = top_per_group(shares, ["other"], [F.col("keys").desc(), F.col("cls")], 1)
-    links = stored(verified(texts, classes, best.select(F.col("cls").alias("a"), F.col("other").alias("b")), width, percent), "parity-links")
+    links = stored(verified(held, best.select(F.col("cls").alias("a"), F.col("other").alias("b")), width, percent), "parity-links")
     found = components(links)
-    # Round 2.
-    at = _placed(members, found)
-    sizes = at.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components"))
-    split = stored(at.join(largest.filter("components > 1"), "key"), "parity-split")
-    outside = split.filter("component <> largest").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("cls")))
-    outside = stored(outside, "parity-outside")
-    last = outside.agg(F.max("place")).first()[0] or 0
-    for low in range(0, last, ANCHORS):
-        anchors = _placed(outside.filter(F.col("place").between(low + 1, low + ANCHORS)).drop("component"), found)
-        crossing = anchors.join(_placed(split.select("key", "cls", "n", "strong"), found).select("key", F.col("component").alias("there")).distinct(), "key")
-        open_keys = crossing.filter("component <> there").select("key", "cls").distinct()
-        pairs = _candidates(anchors.join(open_keys, ["key", "cls"]), split.select("key", "cls", "n", "strong"), percent)
+    # Round 2 and later ones.
+    done, most = None, ANCHORS
+    while True:
+        at = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        sizes = at.groupBy("key", "component").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components"))
+        # Only keys that are still split go on; their members shrink from round to round.
+        members = stored(at.join(largest.filter("components > 1"), "key").drop("components"), "parity-split")
+        outside = members.filter("component <> largest")
+        if done is not None:
+            outside = outside.join(done, ["key", "cls"], "left_anti")
+        anchors = stored(top_per_group(outside, ["key"], [F.col("cls")], most).drop("largest"), "parity-anchors")
+        members = members.drop("largest")
+        if not anchors.limit(1).count():
+            break
+        pairs = _candidates(anchors, members, percent, F.col("x.component") != F.col("y.component"))
         pairs = pairs.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
-        sides = [found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")) for c in ("a", "b")]
-        apart = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left").filter(
-            F.coalesce("a_component", "a") != F.coalesce("b_component", "b")
-        ).select("a", "b")
-        more = stored(verified(texts, classes, apart, width, percent), "parity-links")
-        if more.limit(1).count():
-            links = stored(links.union(more), "parity-links")
-            found = components(links)
+        more = stored(verified(held, pairs, width, percent), "parity-links")
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        tested = anchors.select("key", "cls")
+        done = tested if done is None else done.union(tested)
+        members, most = members.drop("component"), 4 * most
     least = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     names = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = least.select("cls", "component").join(names, "component").select("cls", "component_id")
@@ -280,11 +300,6 @@ def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col
     return sized.join(named, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members with their component, which is themselves without a link."""
-    placed = members.join(found.withColumnRenamed("node", "cls"), "cls", "left")
-    return placed.withColumn("component", F.coalesce("component", "cls"))
-
 
 def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents with all their columns, of each component the one with the smallest id.
