@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,7 @@ from taskatlas.llm.batches import BATCH_ROWS, score_texts
 from taskatlas.llm.samples import fold, labelled_texts
 from taskatlas.llm.words import byte_words
 
-BLOCK = 64  # examples of a block
-FIRST_BLOCKS = 4  # blocks scored before the others are pruned
+COMMON = 8  # a term in one of so many examples has a full row of weights instead of postings
 BEGINNINGS = (4, 5)  # bytes of a word's beginnings that are terms beside the word
 
 
@@ -25,66 +25,80 @@ def terms_of(text: str | None) -> list[bytes]:
     return tokens + [w[:n] + b" " for n in BEGINNINGS for w in tokens if len(w) > n]
 
 
-class BlockMaxIndex:
-    """Posting lists of unit example vectors, cut into blocks, with each block's largest weight of each term."""
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``first[i] .. first[i] + sizes[i] - 1`` of all ``i``, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)
+
+
+class ExampleIndex:
+    """Unit example vectors by term: posting lists of the many rare terms, full rows of the common ones."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.n, self.blocks = len(rows), max(1, -(-len(rows) // BLOCK))
+        self.n = len(rows)
         term = np.concatenate([r[0] for r in rows] or [np.empty(0, np.int64)]).astype(np.int64)
         owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]).astype(np.int64)
         value = np.concatenate([r[1] for r in rows] or [np.empty(0)]).astype(np.float64)
+        common = np.flatnonzero(np.bincount(term, minlength=terms) * COMMON >= max(self.n, 1))
+        self.row = np.full(terms, -1, dtype=np.int32)
+        self.row[common] = np.arange(len(common))
+        self.full = np.zeros((len(common), self.n))
+        at = self.row[term]
+        self.full[at[at >= 0], owner[at >= 0]] = value[at >= 0]
+        term, owner, value = term[at < 0], owner[at < 0], value[at < 0]
         order = np.lexsort((owner, term))
-        self.owner, self.value = owner[order], value[order]
-        cell = term[order] * self.blocks + self.owner // BLOCK
-        # Where the postings of each (term, block) begin.
-        self.start = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).reshape(-1)
-        self.most = np.zeros(terms * self.blocks)
-        np.maximum.at(self.most, cell, self.value)
-        self.most = self.most.reshape(terms, self.blocks)
-
-    def _scores(self, ids: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        cells = (ids[:, None] * self.blocks + blocks[None, :]).ravel()
-        first = self.start[cells]
-        sizes = self.start[cells + 1] - first
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)
-        return np.bincount(self.owner[at], np.repeat(np.repeat(weights, len(blocks)), sizes) * self.value[at], minlength=self.n)
+        self.owner, self.value = owner[order].astype(np.int32), value[order]
+        self.start = np.searchsorted(term[order], np.arange(terms + 1))  # where the postings of each term begin
+
+    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The cosine of each of a few vectors with every example; rounded, so ties do not depend on the order of addition."""
+        common = np.zeros((len(vectors), len(self.full)))
+        for i, (ids, weights) in enumerate(vectors):
+            at = self.row[ids]
+            common[i, at[at >= 0]] = weights[at >= 0]
+        found = common @ self.full
+        for i, (ids, weights) in enumerate(vectors):
+            first = self.start[ids]
+            sizes = self.start[ids + 1] - first
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)
+            found[i] += np.bincount(self.owner[at], np.repeat(weights, sizes) * self.value[at], minlength=self.n)
+        return np.round(found, 9, out=found)
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples with the largest positive cosine, ties to the earlier one; exact.
-
-        The blocks with the largest bounds give a k-th best score; of the others only
-        those whose bound reaches it are scored.
-        """
-        bounds = weights @ self.most[ids]
-        order = np.argsort(-bounds, kind="stable")
-        scores = self._scores(ids, weights, order[:FIRST_BLOCKS])
-        if without >= 0:
-            scores[without] = 0.0
-        least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0.0
-        rest = order[FIRST_BLOCKS:]
-        rest = rest[bounds[rest] >= max(least - 1e-12, 1e-12)]
-        if len(rest):
-            scores += self._scores(ids, weights, rest)
-            if without >= 0:
-                scores[without] = 0.0
-        at = np.flatnonzero(scores > 1e-12)
-        if len(at) > k:
-            kth = np.partition(scores[at], len(at) - k)[len(at) - k]
-            at = at[scores[at] >= kth]
-        at = at[np.lexsort((at, -scores[at]))[:k]]
-        return at, scores[at]
-
-
-def term_vector(tokens: list[bytes], vocabulary: dict[bytes, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted term numbers and unit TF-IDF weights; terms outside the index have no weight."""
-    known = [v for v in map(vocabulary.get, tokens) if v is not None]
-    ids, counts = np.unique(np.array(known, dtype=np.int64), return_counts=True)
-    weights = (1.0 + np.log(counts)) * idf[ids]
+        """The ``k`` examples with the largest positive cosine, ties to the earlier one; exact."""
+        return largest(self.cosines([(ids, weights)])[0], k, without)
+
+
+BlockMaxIndex = ExampleIndex  # the former name
+
+
+def largest(scores: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the ``k`` largest positive scores, ties to the earlier place."""
+    if without >= 0:
+        scores[without] = 0.0
+    least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
+    at = np.flatnonzero((scores >= least) & (scores > 0))
+    at = at[np.lexsort((at, -scores[at]))[:k]]
+    return at, scores[at]
+
+
+def unit_vector(ids: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers and unit TF-IDF weights."""
+    weights = (1.0 + np.log(counts)) * weight[ids]
     norm = np.sqrt(weights @ weights)
     return ids, weights / norm if norm > 0 else weights
 
 
+def term_vector(tokens: list[bytes], vocabulary: dict[bytes, int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted vector of a text; terms that no example holds have no weight."""
+    counted = Counter(tokens)
+    ids = np.array([vocabulary.get(w, -1) for w in counted], dtype=np.int64)
+    order = np.argsort(ids)
+    order = order[np.searchsorted(ids[order], 0) :]
+    return unit_vector(ids[order], np.fromiter(counted.values(), np.int64, len(ids))[order], weight)
+
+
 def vote(labels: np.ndarray, near: np.ndarray, cosines: np.ndarray) -> float:
     """Share of label 1, each neighbour weighted by its squared cosine; NaN without neighbours."""
     strength = cosines * cosines
@@ -109,8 +123,9 @@ def calibration(votes: np.ndarray, labels: np.ndarray, prior: float) -> tuple[fl
     return float(a), float(b), none_rate
 
 
-def _example_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, list[Counter]]:
-    """Ids, labels and word counts of the bounded sample; texts are split where they lie."""
+def _example_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    """Ids and labels of the bounded sample, all its terms, and the sorted term numbers and
+    counts of each example; texts are split where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,27 +135,21 @@ def _example_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, list[Cou
 
     rows = sample.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text")
     got = rows.mapInArrow(run, "doc_id long, label int, words array<binary>, counts array<long>").toArrow().sort_by([("label", "ascending"), ("doc_id", "ascending")])
-    counts = [Counter(dict(zip(w, c, strict=True))) for w, c in zip(got["words"].to_pylist(), got["counts"].to_pylist(), strict=True)]
-    return got["doc_id"].to_numpy(), got["label"].to_numpy(), counts
-
-
-def index_terms(counts: list[Counter], labels: np.ndarray, most: int, min_examples: int, min_z: float) -> list[bytes]:
-    """Terms whose share of examples differs between the labels, the clearest ``most`` of them."""
-    ones = max(int((labels == 1).sum()), 1)
-    zeros = max(int((labels == 0).sum()), 1)
-    seen = [Counter(), Counter()]
-    for c, label in zip(counts, labels, strict=True):
-        seen[int(label)].update(c.keys())
-    ranked = []
-    for word in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][word], seen[0][word]
-        if a + b < min_examples:
-            continue
-        share = (a + b) / (ones + zeros)
-        z = abs(a / ones - b / zeros) / max((share * (1 - share) * (1 / ones + 1 / zeros)) ** 0.5, 1e-9)
-        if z >= min_z:
-            ranked.append((-z, word))
-    return sorted(word for _, word in sorted(ranked)[:most])
+    coded = pc.list_flatten(got["words"]).combine_chunks().dictionary_encode()
+    codes, counts = coded.indices.to_numpy().astype(np.int64), pc.list_flatten(got["counts"]).to_numpy()
+    sizes = pc.list_value_length(got["words"]).to_numpy()
+    order = np.lexsort((codes, np.repeat(np.arange(len(sizes)), sizes)))
+    cuts = np.cumsum(sizes)[:-1]
+    examples = list(zip(np.split(codes[order], cuts), np.split(counts[order], cuts), strict=True)) if len(sizes) else []
+    return got["doc_id"].to_numpy(), got["label"].to_numpy(), coded.dictionary.to_pylist(), examples
+
+
+def contrasts(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, terms: int) -> np.ndarray:
+    """For each term, how many standard errors its shares of the examples of the two labels lie apart."""
+    ones, zeros = max(int((labels == 1).sum()), 1), max(int((labels == 0).sum()), 1)
+    a, b = (np.bincount(np.concatenate([e[0] for e, l in zip(examples, labels, strict=True) if l == label] or [np.empty(0, np.int64)]), minlength=terms) for label in (1, 0))
+    share = (a + b) / (ones + zeros)
+    return np.abs(a / ones - b / zeros) / np.maximum(np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros)), 1e-9)
 
 
 def document_frequencies(documents: DataFrame, text_col: str, vocabulary: dict[bytes, int]) -> tuple[int, np.ndarray]:
@@ -151,80 +160,82 @@ def document_frequencies(documents: DataFrame, text_col: str, vocabulary: dict[b
         for batch in batches:
             for text in batch["text"].to_pylist():
                 rows += 1
-                for v in {*map(vocabulary.get, terms_of(text))} - {None}:
-                    seen[v] += 1
+                held = {*map(vocabulary.get, terms_of(text))} - {None}
+                seen[np.fromiter(held, np.int64, len(held))] += 1
         seen[-1] = rows
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["term", "n"])
 
     counted = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term int, n long")
     found = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    for row in counted.groupBy("term").agg(F.sum("n").alias("n")).collect():
-        found[row["term"]] = row["n"]
+    sums = counted.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found[sums["term"].to_numpy()] = sums["n"].to_numpy()
     return int(found[-1]), found[:-1]
 
 
 class ToxicityModel:
     """The index, its vocabulary and the calibrated curve; small and sent to every task."""
 
-    def __init__(self, vocabulary, idf, index, ids, marks, slope, offset, none_rate, k):
-        self.vocabulary, self.idf, self.index, self.ids, self.marks = vocabulary, idf, index, ids, marks
+    def __init__(self, vocabulary, weight, index, ids, marks, slope, offset, none_rate, k):
+        self.vocabulary, self.weight, self.index, self.ids, self.marks = vocabulary, weight, index, ids, marks
         self.slope, self.offset, self.none_rate, self.k = slope, offset, none_rate, k
 
     def judge(self, text: str | None) -> tuple[float, list[dict]]:
         """Score of a whole text and the examples that voted."""
+        return self.judge_all([text])[0]
+
+    def judge_all(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
+        """The same for a batch of texts."""
         if self.index is None:
-            return self.none_rate, []
-        terms, weights = term_vector(terms_of(text), self.vocabulary, self.idf)
-        if not len(terms):
-            return self.none_rate, []
-        near, cosines = self.index.nearest(terms, weights, self.k)
-        share = vote(self.marks, near, cosines)
-        score = self.none_rate if np.isnan(share) else float(1.0 / (1.0 + np.exp(-(self.slope * share + self.offset))))
-        return score, [{"doc_id": int(self.ids[i]), "cosine": float(c), "label": int(self.marks[i])} for i, c in zip(near, cosines, strict=True)]
+            return [(self.none_rate, [])] * len(texts)
+        found = []
+        for cosines in self.index.cosines([term_vector(terms_of(t), self.vocabulary, self.weight) for t in texts]):
+            near, cosines = largest(cosines, self.k)
+            share = vote(self.marks, near, cosines)
+            score = self.none_rate if np.isnan(share) else float(1.0 / (1.0 + np.exp(-(self.slope * share + self.offset))))
+            found.append((score, [{"doc_id": int(self.ids[i]), "cosine": float(c), "label": int(self.marks[i])} for i, c in zip(near, cosines, strict=True)]))
+        return found
 
 
 def fit_toxicity(
     documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", examples_per_label: int = 1_500,
-    folds: int = 5, k: int = 15, most_terms: int = 4_096, min_examples: int = 5, min_z: float = 2.0,
+    folds: int = 5, k: int = 15,
 ) -> ToxicityModel:
     """Index up to ``examples_per_label`` labelled texts of each label and fit the curve.
 
-    Only ids whose crc32 is not divisible by ``folds`` are used. The terms of the index
-    (words and beginnings of words) are those in at least ``min_examples`` examples whose share differs between the
-    labels (``min_z`` standard errors), ``most_terms`` at most. Document frequencies
-    are counted over all of ``documents``.
+    Only ids whose crc32 is not divisible by ``folds`` are used. The index holds every term
+    (word or beginning of a word) of these texts. Document frequencies are counted over all
+    of ``documents``; a term weighs its inverse document frequency times one plus the
+    standard errors between its shares of the two labels, which is never zero.
     """
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col("label").cast("int").alias("label")).filter("label IN (0, 1)")
     learn = usable.filter(fold(F.col("doc_id"), folds) != 0)
     prior = float(learn.agg(F.avg("label")).first()[0] or 0.0)
     sample = labelled_texts(documents, learn.select(F.col("doc_id").alias(id_col), "label"), examples_per_label, id_col=id_col, text_col=text_col)
-    ids, marks, counts = _example_counts(sample)
-    terms = index_terms(counts, marks, most_terms, min_examples, min_z) if 0 < marks.sum() < len(marks) else []
-    if not terms:
+    ids, marks, terms, examples = _example_counts(sample)
+    if not terms or not 0 < marks.sum() < len(marks):
         return ToxicityModel({}, np.zeros(0), None, ids, marks, 0.0, 0.0, prior, k)
     vocabulary = {w: i for i, w in enumerate(terms)}
     rows, seen = document_frequencies(documents, text_col, vocabulary)
-    idf = np.log((rows + 1.0) / (np.minimum(seen, rows) + 0.5))
-    vectors = [term_vector([w for w, n in c.items() for _ in range(n)], vocabulary, idf) for c in counts]
-    # Similar examples share blocks, so bounds are tight: by label, then by heaviest term.
-    heaviest = np.array([v[0][v[1].argmax()] if len(v[0]) else -1 for v in vectors])
-    order = np.lexsort((ids, heaviest, marks))
-    ids, marks, vectors = ids[order], marks[order], [vectors[i] for i in order]
-    index = BlockMaxIndex(vectors, len(terms))
-    own = np.array([vote(marks, *index.nearest(v[0], v[1], k, without=i)) for i, v in enumerate(vectors)])
-    return ToxicityModel(vocabulary, idf, index, ids, marks, *calibration(own, marks, prior), k)
+    weight = np.log((rows + 1.0) / (np.minimum(seen, rows) + 0.5)) * (1.0 + contrasts(examples, marks, len(terms)))
+    vectors = [unit_vector(*e, weight) for e in examples]
+    index = ExampleIndex(vectors, len(terms))
+    own = [
+        vote(marks, *largest(cosines, k, without=at + i))
+        for at in range(0, len(vectors), BATCH_ROWS) for i, cosines in enumerate(index.cosines(vectors[at : at + BATCH_ROWS]))
+    ]
+    return ToxicityModel(vocabulary, weight, index, ids, marks, *calibration(np.array(own), marks, prior), k)
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, **options) -> DataFrame:
     """Per row: ``doc_id, held_out, score, predicted, evidence``.
 
     ``labels`` has ``doc_id, label`` (0 or 1); ``options`` are those of ``fit_toxicity``.
-    Each text is compared with all examples (exact, pruned by block maxima); the
+    Each text is compared with all examples by all terms; the
     nearest vote by squared cosine and the curve fitted to leave-one-out votes turns
     the vote into ``score``. ``evidence`` lists ``(doc_id, cosine, label)`` of the voters.
 
-    A text that shares no word with the index, an empty or a null one has the
+    A text that shares no term with any example, an empty or a null one has the
     calibrated rate of such examples and no evidence. Without examples of both labels
     every score is the share of label 1 (0 without labels). Repeated rows repeat,
     other columns are ignored, an empty table gives no rows. Runs jobs while the plan
@@ -233,7 +244,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "do
     model = fit_toxicity(documents, labels, id_col=id_col, text_col=text_col, folds=folds, **options)
 
     def make():
-        return lambda texts: list(map(list, zip(*map(model.judge, texts), strict=True))) if texts else [[], []]
+        return lambda texts: list(map(list, zip(*model.judge_all(texts), strict=True))) if texts else [[], []]
 
     scored = score_texts(documents, id_col, text_col, make, "score double, evidence array<struct<doc_id:long,cosine:double,label:int>>")
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False))
@@ -248,6 +259,6 @@ def without_toxic(documents: DataFrame, labels: DataFrame, *, text_col: str = "t
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                yield batch.filter(pa.array([model.judge(text.as_py())[0] < reject_from for text in batch[text_col]], pa.bool_()))
+                yield batch.filter(pa.array([score < reject_from for score, _ in model.judge_all(batch[text_col].to_pylist())], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import zlib
 
 import helpers
 import numpy as np
@@ -168,6 +169,22 @@ def test_toxicity_odd_rows(spark):
     assert {r["score"] for r in toxicity.score_toxicity(df, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_compares_all_words(spark):
+    """Words of a single example, and words as frequent under both labels, count as well."""
+    rng = random.Random(16)
+    rows = [(i, sentence(rng, 40) + (" vile scum" if i % 3 == 0 else " fine day")) for i in range(240)]
+    alone = [(300 + i, f"zq{i}x wv{i}u yt{i}s") for i in range(20)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows + alone], "doc_id long, label int")
+    copies = [(1000 + i, t) for i, t in alone]
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs_of(spark, rows + alone + copies), labels).collect()}
+    learnt = [i for i, _ in alone if zlib.crc32(str(i).encode()) % 5]
+    assert learnt
+    for i in learnt:
+        (near,) = got[1000 + i]["evidence"]
+        assert (near["doc_id"], near["label"]) == (i, int(i % 3 == 0)) and near["cosine"] == pytest.approx(1.0)
+        assert got[1000 + i]["predicted"] == int(i % 3 == 0)
+
+
 # Language
 
 
