@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
-import regex
 from pyspark.sql import DataFrame
 
 from taskatlas.llm.batches import score_texts
@@ -38,6 +37,70 @@ def seeds(notice: str, errors: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def letter_masks(notice: str) -> dict[str, int]:
+    """For each letter the numbers of its places in the notice, from 1, as bits."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(notice, 1):
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
+def read_letter(states: list[int], mask: int, limit: int) -> None:
+    """One step of the search with edits: bit ``i`` of ``states[d]`` says that the letters read
+    since a start are the first ``i`` of the notice with at most ``d`` edits."""
+    before = after = 0
+    for d, state in enumerate(states):
+        # The same letter; an added or another one; a letter of the notice that is missing.
+        after = ((state << 1) & mask | before | before << 1 | after << 1) & limit
+        before, states[d] = state, after
+
+
+class NoticeSearch:
+    """All places of a notice as whole words with at most ``errors`` edits; exact."""
+
+    def __init__(self, notice: str, errors: int):
+        self.size, self.errors, self.limit = len(notice), errors, (2 << len(notice)) - 1
+        self.masks, self.back = letter_masks(notice), letter_masks(notice[::-1])
+
+    def _least(self, states: list[int]) -> int | None:
+        return next((d for d, state in enumerate(states) if state >> self.size & 1), None)
+
+    def _start(self, text: str, low: int, end: int, edits: int) -> int:
+        """The last start of a word from which the match has so few edits."""
+        states = [(2 << d) - 1 for d in range(edits + 1)]
+        for p in range(end - 1, low - 1, -1):
+            read_letter(states, self.back.get(text[p], 0), self.limit)
+            if states[-1] >> self.size & 1 and text[p] != " " and (p == 0 or text[p - 1] == " "):
+                return p
+        raise AssertionError("a match has a start")
+
+    def find(self, text: str, low: int, high: int) -> Iterator[tuple[int, int, int]]:
+        """First letter, end and edits of places that do not overlap, from the left; of the
+        ends within twice the errors behind the first one, that with the fewest edits counts."""
+        while True:
+            states, best, stop = [0] * (self.errors + 1), None, high
+            for p in range(low, high):
+                c = text[p]
+                if c != " " and (p == 0 or text[p - 1] == " "):
+                    states = [state | (2 << d) - 1 for d, state in enumerate(states)]
+                elif not states[-1]:
+                    continue
+                read_letter(states, self.masks.get(c, 0), self.limit)
+                if states[-1] >> self.size & 1 and c != " " and (p + 1 == len(text) or text[p + 1] == " "):
+                    edits = self._least(states)
+                    if best is None:
+                        stop = min(high, p + 1 + 2 * self.errors)
+                    if best is None or edits < best[0]:
+                        best = edits, p + 1
+                if p + 1 >= stop:
+                    break
+            if best is None:
+                return
+            edits, end = best
+            yield self._start(text, low, end, edits), end, edits
+            low = end
+
+
 def make_finder(
     phrases: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str]], error_share: float
 ) -> Callable[[bytes], tuple[list[tuple[str, int]], list[tuple[str, int, int, int, float]]]]:
@@ -51,8 +114,7 @@ def make_finder(
     searched = [(f" {text} ", label, 0) for text, label in phrases]
     searched += [(text, label, max(1, int(len(text) * error_share))) for text, label in notices]
     for n, (text, label, errors) in enumerate(searched):
-        allowed = f"{{e<={errors}}}" if errors else ""
-        patterns.append((regex.compile(rf"(?e)(?:{regex.escape(text, literal_spaces=True)}){allowed}"), errors, len(text), label))
+        patterns.append((NoticeSearch(text, errors), errors, len(text), label))
         for offset, piece in seeds(text, errors):
             owners.setdefault(piece, []).append((n, offset, len(piece)))
     for piece, of in owners.items():
@@ -78,17 +140,9 @@ def make_finder(
                 else:
                     spans.append([low, high])
         for n, spans in windows.items():
-            pattern, _, size, label = patterns[n]
+            search, _, size, label = patterns[n]
             for low, high in spans:
-                for m in pattern.finditer(text, low, high):
-                    first, last = m.start(), m.end()
-                    # Whole words only; a blank at an end belongs to no word.
-                    whole = (first == 0 or " " in text[first - 1 : first + 1]) and (last == len(text) or " " in text[last - 1 : last + 1])
-                    if whole:
-                        first += text[first : first + 1] == " "
-                        last -= text[last - 1 : last] == " "
-                        edits = sum(m.fuzzy_counts)
-                        found.append((label, first, last, edits, 1.0 - edits / size))
+                found += [(label, first, last, edits, 1.0 - edits / size) for first, last, edits in search.find(text, low, high)]
         return places, found
 
     return find
@@ -103,7 +157,7 @@ def scan_notices(
     ``places`` lists ``(label, word)`` for every place where the words of a phrase
     stand in a row, ``notices`` lists ``(label, first_word, last_word, edits,
     similarity)`` of the fuzzy search: exact seeds, one more than the edits allowed,
-    locate candidates; bounded-error matching verifies them. Row-local, on whole
+    locate candidates; a bit-parallel search for whole words within the bound verifies them. Row-local, on whole
     texts. Null and empty texts have no words and no places; repeated rows repeat;
     an empty table gives no rows; other columns are ignored.
     """

@@ -386,6 +386,40 @@ def test_seeds_find_every_match_within_the_bound():
         assert bool(find(whole.encode())[1]) == bool(pattern.search(whole))
 
 
+def least_edits(text, notice):
+    """Fewest edits between the notice and whole words of a text with blanks around, by the full table."""
+    row = [0 if j and text[j - 1] == " " else 10**6 for j in range(len(text) + 1)]
+    for j in range(1, len(row)):
+        row[j] = min(row[j], row[j - 1] + 1)
+    for c in notice:
+        new = [row[0] + 1]
+        for j in range(1, len(row)):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (text[j - 1] != c)))
+        row = new
+    return min(row[j] for j in range(len(text)) if text[j] == " ")
+
+
+def test_notices_with_letters_added_at_the_ends():
+    for text, label in [
+        ("is released under the mit licenses today", "mit"), ("creative commons attributions", "cc-by"), ("unlicensed under the apache license version 2 0", "apache-2"),
+        ("licensed under the apache license version 2 01", "apache-2"), ("licensed under the apache license version 2 0ecxex", "apache-2"),
+    ]:
+        assert [n[0] for n in notices.make_finder((), notices.NOTICES, notices.ERROR_SHARE)(f" {text} ".encode())[1]] == [label]
+    rng = random.Random(17)
+    finders = [(t, max(1, int(len(t) * notices.ERROR_SHARE)), notices.make_finder((), [(t, v)], notices.ERROR_SHARE)) for t, v in notices.NOTICES]
+    for _ in range(600):
+        notice, errors, find = rng.choice(finders)
+        letters = notice
+        for _ in range(rng.randint(0, errors + 1)):
+            at, kind, c = rng.choice([0, len(letters), rng.randrange(len(letters))]), rng.random(), rng.choice("abcx e")
+            letters = letters[:at] + (c if kind < 0.8 else "") + letters[at + (kind > 0.6) :]
+        whole = f" {' '.join((rng.choice(['some words ', '', 'x ', 'a ']) + letters + rng.choice([' and more', '', ' a', ' s'])).split())} "
+        least, found = least_edits(whole, notice), find(whole.encode())[1]
+        assert [n[3] for n in found] == ([least] if least <= errors else []), (whole, found, least)
+        for _, first, last, edits, _ in found:
+            assert whole[first - 1] == whole[last] == " " and least_edits(f" {whole[first:last]} ", notice) == edits
+
+
 # Quality
 
 
