@@ -48,16 +48,16 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType = DOCUME
     return drop_identical(read_delimited(spark, path, schema, multi_line=multi_line))
 
 
-def read_ratings(spark: SparkSession, path: str, *, required: tuple[str, ...] = RESULT_COLUMNS) -> DataFrame:
+def read_ratings(spark: SparkSession, path: str, *, required: tuple[str, ...] = RESULT_COLUMNS, multi_line: bool = False) -> DataFrame:
     """Task ratings from Parquet or delimited files, plain names, required columns checked."""
-    raw = spark.read.parquet(path) if suffix_of(path) == ".parquet" else read_delimited(spark, path)
+    raw = spark.read.parquet(path) if suffix_of(path) == ".parquet" else read_delimited(spark, path, multi_line=multi_line)
     named = require_columns(rename_ratings(raw), required)
     return named.withColumns({c: F.col(c).try_cast(t) for c, t in NUMBER_COLUMNS.items() if c in named.columns})
 
 
-def read_topics(spark: SparkSession, path: str) -> DataFrame:
+def read_topics(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
     """Topic lookup with the headings ``AI topic`` and ``Topics``."""
-    raw = read_delimited(spark, path)
+    raw = read_delimited(spark, path, multi_line=multi_line)
     return raw.select(F.col("AI topic").try_cast("int").alias("flag"), F.col("Topics").alias("topic"))
 
 
@@ -69,7 +69,7 @@ def list_names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(n for n in names if not n.startswith(("_", ".")))
 
 
-def read_category_results(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+def read_category_results(spark: SparkSession, folder: str, pattern: str | None = None, *, multi_line: bool = False) -> DataFrame:
     """Per-category result files as one long table; the category comes from the name.
 
     There is one entry per category. Year columns may differ between entries: the
@@ -80,7 +80,7 @@ def read_category_results(spark: SparkSession, folder: str, pattern: str | None
         stem = entry.removeprefix(NAME_PREFIX).removesuffix(".csv")
         if pattern and pattern not in stem:
             continue
-        wide = rename_ratings(read_delimited(spark, f"{folder.rstrip('/')}/{entry}"))
+        wide = rename_ratings(read_delimited(spark, f"{folder.rstrip('/')}/{entry}", multi_line=multi_line))
         wide = require_columns(wide, [c for c in RATING_NAMES.values() if c in ("soc_code", "title", "task", "scale_name", "data_value")])
         years = year_columns(wide)
         typed = wide.withColumns({"data_value": F.col("data_value").try_cast("double"), **{y: F.col(f"`{y}`").try_cast("double").try_cast("long") for y in years}})

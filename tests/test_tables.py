@@ -51,6 +51,18 @@ def test_results_with_different_years(spark, tmp_path):
         readers.read_category_results(spark, str(tmp_path), "0.99")
 
 
+def test_line_breaks_in_ratings_topics_and_results(spark, tmp_path):
+    task = 'first line\nsecond "line"'
+    wide = spark.createDataFrame([("nlp", "15", "T", task, "Importance", "Core", 4.5, 3)], "ai_category string, soc_code string, title string, task string, scale_name string, category string, data_value double, `2021` long")
+    writers.write_by_category(wide, f"{tmp_path}/results", first_year=2021, last_year=2021, threshold=0.75)
+    got = readers.read_category_results(spark, f"{tmp_path}/results", multi_line=True).collect()
+    assert [(r["ai_category"], r["task"], r["data_value"], r["year"], r["matches"]) for r in got] == [("nlp", task, 4.5, 2021, 3)]
+    writers.save_table(spark.createDataFrame([(task, "x")], "Task string, Title string"), f"{tmp_path}/ratings.csv")
+    assert [r["task"] for r in readers.read_ratings(spark, f"{tmp_path}/ratings.csv", required=("task",), multi_line=True).collect()] == [task]
+    writers.save_table(spark.createDataFrame([("1", task)], "`AI topic` string, Topics string"), f"{tmp_path}/topics.csv")
+    assert [tuple(r) for r in readers.read_topics(spark, f"{tmp_path}/topics.csv", multi_line=True).collect()] == [(1, task)]
+
+
 def test_topics(spark, tmp_path):
     (tmp_path / "topics.csv").write_text("AI topic,Topics\n1,Machine Learning\n0,Manufacturing\n")
     assert [tuple(r) for r in readers.read_topics(spark, f"{tmp_path}/topics.csv").collect()] == [(1, "Machine Learning"), (0, "Manufacturing")]
