@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from taskatlas.llm.components import components
@@ -254,6 +255,11 @@ def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col
     shingles and is its own component. Repeated rows repeat. An empty table gives no
     rows, other columns are ignored. Runs jobs while the plan is built.
     """
+    return _named_rows(documents, id_col, text_col, width, percent).drop("cls")
+
+
+def _named_rows(documents: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """The rows of ``jaccard_components`` with the class of each row's set."""
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     by_key = Window.partitionBy("key")
     rows = _rows(texts, width, percent).withColumns(
@@ -297,22 +303,34 @@ def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col
     names = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = least.select("cls", "component").join(names, "component").select("cls", "component_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return sized.join(named, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"))
-
+    return sized.join(named, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"), "cls")
 
 
 def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents with all their columns, of each component the one with the smallest id.
 
-    Rows with a null id stay. Of rows that share an id those with equal texts are
-    reduced to one.
+    Rows with a null id stay. Of rows that share an id each is judged by its own text,
+    and those with equal texts are reduced to one.
     """
-    rows = stored(jaccard_components(documents, id_col=id_col, text_col=text_col, width=width, percent=percent), "parity-rows")
-    copies = rows.filter("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = documents.join(copies, id_col, "left_anti")
+    rows = stored(_named_rows(documents, id_col, text_col, width, percent), "parity-rows")
+    copies = rows.filter("component_id <> doc_id").select(F.col("doc_id").alias(id_col), F.col("cls").alias("__cls")).distinct()
     repeated = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(id_col))
     repeated = stored(repeated, "parity-repeated")
-    if repeated.limit(1).count():
-        single = kept.join(repeated, id_col, "left_semi").withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).drop("__text")
-        kept = kept.join(repeated, id_col, "left_anti").unionByName(single)
-    return kept.select(*documents.columns)
+    if not repeated.limit(1).count():
+        return documents.join(copies, id_col, "left_anti").select(*documents.columns)
+    kept = documents.join(repeated, id_col, "left_anti").join(copies, id_col, "left_anti")
+    single = _with_class(documents.join(repeated, id_col, "left_semi"), text_col, width).join(copies, [id_col, "__cls"], "left_anti")
+    single = single.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"])
+    return kept.select(*documents.columns).unionByName(single.select(*documents.columns))
+
+
+def _with_class(documents: DataFrame, text_col: str, width: int) -> DataFrame:
+    """The documents with the class of each row's set as ``__cls``; row-local."""
+    rows = documents.withColumn("__cls", F.col(text_col).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = pa.array([set_class(shingles(t.as_py(), width)) for t in batch["__cls"]], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], classes], names=batch.schema.names)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("__cls", T.LongType())]))

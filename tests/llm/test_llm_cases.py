@@ -263,6 +263,12 @@ def test_joined_odd_rows(spark):
     assert parity_join.jaccard_components(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_a_copy_does_not_remove_other_texts_of_its_id(spark):
+    rows = [(3, "a b c d e f"), (5, "A B c d e f"), (5, "quite other words that nobody repeats"), (5, "quite other words that nobody repeats"), (6, None), (6, "a b c d e f"), (8, "A b c d e f")]
+    kept = parity_join.one_of_each(docs_of(spark, rows))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [rows[0], rows[2], rows[4]]
+
+
 def test_bound_of_differing_parts():
     bands = parity_join.Bands(80)
     for a in range(1, 300):
