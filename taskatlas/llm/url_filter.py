@@ -71,18 +71,24 @@ def lexical(urls: DataFrame) -> DataFrame:
     })
 
 
-def suffix_table(sample: DataFrame, col: str) -> DataFrame:
-    """Labelled rows and blocked rows per suffix of the bounded sample."""
-    return sample.groupBy(col).agg(F.count("*").alias(f"{col}_n"), F.sum("label").alias(f"{col}_blocked"))
+def suffix_table(labelled: DataFrame, col: str) -> DataFrame:
+    """Labelled rows and blocked rows per suffix, over all labelled rows."""
+    return stored(labelled.groupBy(col).agg(F.count("*").alias(f"{col}_n"), F.sum("label").alias(f"{col}_blocked")), "url-suffixes")
+
+
+def training_sample(source: DataFrame, max_urls: int) -> DataFrame:
+    """``url, label, copies``: the different labelled urls with the smallest hash of the url, and how many rows each has."""
+    counted = source.groupBy("url", "label").agg(F.count("*").cast("double").alias("copies"))
+    return counted.orderBy(F.xxhash64("url"), "url", "label").limit(max_urls)
 
 
 def with_suffixes(rows: DataFrame, tables: dict[str, DataFrame], mean: float, own: bool) -> DataFrame:
-    """Smoothed block rate and frequency of each suffix; ``own`` leaves the row itself out of its counts."""
+    """Smoothed block rate and frequency of each suffix; ``own`` leaves the ``copies`` of the row out of its counts."""
     for col, counts in tables.items():
-        rows = rows.join(F.broadcast(counts), col, "left")
-        less = F.lit(1.0 if own else 0.0)
+        rows = rows.join(counts, col, "left")
+        less = F.col("copies") if own else F.lit(0.0)
         n = F.greatest(F.coalesce(F.col(f"{col}_n"), F.lit(0)) - less, F.lit(0.0))
-        blocked = F.coalesce(F.col(f"{col}_blocked"), F.lit(0.0)) - (F.col("label") if own else F.lit(0.0))
+        blocked = F.coalesce(F.col(f"{col}_blocked"), F.lit(0.0)) - (F.col("label") * less if own else F.lit(0.0))
         rows = rows.withColumns({f"{col}_rate": (blocked + SUFFIX_PRIOR * mean) / (n + SUFFIX_PRIOR), f"{col}_seen": F.log1p(n)}).drop(f"{col}_n", f"{col}_blocked")
     return rows
 
@@ -95,10 +101,10 @@ def judge_urls(
 
     The longest fitting rule decides; without one, boosted trees do, trained on
     ``labelled`` (``url, label`` with 1 for block) or, without that, on the urls
-    that a rule decides. Training uses at most ``max_training_rows`` of the labelled
-    rows, those with the smallest hash of the url; this also bounds the suffix
-    tables, which are broadcast. With labels of only one kind that kind is the
-    verdict; with none it is allow.
+    that a rule decides. Training uses at most ``max_training_rows`` different labelled
+    urls, those with the smallest hash, each weighted by its rows; the suffix tables
+    count all labelled rows. With labels of only one kind that kind is the verdict;
+    with none it is allow.
 
     Null and malformed urls have an empty host and path and are judged like any
     other; repeated rows stay; an empty table gives no rows; other columns are
@@ -112,16 +118,17 @@ def judge_urls(
         source = ruled.filter("rule IS NOT NULL").select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
     else:
         source = labelled.select("url", host.alias("host"), path.alias("path"), F.col("label").cast("double").alias("label")).dropna(subset=["label"])
-    sample = stored(lexical(source.orderBy(F.xxhash64("url"), "url").limit(max_training_rows)), "url-sample")
-    n, blocked = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("b")).first()
+    n, blocked = source.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("b")).first()
     if not 0 < blocked < n:
         says = F.lit(1.0 if n and blocked == n else 0.0)
         scored = ruled.withColumn("score", says)
     else:
-        tables = {"suffix": suffix_table(sample, "suffix"), "domain": suffix_table(sample, "domain")}
+        featured = lexical(source)
+        tables = {"suffix": suffix_table(featured, "suffix"), "domain": suffix_table(featured, "domain")}
+        sample = stored(lexical(training_sample(source, max_training_rows).withColumns({"host": host, "path": path})), "url-sample")
         assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        ready = assembled.transform(with_suffixes(sample, tables, blocked / n, own=True)).select("label", "features")
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7).fit(ready)
+        ready = assembled.transform(with_suffixes(sample, tables, blocked / n, own=True)).select("label", "copies", "features")
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, weightCol="copies").fit(ready)
         rows = assembled.transform(with_suffixes(lexical(ruled), tables, blocked / n, own=False))
         scored = model.transform(rows).withColumn("score", F.get(vector_to_array("probability"), 1))
     says = F.coalesce("ruled", F.when(F.col("score") >= threshold, "block").otherwise("allow"))

@@ -129,6 +129,19 @@ def test_trees_learn_from_labels(spark):
     assert np.mean([(r["verdict"] == "block") == bool(r["label"]) for r in got]) > 0.95
 
 
+def test_copies_of_a_url_do_not_fill_the_training_sample(spark):
+    rng = random.Random(4)
+    urls = [(f"http://{sentence(rng, 1)}.site/{'/'.join(str(rng.randrange(10**9)) for _ in range(4)) if bad else sentence(rng, 1)}", int(bad)) for bad in [True, False] * 100]
+    # The url with the smallest hash, so its copies come first.
+    first = spark.createDataFrame(urls, "url string, label int").orderBy(F.xxhash64("url")).first()
+    labelled = spark.createDataFrame(urls + [tuple(first)] * 300, "url string, label int")
+    sample = url_filter.training_sample(labelled, 200).collect()
+    assert sorted((r["url"], r["label"], r["copies"]) for r in sample) == sorted((u, b, 301.0 if u == first["url"] else float(urls.count((u, b)))) for u, b in set(urls))
+    pages = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(urls)], "page_id long, url string, label int")
+    got = url_filter.judge_urls(pages, "page_id", "url", rules=(), labelled=labelled, max_training_rows=200).join(pages.drop("url"), "page_id").collect()
+    assert np.mean([(r["verdict"] == "block") == bool(r["label"]) for r in got]) > 0.95
+
+
 # Toxicity
 
 
