@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskatlas.llm import contamination, inner_product, language, notices, packing, parity_join, pseudonyms, quality, toxicity, url_filter
+from taskatlas.llm import contamination, filter_audit, inner_product, language, notices, packing, parity_join, pseudonyms, quality, toxicity, url_filter
 from taskatlas.plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +166,49 @@ FROM doc LEFT JOIN n ON n.doc_id = doc.doc_id LEFT JOIN (SELECT a, min(b) AS lea
 @query("op6_components", OP6_SQL)
 def _(spark, sf):
     return parity_join.jaccard_components(table(spark, sf, "documents"))
+
+
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), good AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), fail AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {
+    'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+    'C': 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * len(t), 'D': regexp_matches(t, '[#$%&*|]'),
+    'E': coalesce(doc.doc_id > min(doc.doc_id) OVER (PARTITION BY t), false)} AS f
+  FROM doc LEFT JOIN good ON good.doc_id = doc.doc_id
+), cell AS (
+  SELECT part, CAST(f.A AS INTEGER) + 2 * CAST(f.B AS INTEGER) + 4 * CAST(f.C AS INTEGER) + 8 * CAST(f.D AS INTEGER) + 16 * CAST(f.E AS INTEGER) AS mask,
+         count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM fail GROUP BY ALL
+), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ord AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), step AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+         CAST(coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0) AS INTEGER) AS earlier
+  FROM ord, (SELECT unnest(range(1, 6)) AS step)
+), counts AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & earlier <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cell, step GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counts
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def _(spark, sf):
+    return filter_audit.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
