@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskatlas.llm import contamination, filter_audit, inner_product, language, notices, packing, parity_join, pseudonyms, quality, toxicity, url_filter
+from taskatlas.llm import collocations, contamination, filter_audit, inner_product, language, notices, packing, parity_join, pseudonyms, quality, toxicity, url_filter
 from taskatlas.plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,3 +212,39 @@ FROM counts
 @query("op12_filter_audit", OP12_SQL)
 def _(spark, sf):
     return filter_audit.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+OP13_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM w, (SELECT unnest(range(1, 6)) AS k), unnest(range(1, len(w) - k + 2)) AS t(i) GROUP BY ALL
+), cand AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 100),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, s.i, l.f AS l, r.f AS r, n,
+         (1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM cand c, unnest(range(1, c.k)) AS s(i)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:s.i], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[s.i + 1:], ' ')
+  JOIN total ON total.lang = c.lang
+), best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inside AS (
+  SELECT c.lang, array_to_string(c.w[s.i:s.i + z.size - 1], ' ') AS phrase, max(c.a) AS longer
+  FROM cand c, unnest(range(2, c.k)) AS z(size), unnest(range(1, c.k - z.size + 2)) AS s(i) GROUP BY ALL
+)
+SELECT * FROM (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r,
+         CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+  FROM best b LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+) WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def _(spark, sf):
+    return collocations.mine_collocations(table(spark, sf, "documents"))

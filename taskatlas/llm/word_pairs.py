@@ -1,0 +1,121 @@
+"""Streams of word numbers, and the frequent word pairs of a whole corpus as a bit table of fixed size."""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+
+CHUNK = 1 << 14
+U64 = np.uint64
+
+
+class Vocabulary(dict):
+    """Words (bytes) of one task, numbered as they come, with a 64-bit hash that is the same in every task."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: list[bytes] = []
+        self._hashes = np.empty(0, U64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.words)
+        self.words.append(word)
+        return number
+
+    def bound(self, size: int) -> None:
+        """Start anew when there are more than ``size`` words."""
+        if len(self) > size:
+            self.clear()
+            self.words, self._hashes = [], np.empty(0, U64)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hashes(self) -> np.ndarray:
+        """Hash of each word by its number."""
+        new = self.words[len(self._hashes) :]
+        if new:
+            self._hashes = np.concatenate([self._hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), U64, len(new))])
+        return self._hashes
+
+
+def chained(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of a sequence from the hash of all but its last part and the hash of that."""
+    x = (left ^ (left >> U64(31))) * U64(0x9E3779B97F4A7C15) + right
+    x = (x ^ (x >> U64(29))) * U64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U64(32))
+
+
+class PairTable:
+    """Says of a pair's hash whether its bucket was seen often; never no for a frequent pair."""
+
+    def __init__(self, packed: np.ndarray, bits: int):
+        self.packed, self.bits = packed, bits
+
+    def frequent(self, pairs: np.ndarray) -> np.ndarray:
+        bucket = pairs >> U64(64 - self.bits)
+        return (self.packed[bucket >> U64(3)] >> (bucket & U64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _raise(counts: np.ndarray, at: np.ndarray, by: np.ndarray, top: int) -> None:
+    counts[at] = np.minimum(counts[at].astype(np.int64) + by, top).astype(counts.dtype)
+
+
+def frequent_pairs(rows: DataFrame, pairs_of: Callable[[], Callable[[pa.RecordBatch], Iterator[np.ndarray]]], min_count: int, bits: int) -> PairTable:
+    """Buckets of pair hashes that hold ``min_count`` occurrences or more in all rows.
+
+    ``pairs_of`` runs once per task and returns a function from a batch to arrays of
+    64-bit pair hashes. Every task has 2 ** ``bits`` counters that stop at ``min_count``;
+    they are sent packed, in pieces, and each piece is added up as its copies stream by, so
+    a task holds counters of fixed size whatever the corpus. The table that comes
+    to the driver has 2 ** ``bits`` bits. Pairs that share a bucket only make a yes too many.
+    """
+    kind = np.uint8 if min_count < 256 else np.uint32
+    size = min(CHUNK, 1 << bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, read = np.zeros(1 << bits, kind), pairs_of()
+        for batch in batches:
+            for pairs in read(batch):
+                bucket, n = np.unique(pairs >> U64(64 - bits), return_counts=True)
+                _raise(counts, bucket, n, min_count)
+        for chunk, part in enumerate(counts.reshape(-1, size)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, packed in zip(batch["chunk"].to_pylist(), batch["counts"]):
+                part = np.frombuffer(zlib.decompress(packed.as_py()), kind)
+                held = sums.setdefault(chunk, np.zeros(size, kind))
+                held[:] = np.minimum(held.astype(np.int64) + part, min_count)
+        for chunk, held in sums.items():
+            bit = np.packbits(held >= min_count, bitorder="little")
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([bit.tobytes()], pa.binary())], names=["chunk", "bits"])
+
+    parts = rows.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, bits binary").toArrow()
+    packed = np.zeros((1 << bits) // 8, np.uint8)
+    for chunk, found in zip(parts["chunk"].to_pylist(), parts["bits"].to_pylist()):
+        packed[chunk * size // 8 : (chunk + 1) * size // 8] = np.frombuffer(found, np.uint8)
+    return PairTable(packed, bits)
+
+
+def merged_rows(columns: list[np.ndarray], counts: np.ndarray, keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows that are equal in all columns as one with the sum of their counts.
+
+    They are brought together by their hashes ``keys``; rows of one hash that differ
+    stay apart, equal ones may stay apart beside them.
+    """
+    order = np.argsort(keys, kind="stable")
+    columns, counts = [c[order] for c in columns], counts[order]
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    first = np.nonzero(new)[0]
+    return [c[first] for c in columns], np.add.reduceat(counts, first) if len(first) else counts
