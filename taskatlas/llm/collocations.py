@@ -9,15 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskatlas.llm.batches import BATCH_ROWS
-from taskatlas.llm.word_pairs import PairTable, Vocabulary, chained, frequent_pairs, merged_rows
+from taskatlas.llm.word_pairs import PairTable, Vocabulary, chained, frequent_pairs, merged_rows, text_runs
 from taskatlas.operators.ranking import top_per_group
 from taskatlas.sources.storage import stored
 
 # Small letters; all that ends a piece becomes a full stop.
 PIECE_TABLE = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
-HELD_ROWS = 1_000_000
-HELD_WORDS = 2_000_000
+HELD_ROWS = 300_000
+HELD_WORDS = 300_000
 
 
 def piece_words(texts: list[str | None]) -> list[bytes]:
@@ -29,8 +28,7 @@ def piece_words(texts: list[str | None]) -> list[bytes]:
 def _streams(batch: pa.RecordBatch, vocabulary: Vocabulary) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """Per language of a batch: word numbers (0: a piece ends) and the hashes of the words in that language."""
     vocabulary[b"."]
-    for at in range(0, batch.num_rows, BATCH_ROWS):
-        part = batch.slice(at, BATCH_ROWS)
+    for part in text_runs(batch):
         by_lang: dict[str, list[str | None]] = {}
         for lang, text in zip(part["lang"].to_pylist(), part["text"].to_pylist()):
             by_lang.setdefault(lang, []).append(text)
@@ -94,7 +92,7 @@ def window_counts(rows: DataFrame, table: PairTable, longest: int) -> DataFrame:
                 follows = np.zeros(len(numbers), dtype=bool)
                 inside = np.nonzero((numbers[1:] > 0) & (numbers[:-1] > 0))[0]
                 follows[inside] = known.frequent(chained(hashes[inside], hashes[inside + 1]))
-                columns, alive = [np.full(len(numbers), langs[lang.encode()]), numbers], follows
+                columns, alive = [np.full(len(numbers), langs[lang.encode()], np.int32), numbers], follows
                 for step in range(1, longest):
                     later = np.zeros_like(numbers)
                     later[:-step] = np.where(alive[:-step], numbers[step:], 0)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -34,7 +35,7 @@ class Vocabulary(dict):
             self.words, self._hashes = [], np.empty(0, U64)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
     def hashes(self) -> np.ndarray:
         """Hash of each word by its number."""
@@ -44,6 +45,17 @@ class Vocabulary(dict):
         return self._hashes
 
 
+def text_runs(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``size`` bytes of ``text``; one long text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def chained(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hash of a sequence from the hash of all but its last part and the hash of that."""
     x = (left ^ (left >> U64(31))) * U64(0x9E3779B97F4A7C15) + right
