@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskatlas.llm.word_pairs import PairTable, Vocabulary, chained, frequent_pairs, merged_rows, text_runs
+from taskatlas.llm.word_grams import GramTable, Vocabulary, chained, frequent_grams, merged_rows, table_bits, text_runs
 from taskatlas.operators.ranking import top_per_group
 from taskatlas.sources.storage import stored
 
 # Small letters; all that ends a piece becomes a full stop.
 PIECE_TABLE = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
-HELD_ROWS = 300_000
+HELD_ROWS = 400_000
 HELD_WORDS = 300_000
 
 
@@ -39,30 +39,31 @@ def _streams(batch: pa.RecordBatch, vocabulary: Vocabulary) -> Iterator[tuple[st
             yield lang, numbers, chained(np.broadcast_to(own.hashes(), len(numbers)), vocabulary.hashes()[numbers])
 
 
-def _pairs_of():
+def _grams_of():
     vocabulary = Vocabulary()
 
     def read(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         vocabulary.bound(HELD_WORDS)
         for _, numbers, hashes in _streams(batch, vocabulary):
+            yield hashes[numbers > 0]
             inside = (numbers[1:] > 0) & (numbers[:-1] > 0)
             yield chained(hashes[:-1], hashes[1:])[inside]
 
     return read
 
 
-def window_counts(rows: DataFrame, table: PairTable, longest: int) -> DataFrame:
+def window_counts(rows: DataFrame, table: GramTable, longest: int) -> DataFrame:
     """``lang, w1 .. wn, n``: counts of the longest windows, one starting at every word.
 
-    A window ends with its piece, after ``longest`` words, or before a pair that
-    ``table`` does not know as frequent; the columns beyond are empty. Counts are partial:
-    a window may come several times.
+    A window ends with its piece, after ``longest`` words, or before a word or pair that
+    ``table`` does not know as frequent; the columns beyond are empty, all of them where
+    the first word is rare. Counts are partial: a window may come several times.
     """
     shared, bits = rows.sparkSession.sparkContext.broadcast(table.packed), table.bits
     names = ["lang", *[f"w{i + 1}" for i in range(longest)], "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vocabulary, langs = PairTable(shared.value, bits), Vocabulary(), Vocabulary()
+        known, vocabulary, langs = GramTable(shared.value, bits), Vocabulary(), Vocabulary()
         held: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []
 
         def key_of(columns: list[np.ndarray]) -> np.ndarray:
@@ -92,7 +93,7 @@ def window_counts(rows: DataFrame, table: PairTable, longest: int) -> DataFrame:
                 follows = np.zeros(len(numbers), dtype=bool)
                 inside = np.nonzero((numbers[1:] > 0) & (numbers[:-1] > 0))[0]
                 follows[inside] = known.frequent(chained(hashes[inside], hashes[inside + 1]))
-                columns, alive = [np.full(len(numbers), langs[lang.encode()], np.int32), numbers], follows
+                columns, alive = [np.full(len(numbers), langs[lang.encode()], np.int32), np.where(known.frequent(hashes), numbers, 0)], follows
                 for step in range(1, longest):
                     later = np.zeros_like(numbers)
                     later[:-step] = np.where(alive[:-step], numbers[step:], 0)
@@ -111,17 +112,17 @@ def window_counts(rows: DataFrame, table: PairTable, longest: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def phrase_counts(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 5, min_count: int = 100, table_bits: int = 22) -> DataFrame:
+def phrase_counts(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 5, min_count: int = 100) -> DataFrame:
     """``lang, words, f``: all phrases of up to ``longest`` words that occur ``min_count`` times or more, in every language.
 
     A row with no words has the number of all word occurrences of its language. Only the
     padded longest windows are counted; ROLLUP adds them up for their shorter
-    beginnings. Windows stop early only at pairs that are too rare for any frequent phrase
+    beginnings. Windows stop early only at words and pairs too rare for any frequent phrase
     to hold them, so every frequent phrase is counted in full.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = documents.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text")).filter(F.length("text") > 0)
-    table = frequent_pairs(rows, _pairs_of, min_count, table_bits)
+    table = frequent_grams(rows, _grams_of, min_count, table_bits(rows))
     parts = [f"w{i + 1}" for i in range(longest)]
     counted = window_counts(rows, table, longest).groupBy("lang", *parts).agg(F.sum("n").alias("n"))
     sums = counted.rollup("lang", *parts).agg(F.sum("n").alias("f"), F.grouping_id().alias("without"))
@@ -133,7 +134,7 @@ def phrase_counts(documents: DataFrame, *, text_col: str = "text", lang_col: str
 
 
 def mine_collocations(
-    documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 5, min_count: int = 100, top: int = 2000, table_bits: int = 22,
+    documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 5, min_count: int = 100, top: int = 2000,
 ) -> DataFrame:
     """Per language the ``top`` phrases: ``lang, rank, phrase, a, l, r, n, score``.
 
@@ -145,10 +146,10 @@ def mine_collocations(
     Null and empty texts have no words; a null language is ``und``. Texts of any length are
     taken whole; rows that repeat count again. Equal scores are ranked by occurrences,
     then by the bytes of the phrase. Other columns are ignored; an empty table
-    gives no rows. Counts pairs while the plan is built.
+    gives no rows. Counts words and pairs while the plan is built.
     """
     counts = stored(
-        phrase_counts(documents, text_col=text_col, lang_col=lang_col, longest=longest, min_count=min_count, table_bits=table_bits)
+        phrase_counts(documents, text_col=text_col, lang_col=lang_col, longest=longest, min_count=min_count)
         .select("lang", "words", F.array_join("words", " ").alias("phrase"), "f"),
         "phrase-counts",
     )

@@ -1,4 +1,4 @@
-"""Streams of word numbers, and the frequent word pairs of a whole corpus as a bit table of fixed size."""
+"""Streams of word numbers, and the frequent words and word pairs of a whole corpus as a bit table of bounded size."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CHUNK = 1 << 14
 U64 = np.uint64
@@ -63,38 +64,44 @@ def chained(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-class PairTable:
-    """Says of a pair's hash whether its bucket was seen often; never no for a frequent pair."""
+class GramTable:
+    """Says of the hash of a word or pair whether its bucket was seen often; never no for a frequent one."""
 
     def __init__(self, packed: np.ndarray, bits: int):
         self.packed, self.bits = packed, bits
 
-    def frequent(self, pairs: np.ndarray) -> np.ndarray:
-        bucket = pairs >> U64(64 - self.bits)
+    def frequent(self, grams: np.ndarray) -> np.ndarray:
+        bucket = grams >> U64(64 - self.bits)
         return (self.packed[bucket >> U64(3)] >> (bucket & U64(7)).astype(np.uint8)) & 1 == 1
 
 
+def table_bits(rows: DataFrame, least: int = 16, most: int = 27) -> int:
+    """log2 of the buckets for a corpus: one for about 32 bytes of ``text``, at most 2 ** ``most``."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(most, max(least, (size // 32).bit_length()))
+
+
 def _raise(counts: np.ndarray, at: np.ndarray, by: np.ndarray, top: int) -> None:
     counts[at] = np.minimum(counts[at].astype(np.int64) + by, top).astype(counts.dtype)
 
 
-def frequent_pairs(rows: DataFrame, pairs_of: Callable[[], Callable[[pa.RecordBatch], Iterator[np.ndarray]]], min_count: int, bits: int) -> PairTable:
-    """Buckets of pair hashes that hold ``min_count`` occurrences or more in all rows.
+def frequent_grams(rows: DataFrame, grams_of: Callable[[], Callable[[pa.RecordBatch], Iterator[np.ndarray]]], min_count: int, bits: int) -> GramTable:
+    """Buckets of hashes that hold ``min_count`` occurrences or more in all rows.
 
-    ``pairs_of`` runs once per task and returns a function from a batch to arrays of
-    64-bit pair hashes. Every task has 2 ** ``bits`` counters that stop at ``min_count``;
+    ``grams_of`` runs once per task and returns a function from a batch to arrays of
+    64-bit hashes. Every task has 2 ** ``bits`` counters that stop at ``min_count``;
     they are sent packed, in pieces, and each piece is added up as its copies stream by, so
     a task holds counters of fixed size whatever the corpus. The table that comes
-    to the driver has 2 ** ``bits`` bits. Pairs that share a bucket only make a yes too many.
+    to the driver has 2 ** ``bits`` bits. Hashes that share a bucket only make a yes too many.
     """
     kind = np.uint8 if min_count < 256 else np.uint32
     size = min(CHUNK, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, read = np.zeros(1 << bits, kind), pairs_of()
+        counts, read = np.zeros(1 << bits, kind), grams_of()
         for batch in batches:
-            for pairs in read(batch):
-                bucket, n = np.unique(pairs >> U64(64 - bits), return_counts=True)
+            for grams in read(batch):
+                bucket, n = np.unique(grams >> U64(64 - bits), return_counts=True)
                 _raise(counts, bucket, n, min_count)
         for chunk, part in enumerate(counts.reshape(-1, size)):
             if part.any():
@@ -115,7 +122,7 @@ def frequent_pairs(rows: DataFrame, pairs_of: Callable[[], Callable[[pa.RecordBa
     packed = np.zeros((1 << bits) // 8, np.uint8)
     for chunk, found in zip(parts["chunk"].to_pylist(), parts["bits"].to_pylist()):
         packed[chunk * size // 8 : (chunk + 1) * size // 8] = np.frombuffer(found, np.uint8)
-    return PairTable(packed, bits)
+    return GramTable(packed, bits)
 
 
 def merged_rows(columns: list[np.ndarray], counts: np.ndarray, keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
