@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,33 +39,92 @@ def _streams(batch: pa.RecordBatch, vocabulary: Vocabulary) -> Iterator[tuple[st
             yield lang, numbers, chained(np.broadcast_to(own.hashes(), len(numbers)), vocabulary.hashes()[numbers])
 
 
-def _grams_of():
-    vocabulary = Vocabulary()
+Knows = Callable[[int, np.ndarray, np.ndarray], np.ndarray]
 
-    def read(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        vocabulary.bound(HELD_WORDS)
-        for _, numbers, hashes in _streams(batch, vocabulary):
-            yield hashes[numbers > 0]
-            inside = (numbers[1:] > 0) & (numbers[:-1] > 0)
-            yield chained(hashes[:-1], hashes[1:])[inside]
 
-    return read
+def _beginnings(numbers: np.ndarray, hashes: np.ndarray, longest: int, knows: Knows) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For k = 1 .. ``longest``: k, the places where k words follow inside a piece, and the hashes of those words.
+
+    ``knows(k, hashes of k words, places of their last word)`` says which of them may grow.
+    """
+    at = np.nonzero(numbers > 0)[0]
+    grams = hashes[at]
+    yield 1, at, grams
+    for k in range(1, longest):
+        known = knows(k, grams, at + k - 1)
+        at, grams = at[known], grams[known]
+        room = at + k < len(numbers)
+        room[room] = numbers[at[room] + k] > 0
+        at = at[room]
+        grams = chained(grams[room], hashes[at + k])
+        yield k + 1, at, grams
+
+
+def _counted_grams(orders: range, knows_of: Callable[[], Callable[[np.ndarray], Knows]]):
+    """For ``frequent_grams``: hashes of the phrases of these numbers of words."""
+
+    def grams_of():
+        vocabulary, knows_in = Vocabulary(), knows_of()
+
+        def read(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            vocabulary.bound(HELD_WORDS)
+            for _, numbers, hashes in _streams(batch, vocabulary):
+                for k, _, grams in _beginnings(numbers, hashes, orders.stop - 1, knows_in(hashes)):
+                    if k in orders:
+                        yield grams
+
+        return read
+
+    return grams_of
+
+
+def _all_known(hashes: np.ndarray) -> Knows:
+    return lambda k, grams, last: np.ones(len(grams), dtype=bool)
 
 
-def window_counts(rows: DataFrame, table: GramTable, longest: int) -> DataFrame:
+def _chain_of(packed, bits: int) -> Callable[[], Callable[[np.ndarray], Knows]]:
+    """Phrases may grow while their words and pairs of neighbours are frequent."""
+
+    def start():
+        table = GramTable(packed.value, bits)
+
+        def knows_in(hashes: np.ndarray) -> Knows:
+            def knows(k: int, grams: np.ndarray, last: np.ndarray) -> np.ndarray:
+                return table.frequent(grams if k < 3 else chained(hashes[last - 1], hashes[last]))
+
+            return knows
+
+        return knows_in
+
+    return start
+
+
+def frequent_phrases(rows: DataFrame, longest: int, min_count: int) -> tuple[GramTable, GramTable]:
+    """Tables of frequent words and pairs, and of longer phrases of frequent pairs."""
+    bits = table_bits(rows)
+    short = frequent_grams(rows, _counted_grams(range(1, 3), lambda: _all_known), min_count, bits)
+    packed = rows.sparkSession.sparkContext.broadcast(short.packed)
+    return short, frequent_grams(rows, _counted_grams(range(3, longest + 1), _chain_of(packed, bits)), min_count, bits)
+
+
+def window_counts(rows: DataFrame, tables: tuple[GramTable, GramTable], longest: int) -> DataFrame:
     """``lang, w1 .. wn, n``: counts of the longest windows, one starting at every word.
 
-    A window ends with its piece, after ``longest`` words, or before a word or pair that
-    ``table`` does not know as frequent; the columns beyond are empty, all of them where
-    the first word is rare. Counts are partial: a window may come several times.
+    A window ends with its piece, after ``longest`` words, or before the word with which
+    ``tables`` no longer know it as frequent; the columns beyond are empty, all of them
+    where the first word is rare. Counts are partial: a window may come several times.
     """
-    shared, bits = rows.sparkSession.sparkContext.broadcast(table.packed), table.bits
+    shared, bits = rows.sparkSession.sparkContext.broadcast([t.packed for t in tables]), [t.bits for t in tables]
     names = ["lang", *[f"w{i + 1}" for i in range(longest)], "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vocabulary, langs = GramTable(shared.value, bits), Vocabulary(), Vocabulary()
+        short, long = map(GramTable, shared.value, bits)
+        vocabulary, langs = Vocabulary(), Vocabulary()
         held: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []
 
+        def knows(k: int, grams: np.ndarray, last: np.ndarray) -> np.ndarray:
+            return (short if k < 3 else long).frequent(grams)
+
         def key_of(columns: list[np.ndarray]) -> np.ndarray:
             key = columns[0].astype(np.uint64)
             for c in columns[1:]:
@@ -90,15 +149,10 @@ def window_counts(rows: DataFrame, table: GramTable, longest: int) -> DataFrame:
 
         for batch in batches:
             for lang, numbers, hashes in _streams(batch, vocabulary):
-                follows = np.zeros(len(numbers), dtype=bool)
-                inside = np.nonzero((numbers[1:] > 0) & (numbers[:-1] > 0))[0]
-                follows[inside] = known.frequent(chained(hashes[inside], hashes[inside + 1]))
-                columns, alive = [np.full(len(numbers), langs[lang.encode()], np.int32), np.where(known.frequent(hashes), numbers, 0)], follows
-                for step in range(1, longest):
-                    later = np.zeros_like(numbers)
-                    later[:-step] = np.where(alive[:-step], numbers[step:], 0)
-                    columns.append(later)
-                    alive = alive & np.concatenate([follows[step:], np.zeros(step, dtype=bool)])
+                columns = [np.full(len(numbers), langs[lang.encode()], np.int32), *[np.zeros_like(numbers) for _ in range(longest)]]
+                for k, at, grams in _beginnings(numbers, hashes, longest, knows):
+                    at = at[knows(k, grams, at)]
+                    columns[k][at] = numbers[at + k - 1]
                 starts = numbers > 0
                 columns = [c[starts] for c in columns]
                 part = merge([(columns, np.ones(len(columns[0]), np.int64), key_of(columns))])
@@ -117,14 +171,14 @@ def phrase_counts(documents: DataFrame, *, text_col: str = "text", lang_col: str
 
     A row with no words has the number of all word occurrences of its language. Only the
     padded longest windows are counted; ROLLUP adds them up for their shorter
-    beginnings. Windows stop early only at words and pairs too rare for any frequent phrase
-    to hold them, so every frequent phrase is counted in full.
+    beginnings. Windows stop early only where their beginning is too rare for any frequent
+    phrase to start with it, so every frequent phrase is counted in full.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = documents.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text")).filter(F.length("text") > 0)
-    table = frequent_grams(rows, _grams_of, min_count, table_bits(rows))
+    tables = frequent_phrases(rows, longest, min_count)
     parts = [f"w{i + 1}" for i in range(longest)]
-    counted = window_counts(rows, table, longest).groupBy("lang", *parts).agg(F.sum("n").alias("n"))
+    counted = window_counts(rows, tables, longest).groupBy("lang", *parts).agg(F.sum("n").alias("n"))
     sums = counted.rollup("lang", *parts).agg(F.sum("n").alias("f"), F.grouping_id().alias("without"))
     size = F.lit(longest) - F.bit_count("without")
     words = F.slice(F.array(*parts), 1, F.greatest(size, F.lit(0)))
@@ -146,7 +200,7 @@ def mine_collocations(
     Null and empty texts have no words; a null language is ``und``. Texts of any length are
     taken whole; rows that repeat count again. Equal scores are ranked by occurrences,
     then by the bytes of the phrase. Other columns are ignored; an empty table
-    gives no rows. Counts words and pairs while the plan is built.
+    gives no rows. Counts twice while the plan is built.
     """
     counts = stored(
         phrase_counts(documents, text_col=text_col, lang_col=lang_col, longest=longest, min_count=min_count)
