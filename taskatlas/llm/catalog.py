@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskatlas.llm import collocations, contamination, filter_audit, inner_product, language, notices, packing, parity_join, pseudonyms, quality, toxicity, url_filter
+from taskatlas.llm import collocations, contamination, filter_audit, inner_product, language, notices, packing, parity_join, pseudonyms, quality, suffix_tree, toxicity, url_filter
 from taskatlas.plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,3 +248,8 @@ SELECT * FROM (
 @query("op13_collocations", OP13_SQL)
 def _(spark, sf):
     return collocations.mine_collocations(table(spark, sf, "documents"))
+
+
+@query("op11_suffix_tree")
+def _(spark, sf):
+    return suffix_tree.score_language(table(spark, sf, "documents"))
