@@ -216,15 +216,20 @@ class SuffixTree:
         """Per token: its training count and the log10 probabilities by its count and by its longest state."""
         c = self._find(self.c, word_hashes)[numbers]
         base = (c + 1) / self.total
-        back = self._find(self.b, word_hashes)[numbers]
-        p, at, grams = base.copy(), np.arange(len(numbers)), hashes
-        # ``at`` are places where a retained state of k tokens begins, ``back`` its share of the shorter state.
+        p = base.copy()
+        at = np.nonzero(numbers > 0)[0]
+        back = self._find(self.b, word_hashes)[numbers[at]]
+        states = hashes[at]
         for k in range(1, self.depth + 1):
-            go = (back > 0) & (numbers[np.minimum(at + k - 1, len(numbers) - 1)] > 0)
-            at, back, grams = at[go], back[go], grams[go]
-            grams = chained(grams, hashes[at + k])
-            p[at + k] = self._find(self.a, grams) + back * p[at + k]
-            back = self._find(self.b, grams)
+            if k > 1:
+                # A state stands in front of what its suffix, a state too, begins with.
+                at = at[at > 0] - 1
+                at = at[numbers[at] > 0]
+                states = reduce(chained, [hashes[at + j] for j in range(k)])
+                back = self._find(self.b, states)
+            kept = back > 0
+            at, back, states = at[kept], back[kept], states[kept]
+            p[at + k] = self._find(self.a, chained(states, hashes[at + k])) + back * p[at + k]
         return c, np.log10(base), np.log10(p)
 
 
