@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -16,7 +16,7 @@ from taskatlas.llm.word_grams import GramTable, Vocabulary, chained, frequent_gr
 from taskatlas.sources.storage import stored
 
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-HELD_ROWS = 400_000
+HELD_ROWS = 300_000
 HELD_WORDS = 300_000
 BLOCK_BYTES = 16 << 20
 NO_WORD = b""
@@ -39,86 +39,121 @@ def _streams(batch: pa.RecordBatch, vocabulary: Vocabulary) -> Iterator[tuple[np
         yield numbers, vocabulary.hashes()[numbers]
 
 
-def _grams(numbers: np.ndarray, hashes: np.ndarray, longest: int, table: GramTable | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For 2 to ``longest`` tokens of one text: places, hashes, and hashes without the last and without the first token.
+Knows = Callable[[int, np.ndarray], np.ndarray]
 
-    With a ``table`` only sequences whose neighbouring tokens are all frequent pairs.
+
+def _grams(numbers: np.ndarray, hashes: np.ndarray, longest: int, knows: Knows) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For k = 2 .. ``longest`` tokens of one text: k, their places, hashes, and hashes without the last and without the first.
+
+    ``knows(k, hashes)`` says which sequences count; only those grow, and only at known ones.
     """
     at, shorter = np.arange(len(numbers)), hashes
+    there = np.ones(len(numbers), dtype=bool)
     for k in range(2, longest + 1):
         last = at + k - 1
         go = last < len(numbers)
-        go[go] = numbers[last[go] - 1] > 0
+        go[go] = (numbers[last[go] - 1] > 0) & there[at[go] + 1]
         at, last = at[go], last[go]
-        if table is not None:
-            go = table.frequent(chained(hashes[last - 1], hashes[last]))
-            at, last = at[go], last[go]
         grams = chained(shorter[at], hashes[last])
-        yield at, grams, shorter[at], shorter[at + 1]
-        full = np.zeros(len(numbers), np.uint64)
-        full[at] = grams
-        shorter = full
+        known = knows(k, grams)
+        at, grams = at[known], grams[known]
+        yield k, at, grams, shorter[at], shorter[at + 1]
+        shorter, there = np.zeros(len(numbers), np.uint64), np.zeros(len(numbers), dtype=bool)
+        shorter[at], there[at] = grams, True
+
 
+def _grams_of(depth: int, packed=None, bits: int = 0):
+    """For ``frequent_grams``: pairs, or with a table of these all longer sequences of frequent pairs."""
 
-def _pairs_of() -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
-    vocabulary = Vocabulary()
+    def start():
+        vocabulary, table = Vocabulary(), packed and GramTable(packed.value, bits)
+
+        def read(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            vocabulary.bound(HELD_WORDS)
+            for numbers, hashes in _streams(batch, vocabulary):
+                if table is None:
+                    inside = np.nonzero(numbers[:-1] > 0)[0]
+                    yield chained(hashes[inside], hashes[inside + 1])
+                    continue
+                joined = np.zeros(len(numbers), dtype=bool)
+                inside = np.nonzero(numbers[:-1] > 0)[0]
+                joined[inside] = table.frequent(chained(hashes[inside], hashes[inside + 1]))
+                at, grams = np.nonzero(joined)[0], None
+                grams = chained(hashes[at], hashes[at + 1])
+                for k in range(3, depth + 2):
+                    go = joined[at + k - 2]
+                    at, grams = at[go], grams[go]
+                    grams = chained(grams, hashes[at + k - 1])
+                    yield grams
 
-    def read(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        vocabulary.bound(HELD_WORDS)
-        for numbers, hashes in _streams(batch, vocabulary):
-            for _, pairs, _, _ in _grams(numbers, hashes, 2, None):
-                yield pairs
+        return read
 
-    return read
+    return start
 
 
 def _signed(keys: np.ndarray) -> pa.Array:
     return pa.array(keys.view(np.int64))
 
 
-def _counted(rows: DataFrame, packed, bits: int, depth: int) -> DataFrame:
-    """``k, word, gram, prefix, suffix, n``: partial counts of words (k = 1) and of sequences of frequent pairs."""
+def _met(blocks: DataFrame, tables: list, bits: int, depth: int) -> DataFrame:
+    """``block, k, word, key, prefix, suffix, n``: words (k = 1) and frequent sequences of a block, with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, vocabulary = GramTable(packed.value, bits), Vocabulary()
-        words = np.zeros(0, np.int64)
-        held: list[tuple[list[np.ndarray], np.ndarray]] = []
-        names = ["k", "word", "gram", "prefix", "suffix", "n"]
+        short, long = (GramTable(t.value, bits) for t in tables)
+        number, vocabulary, words, held = None, Vocabulary(), np.zeros(0, np.int64), []
+        names = ["block", "k", "word", "key", "prefix", "suffix", "n"]
+
+        def knows(k: int, grams: np.ndarray) -> np.ndarray:
+            return (short if k == 2 else long).frequent(grams)
 
         def merge(parts):
             columns = [np.concatenate(c) for c in zip(*[p[0] for p in parts])]
             return merged_rows(columns, np.concatenate([p[1] for p in parts]), columns[1])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal words
-            if len(words):
-                seen, hashes = np.nonzero(words)[0], vocabulary.hashes()
-                spelt = pa.array(vocabulary.words, pa.binary()).cast(pa.string())
-                none = np.zeros(len(seen), np.uint64)
-                columns = [pa.array(np.ones(len(seen), np.int32)), spelt.take(pa.array(seen)), _signed(hashes[seen]), _signed(none), _signed(none), pa.array(words[seen])]
-                yield from pa.Table.from_arrays(columns, names=names).to_batches(50_000)
-                words = np.zeros(0, np.int64)
+        def rows(word: pa.Array, k: np.ndarray, keys: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            columns = [pa.array(np.full(len(n), number)), pa.array(k), word, *map(_signed, keys), pa.array(n)]
+            yield from pa.Table.from_arrays(columns, names=names).to_batches(50_000)
+
+        def flush_grams() -> Iterator[pa.RecordBatch]:
             if held:
-                (k, *keys), counts = merge(held)
+                (k, *keys), n = merge(held)
                 held.clear()
-                blank = pa.array([""]).take(pa.array(np.zeros(len(k), np.int32)))
-                yield from pa.Table.from_arrays([pa.array(k), blank, *map(_signed, keys), pa.array(counts)], names=names).to_batches(50_000)
+                yield from rows(pa.array([""]).take(pa.array(np.zeros(len(k), np.int32))), k, keys, n)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield from flush_grams()
+            if len(words):
+                none = np.zeros(len(words), np.uint64)
+                yield from rows(pa.array(vocabulary.words, pa.binary()).cast(pa.string()), np.ones(len(words), np.int32), [vocabulary.hashes(), none, none], words)
 
         for batch in batches:
-            for numbers, hashes in _streams(batch, vocabulary):
-                found = np.bincount(numbers, minlength=len(vocabulary))
-                found[: len(words)] += words
-                words = found
-                parts = []
-                for k, (_, *keys) in enumerate(_grams(numbers, hashes, depth + 1, table), 2):
-                    parts.append(([np.full(len(keys[0]), k, np.int32), *keys], np.ones(len(keys[0]), np.int64)))
-                held.append(merge(parts))
-            if sum(len(p[1]) for p in held) > HELD_ROWS or len(vocabulary) > HELD_WORDS:
-                yield from flush()
-                vocabulary.bound(HELD_WORDS)
+            owners, learns = batch["block"].to_numpy(), ~batch["held_out"].to_numpy(zero_copy_only=False)
+            edges = [0, *(np.nonzero(np.diff(owners))[0] + 1).tolist(), len(owners)]
+            for low, high in zip(edges[:-1], edges[1:]):
+                if low == high:
+                    continue
+                if owners[low] != number:
+                    yield from flush()
+                    number, vocabulary, words = owners[low], Vocabulary(), np.zeros(0, np.int64)
+                at = low
+                for numbers, hashes in _streams(batch.slice(low, high - low), vocabulary):
+                    lengths = np.diff(np.concatenate([[-1], np.nonzero(numbers == 0)[0]]))
+                    learned = np.repeat(learns[at : at + len(lengths)], lengths)
+                    at += len(lengths)
+                    found = np.bincount(numbers[learned], minlength=len(vocabulary)).astype(np.int64)
+                    found[: len(words)] += words
+                    words = found
+                    parts = [([np.full(len(p), k, np.int32), *keys], learned[p].astype(np.int64)) for k, p, *keys in _grams(numbers, hashes, depth + 1, knows)]
+                    held.append(merge(parts))
+                    if sum(len(h[1]) for h in held) > HELD_ROWS:
+                        held[:] = [merge(held)]
+                        if len(held[0][1]) > HELD_ROWS // 2:
+                            yield from flush_grams()
         yield from flush()
 
-    return rows.select("text").mapInArrow(run, "k int, word string, gram long, prefix long, suffix long, n long")
+    # Rows of a block stand together, so that what they share is named once.
+    rows = blocks.sortWithinPartitions("block").select("block", "held_out", "text")
+    return rows.mapInArrow(run, "block long, k int, word string, key long, prefix long, suffix long, n long")
 
 
 def learn_tree(counts: DataFrame, n_tokens: int, depth: int) -> DataFrame:
@@ -158,67 +193,34 @@ def learn_tree(counts: DataFrame, n_tokens: int, depth: int) -> DataFrame:
     return back.unionByName(onward).groupBy("key").agg(F.max("a").alias("a"), F.max("b").alias("b"))
 
 
-def _asked(blocks: DataFrame, packed, bits: int, depth: int) -> DataFrame:
-    """``block, word, key``: the words and sequences of frequent pairs in a block, once or a few times each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = GramTable(packed.value, bits)
-        number, vocabulary, seen, held = None, Vocabulary(), 0, []
-
-        def rows(words: list[bytes], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-            spelt = pa.array(words, pa.binary()).cast(pa.string())
-            yield from pa.Table.from_arrays([pa.array(np.full(len(keys), number)), spelt, _signed(keys)], names=["block", "word", "key"]).to_batches(50_000)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal seen
-            if len(vocabulary.words) > seen:
-                yield from rows(vocabulary.words[seen:], vocabulary.hashes()[seen:])
-                seen = len(vocabulary.words)
-            if held:
-                keys = np.unique(np.concatenate(held))
-                held.clear()
-                yield from rows([NO_WORD] * len(keys), keys)
+class Looked:
+    """Values by 64-bit keys; zero for keys that are not there."""
 
-        for batch in batches:
-            owners = batch["block"].to_numpy()
-            edges = [0, *(np.nonzero(np.diff(owners))[0] + 1).tolist(), len(owners)]
-            for low, high in zip(edges[:-1], edges[1:]):
-                if low == high:
-                    continue
-                if owners[low] != number:
-                    yield from flush()
-                    number, vocabulary, seen = owners[low], Vocabulary(), 0
-                for numbers, hashes in _streams(batch.slice(low, high - low), vocabulary):
-                    held += [np.unique(grams) for _, grams, _, _ in _grams(numbers, hashes, depth + 1, table)]
-                if sum(map(len, held)) > 2 * HELD_ROWS:
-                    yield from flush()
-        yield from flush()
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], [v[order] for v in values]
 
-    # Rows of a block stand together, so that what they share is asked for once.
-    return blocks.sortWithinPartitions("block").select("block", "text").mapInArrow(run, "block long, word string, key long")
+    def __call__(self, keys: np.ndarray) -> list[np.ndarray]:
+        if not len(self.keys):
+            return [np.zeros(len(keys)) for _ in self.values]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = self.keys[at] == keys
+        return [np.where(found, v[at], 0) for v in self.values]
 
 
 class SuffixTree:
-    """The part of the model that a block of texts meets: sorted keys with ``c, a, b``."""
-
-    def __init__(self, keys: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray, n_tokens: int, n_words: int, depth: int):
-        order = np.argsort(keys)
-        self.keys, self.c, self.a, self.b = keys[order], c[order], a[order], b[order]
-        self.total, self.depth = n_tokens + n_words + 1, depth
+    """The part of the model that a block of texts meets."""
 
-    def _find(self, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, values[at], 0)
+    def __init__(self, words: Looked, tree: Looked, n_tokens: int, n_words: int, depth: int):
+        self.words, self.tree, self.total, self.depth = words, tree, n_tokens + n_words + 1, depth
 
     def scores(self, numbers: np.ndarray, hashes: np.ndarray, word_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: its training count and the log10 probabilities by its count and by its longest state."""
-        c = self._find(self.c, word_hashes)[numbers]
+        c = self.words(word_hashes)[0][numbers]
         base = (c + 1) / self.total
         p = base.copy()
         at = np.nonzero(numbers > 0)[0]
-        back = self._find(self.b, word_hashes)[numbers[at]]
+        back = self.tree(word_hashes)[1][numbers[at]]
         states = hashes[at]
         for k in range(1, self.depth + 1):
             if k > 1:
@@ -226,16 +228,16 @@ class SuffixTree:
                 at = at[at > 0] - 1
                 at = at[numbers[at] > 0]
                 states = reduce(chained, [hashes[at + j] for j in range(k)])
-                back = self._find(self.b, states)
+                back = self.tree(states)[1]
             kept = back > 0
             at, back, states = at[kept], back[kept], states[kept]
-            p[at + k] = self._find(self.a, chained(states, hashes[at + k])) + back * p[at + k]
+            p[at + k] = self.tree(chained(states, hashes[at + k]))[0] + back * p[at + k]
         return c, np.log10(base), np.log10(p)
 
 
 def score_language(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out_fold: int = 2,
-    depth: int = 3, min_next: int = 8, block_bytes: int = BLOCK_BYTES,
+    depth: int = 3, min_next: int = 16, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -247,7 +249,8 @@ def score_language(
     Contexts are known by 64-bit hashes, words by their letters.
 
     The model stays a table. Texts are dealt to blocks of about ``block_bytes``; each
-    block asks for its distinct words and contexts once and is scored with the answers.
+    block names its distinct words and frequent sequences with their counts, gets back
+    their totals over all blocks and what the tree says of them, and is scored with that.
 
     Null and empty texts have the end token alone; texts of any length are taken whole.
     Rows without an id are learned from and not held out. Repeated rows count and
@@ -259,31 +262,39 @@ def score_language(
         F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     training = rows.filter(~F.col("held_out")).select("text")
-    bits = table_bits(training)
-    packed = rows.sparkSession.sparkContext.broadcast(frequent_grams(training, _pairs_of, min_next, bits).packed)
-    counts = _counted(training, packed, bits, depth).groupBy("k", "word", "gram", "prefix", "suffix").agg(F.sum("n").alias("n"))
-    counts = stored(counts.filter((F.col("k") == 1) | (F.col("n") >= min_next)), "tree-counts")
-    size = counts.filter("k = 1").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n_tokens, n_words = size["n"] or 0, size["v"]
-
-    tree = stored(learn_tree(counts, n_tokens, depth), "tree")
-    words = counts.filter("k = 1").select("word", F.col("gram").alias("key"), F.col("n").alias("c"))
-    words = words.join(tree.select("key", "b"), "key", "left").select("word", "key", "c", F.lit(0.0).alias("a"), "b")
-    grams = tree.select(F.lit("").alias("word"), "key", F.lit(0).cast("long").alias("c"), "a", "b")
-    model = words.unionByName(grams).fillna(0.0, ["a", "b"])
-
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-total // block_bytes))))
+    context, bits = rows.sparkSession.sparkContext, table_bits(training)
+    tables = [context.broadcast(frequent_grams(training, _grams_of(depth), min_next, bits).packed)]
+    tables.append(context.broadcast(frequent_grams(training, _grams_of(depth, tables[0], bits), min_next, bits).packed))
+
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // block_bytes))))
     blocks = rows.withColumn("block", block).repartition("block")
-    asked = _asked(blocks, packed, bits, depth)
-    answers = asked.join(model, ["word", "key"]).select("block", "key", "c", "a", "b")
+    # All blocks that met a word or sequence stand in one short window; the first of them stands for it.
+    same = Window.partitionBy("word", "key")
+    met = _met(blocks, tables, bits, depth).select(
+        "block", "k", "key", "prefix", "suffix", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")
+    )
+    met = stored(met.filter((F.col("c") >= min_next) | ((F.col("k") == 1) & (F.col("c") > 0))), "tree-met")
+    counts = met.filter("first").select("k", F.col("key").alias("gram"), "prefix", "suffix", F.col("c").alias("n"))
+    total = counts.filter("k = 1").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    n_tokens, n_words = total["n"] or 0, total["v"]
+
+    tree = learn_tree(counts.filter(F.col("n") >= min_next), n_tokens, depth)
+    zero, none = F.lit(0.0), F.lit(0).cast("long")
+    by_words = met.filter("k = 1").select("block", "key", "c", zero.alias("a"), zero.alias("b"))
+    by_tree = met.filter(F.col("c") >= min_next).select("block", "key").distinct().join(tree, "key").select(
+        "block", "key", none.alias("c"), F.coalesce("a", zero).alias("a"), F.coalesce("b", zero).alias("b")
+    )
+    answers = by_words.unionByName(by_tree)
 
     kind = dict(rows.dtypes)["doc_id"]
     out = pa.schema([("doc_id", to_arrow_type(rows.schema["doc_id"].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         keys, c, a, b = (found[name].to_numpy() for name in ("key", "c", "a", "b"))
-        tree, vocabulary, done = SuffixTree(keys.view(np.uint64), c, a, b, n_tokens, n_words, depth), Vocabulary(), []
+        keys, word = keys.view(np.uint64), c > 0
+        tree = SuffixTree(Looked(keys[word], c[word]), Looked(keys[~word], a[~word], b[~word]), n_tokens, n_words, depth)
+        vocabulary, done = Vocabulary(), []
         for batch in texts.to_batches():
             at = 0
             for numbers, hashes in _streams(batch, vocabulary):
