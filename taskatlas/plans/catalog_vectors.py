@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskatlas.functions.vectors import METRICS, metric, normalise
-from taskatlas.operators import classify, embedding, filters, similarity
+from taskatlas.operators import classify, embedding, filters, similarity, vector_index
 from taskatlas.operators.exposure import task_matches
 from taskatlas.operators.joins import spread_join
 from taskatlas.operators.reports import match_quality, similarity_distribution
@@ -27,6 +28,7 @@ from taskatlas.plans.views import (
     vectors,
     with_sql,
 )
+from taskatlas.sources.storage import scratch_dir, stored
 
 WIDTH = 64
 THRESHOLD = 0.3
@@ -317,25 +319,106 @@ def _(spark, sf):
     return similarity.match_counts(queries_of(docs), valid, threshold=THRESHOLD, k=COUNT_CAP, plan=GRID)
 
 
+# Two-stage search as configured by default (250 scored exactly), on leaves for small tables.
+LEAVES, SEARCHED, SHORTLIST = 16, 8, 250
+
+
+def _index(spark, docs: DataFrame, **settings) -> vector_index.VectorIndex:
+    return vector_index.build_index(docs, scratch_dir(spark, "vector-index"), **({"leaves": LEAVES, "copies": 2} | settings))
+
+
+def _with_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """The rows with the share of each query's exact neighbours that were found."""
+    hits = exact.join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    shares = hits.groupBy("qid").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), ROUND).alias("recall"))
+    return found.join(shares, "qid").withColumn("sim", F.round("sim", ROUND))
+
+
+def _compared(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Rows found, scores that differ from the exact ones, and whether recall reaches 0.9."""
+    both = found.join(exact.select("qid", "id", F.col("sim").alias("true_sim")), ["qid", "id"], "left")
+    wrong = F.count_if(F.abs(F.col("sim") - F.col("true_sim")) > 1e-6)
+    return both.agg(F.count("*").alias("n_rows"), wrong.alias("wrong_scores"), (F.count("true_sim") >= 0.9 * F.count("*")).alias("recall_holds"))
+
+
+def _compared_sql(k: int, extra: str = "") -> str:
+    return with_sql(
+        _SIMS_SQL,
+        f"""SELECT least({k}, (SELECT count(DISTINCT id) FROM sims)) * count(DISTINCT qid) AS n_rows, CAST(0 AS BIGINT) AS wrong_scores,
+              true AS recall_holds{extra} FROM sims""",
+    )
+
+
 @query("v13_approximate_top_k")
 def _(spark, sf):
+    """Two-stage search with the recall of each query against the exact neighbours."""
     docs = vectors(spark, sf)
-    found = similarity.approximate_top_k(queries_of(docs), docs, k=10, leaves=16, leaves_to_search=6)
-    return found.withColumn("sim", F.round("sim", ROUND))
+    queries = queries_of(docs)
+    found = vector_index.search_index(_index(spark, docs), queries, k=10, leaves_to_search=SEARCHED, shortlist=SHORTLIST)
+    return _with_recall(found, similarity.top_k(queries, docs, k=10))
 
 
-@query(
-    "v13_recall",
-    with_sql(_SIMS_SQL, "SELECT least(10, (SELECT count(DISTINCT id) FROM sims)) * count(DISTINCT qid) AS n_rows, CAST(0 AS BIGINT) AS wrong_scores, true AS recall_holds FROM sims"),
-)
+@query("v13_recall", _compared_sql(10))
 def _(spark, sf):
-    """Rows found, scores that differ from the exact ones, and whether recall reaches 0.8."""
     docs = vectors(spark, sf)
-    found = similarity.approximate_top_k(queries_of(docs), docs, k=10, leaves=16, leaves_to_search=8)
-    exact = similarity.top_k(queries_of(docs), docs, k=10)
-    both = found.join(exact.select("qid", "id", F.col("sim").alias("true_sim")), ["qid", "id"], "left")
-    wrong = F.count_if(F.abs(F.col("sim") - F.col("true_sim")) > 1e-6)
-    return both.agg(F.count("*").alias("n_rows"), wrong.alias("wrong_scores"), (F.count("true_sim") >= 0.8 * F.count("*")).alias("recall_holds"))
+    queries = queries_of(docs)
+    found = vector_index.search_index(_index(spark, docs), queries, k=10, leaves_to_search=SEARCHED, shortlist=SHORTLIST)
+    return _compared(found, similarity.top_k(queries, docs, k=10))
+
+
+@query("v13_recall_configured", _compared_sql(100))
+def _(spark, sf):
+    """Recall with 200 leaves, 100 of them searched, 250 in the shortlist and 100 neighbours."""
+    docs = vectors(spark, sf)
+    queries = queries_of(docs)
+    found = vector_index.search_index(_index(spark, docs, leaves=200), queries, k=100, leaves_to_search=100, shortlist=SHORTLIST)
+    return _compared(found, similarity.top_k(queries, docs, k=100))
+
+
+@query("v13_recall_by_year", with_sql(
+    _SIMS_SQL,
+    """SELECT CAST(sum(least(5, n)) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS wrong_scores, true AS recall_holds
+       FROM (SELECT qid, year, count(*) AS n FROM sims GROUP BY ALL)""",
+))
+def _(spark, sf):
+    """Neighbours of each year from one index that holds the year of its documents."""
+    docs = vectors(spark, sf)
+    queries = queries_of(docs)
+    found = vector_index.search_index(_index(spark, docs.select("id", "vec", "year"), keys=["year"]), queries, k=5, leaves_to_search=SEARCHED, shortlist=SHORTLIST, keys=["year"])
+    return _compared(found, similarity.top_k(queries, docs, k=5, keys=["year"]))
+
+
+@query("v13_index_grows", with_sql(
+    _SIMS_SQL,
+    """, early AS (SELECT * FROM sims WHERE id % 3 <> 0 AND qid % 2 = 0), late AS (SELECT * FROM sims WHERE qid % 2 = 1)
+       SELECT least(10, (SELECT count(DISTINCT id) FROM early)) * (SELECT count(DISTINCT qid) FROM early) AS n_early,
+              least(10, (SELECT count(DISTINCT id) FROM late)) * (SELECT count(DISTINCT qid) FROM late) AS n_late,
+              CAST(0 AS BIGINT) AS wrong_scores, true AS recall_holds""",
+))
+def _(spark, sf):
+    """One index: searched, opened again, grown by a third of the documents, searched by other queries."""
+    docs = vectors(spark, sf).select("id", "vec")
+    first, rest = docs.filter(F.col("id") % 3 != 0), docs.filter(F.col("id") % 3 == 0)
+    even, odd = (queries_of(docs).filter(F.col("qid") % 2 == i) for i in (0, 1))
+    settings = {"k": 10, "leaves_to_search": SEARCHED, "shortlist": SHORTLIST}
+    index = _index(spark, first)
+    early = stored(vector_index.search_index(index, even, **settings), "early-neighbours")
+    again = vector_index.open_index(spark, index.path)
+    vector_index.append_documents(again, rest)
+    late = vector_index.search_index(again, odd, **settings)
+    a, b = _compared(early, similarity.top_k(even, first, k=10)), _compared(late, similarity.top_k(odd, docs, k=10))
+    both = a.select(F.col("n_rows").alias("n_early"), F.lit(0).cast("long").alias("n_late"), "wrong_scores", "recall_holds").unionByName(
+        b.select(F.lit(0).cast("long").alias("n_early"), F.col("n_rows").alias("n_late"), "wrong_scores", "recall_holds")
+    )
+    return both.agg(*[F.sum(c).alias(c) for c in ("n_early", "n_late", "wrong_scores")], F.every("recall_holds").alias("recall_holds"))
+
+
+@query("v12_top_k_pruned", _top_sql(10))
+def _(spark, sf):
+    """Exact neighbours from the index; leaves that cannot hold one are passed over."""
+    docs = vectors(spark, sf)
+    found, _ = vector_index.exact_search(_index(spark, docs, copies=1), queries_of(docs), k=10)
+    return found.withColumn("sim", F.round("sim", ROUND))
 
 
 @query("v13_all_leaves", _top_sql(10))
