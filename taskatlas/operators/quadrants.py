@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taskatlas.functions.statistics import two_sided_p
 from taskatlas.operators.quantiles import count_quantile
 from taskatlas.operators.ranking import top_per_group
 
@@ -102,13 +103,23 @@ def top_important(counts: DataFrame, n: int = 5, *, high_matches: int = HIGH_MAT
     return top_per_group(rows, ["year"], order, n, rank="rank").select("year", "rank", "task", "ai_category", "matches", F.col("data_value").alias("importance"))
 
 
-def importance_correlation(counts: DataFrame) -> DataFrame:
-    """Pearson correlation of importance and matches per year, its n and t statistic."""
+def _correlations(counts: DataFrame) -> DataFrame:
     base = counts.dropna(subset=["data_value", "matches"]).groupBy("year").agg(
         F.corr("data_value", "matches").alias("r"), F.count("*").alias("n")
     )
     t = F.col("r") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1 - F.col("r") * F.col("r")))
-    return base.select("year", F.round("r", 6).alias("r"), "n", F.round(t, 6).alias("t"))
+    return base.withColumn("t", t)
+
+
+def importance_correlation(counts: DataFrame) -> DataFrame:
+    """Pearson correlation of importance and matches per year, its n and t statistic."""
+    return _correlations(counts).select("year", F.round("r", 6).alias("r"), "n", F.round("t", 6).alias("t"))
+
+
+def correlation_test(counts: DataFrame) -> DataFrame:
+    """The correlation of a year with the two-sided p-value of no correlation, to nine digits."""
+    p = two_sided_p(F.col("t"), F.col("n") - 2)
+    return _correlations(counts).select("year", F.round("r", 6).alias("r"), "n", F.round(p, 9).alias("p"))
 
 
 def change_by_importance(counts: DataFrame, first: int, last: int) -> DataFrame:

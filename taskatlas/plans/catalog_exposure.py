@@ -412,6 +412,23 @@ def _(spark, sf):
     return quadrants.importance_correlation(importance(spark, sf))
 
 
+def _tail_sql(start: str, power: str) -> str:
+    """Simpson's rule over (cos x / cos start) ** power, far enough that the rest does not count."""
+    x = f"({start} + w * i / 4000.0)"
+    return f"""(SELECT sum(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp({power} * ln(greatest(cos{x} / cos({start}), 1e-300)))) * max(w) / 12000.0
+        FROM (SELECT least(pi() / 2 - {start}, 84.0 / ({power} * tan({start}) + sqrt(pow({power} * tan({start}), 2) + 84.0 * {power}))) AS w), unnest(range(0, 4001)) AS s(i))"""
+
+
+@query(
+    "q8_p_value",
+    with_sql(COUNTS_SQL, f""", base AS (SELECT year, corr(data_value, matches) AS r, count(*) AS n FROM imp GROUP BY year),
+        angle AS (SELECT *, atan(abs(r) / sqrt(1 - r * r)) AS x, CAST(n - 3 AS DOUBLE) AS m FROM base)
+        SELECT year, round(r, 6) AS r, n, round(exp(m * ln(cos(x))) * {_tail_sql('x', 'm')} / {_tail_sql('0.0', 'm')}, 9) AS p FROM angle"""),
+)
+def _(spark, sf):
+    return quadrants.correlation_test(importance(spark, sf))
+
+
 @query(
     "q9_change_by_importance",
     with_sql(COUNTS_SQL, f""", moved AS (SELECT soc_code, task, ai_category, data_value,

@@ -371,7 +371,7 @@ def _(spark, sf):
     """Recall with 200 leaves, 100 of them searched, 250 in the shortlist and 100 neighbours."""
     docs = vectors(spark, sf)
     queries = queries_of(docs)
-    found = vector_index.search_index(_index(spark, docs, leaves=200), queries, k=100, leaves_to_search=100, shortlist=SHORTLIST)
+    found = vector_index.search_index(_index(spark, docs, leaves=200, codes=256), queries, k=100, leaves_to_search=100, shortlist=SHORTLIST)
     return _compared(found, similarity.top_k(queries, docs, k=100))
 
 
