@@ -48,6 +48,22 @@ def _(spark, sf):
     return readers.read_delimited(spark, path, readers.DOCUMENT_SCHEMA, multi_line=True)
 
 
+@query("s1_read_documents_split", with_sql(DOCS_SQL, f"SELECT DISTINCT {_DOC_COLUMNS} FROM docs"))
+def _(spark, sf):
+    """Line breaks in fields and no reading of whole files by one task."""
+    path = scratch_dir(spark, "documents") + ".csv"
+    docs = _documents(spark, sf)
+    writers.save_table(docs.unionAll(docs), path)
+    return readers.read_documents(spark, path)
+
+
+@query("s2_read_tsv_split", with_sql(DOCS_SQL, f"SELECT {_DOC_COLUMNS} FROM docs"))
+def _(spark, sf):
+    path = scratch_dir(spark, "documents") + ".tsv"
+    writers.save_table(_documents(spark, sf), path)
+    return readers.read_delimited(spark, path, readers.DOCUMENT_SCHEMA)
+
+
 @query(
     "s3_read_ratings",
     with_sql(RATINGS_SQL, "SELECT task_id, task, title, soc_code, scale_name, task_category, data_value FROM ratings"),

@@ -12,6 +12,7 @@ from taskatlas.functions.text import category_from_name
 from taskatlas.operators.columns import RATING_NAMES, RESULT_COLUMNS, rename_ratings, require_columns
 from taskatlas.operators.dedup import concat_results, drop_identical
 from taskatlas.operators.reshape import year_columns, years_to_long
+from taskatlas.sources.records import has_breaks, read_quoted
 
 # Quotes are doubled inside quoted fields. An empty field is null.
 CSV_READ = {"header": True, "quote": '"', "escape": '"'}
@@ -36,10 +37,14 @@ def suffix_of(path: str) -> str:
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, *, multi_line: bool = False) -> DataFrame:
     """CSV, or TSV when the name ends in ``.tsv``. Without a schema all columns are text.
 
-    ``multi_line`` allows line breaks inside quoted fields; each file is then read by
-    one task, so it suits files of bounded size. Parquet is the form for large tables.
+    Line breaks inside quoted fields are found wherever files are split (see
+    ``records``); a quoted field that never ends is an error. With ``multi_line`` each file
+    is read by one task instead.
     """
-    reader = spark.read.options(**CSV_READ, multiLine=multi_line, sep="\t" if suffix_of(path) == ".tsv" else ",")
+    sep = "\t" if suffix_of(path) == ".tsv" else ","
+    if not multi_line and has_breaks(spark, path):
+        return read_quoted(spark, path, schema, sep=sep)
+    reader = spark.read.options(**CSV_READ, multiLine=multi_line, sep=sep)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
