@@ -30,17 +30,17 @@ def byte_letters() -> dict[str, int]:
 
 
 def load_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """A function from text to ids under a byte-level vocabulary file, with special tokens as ordinary text.
+    """A function from text to ids under a byte-level vocabulary file; its added tokens stand for themselves.
 
     Ids of such a vocabulary are in the order of its merges, so they serve as ranks.
     """
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
-    special = {t["content"] for t in content["added_tokens"]}
+    special = {t["content"]: t["id"] for t in content["added_tokens"]}
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in special}
-    encoding = tiktoken.Encoding("pieces", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+    encoding = tiktoken.Encoding("pieces", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
 
 
 def piece_bounds(length: int, most: int) -> list[tuple[int, int]]:

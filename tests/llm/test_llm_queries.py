@@ -84,7 +84,6 @@ def test_quality_on_held_out_rows(spark):
 
 def check_packed(rows, texts):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     pieces, places = {}, {}
     for r in rows:
         pieces.setdefault(r["doc_id"], []).append(r)
