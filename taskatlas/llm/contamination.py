@@ -142,20 +142,34 @@ def without_spans(text: Column, spans: Column) -> Column:
     return F.concat(F.get(between, F.lit(0)), F.array_join(kept, ""))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the table has them in any case."""
+    taken, free = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        free.append(name)
+    return free
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
     """The documents with all their columns, without hit documents or without hit words.
 
     ``remove`` is documents or spans. Clean rows stay as they are, also those with
-    a null id or text and repeated rows.
+    a null id or text and repeated rows; rows of one id are judged by their own texts.
+    Empty texts and empty tables have nothing to hit, very long texts are read whole.
+    Columns may have any names.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be documents or spans")
     rows = hit_windows(documents, id_col, text_col, benchmark_windows(benchmark, item_col, item_text, width))
-    hits = rows.filter(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    hits = hits.dropDuplicates(["__id", "__key"])
-    same = documents[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(documents[text_col]) == F.col("__key"))
+    row_id, key, spans = free_names(documents, "__id", "__key", "__spans")
+    hits = rows.filter(F.size("spans") > 0).select(F.col("doc_id").alias(row_id), F.col("key").alias(key), F.col("spans").alias(spans))
+    hits = hits.dropDuplicates([row_id, key])
+    same = documents[id_col].eqNullSafe(F.col(row_id)) & (F.xxhash64(documents[text_col]) == F.col(key))
     if remove == "documents":
         return documents.join(hits, same, "left_anti")
-    cleaned = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(without_spans(F.col(text_col), F.col("__spans")))
-    return documents.join(hits, same, "left").withColumn(text_col, cleaned).drop("__id", "__key", "__spans")
+    cleaned = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(without_spans(F.col(text_col), F.col(spans)))
+    return documents.join(hits, same, "left").withColumn(text_col, cleaned).drop(row_id, key, spans)

@@ -465,3 +465,24 @@ def test_thresholds_stay_in_order():
     assert (np.diff(model.thresholds) > 0).all()
     tails = model.tails(np.array([model.utility(r) for r in rows]))
     assert (np.diff(tails, axis=1) < 0).all() and np.mean(np.round(tails.sum(1)) == grades) > 0.9
+
+
+@pytest.mark.parametrize("remove", ["documents", "spans"])
+def test_decontaminate_takes_any_column_names(spark, remove):
+    phrase = "one two three four five six seven eight nine ten"
+    rows = [(1, f"a {phrase} b", 1, "k", 7), (2, "clean text", 2, "k", 7), (None, None, 3, "k", 7), (3, "", 4, "k", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int, __KEY string, __spans int")
+    items = spark.createDataFrame([(1, phrase)], "item_id long, text string")
+    found = {r["__id"]: (r["text"], r["__KEY"], r["__spans"]) for r in contamination.decontaminate(docs, items, remove=remove).collect()}
+    assert {k: v[1:] for k, v in found.items()} == {i: ("k", 7) for i in ((2, 3, 4) if remove == "documents" else (1, 2, 3, 4))}
+    assert (found[2][0], found[3][0], found[4][0]) == ("clean text", None, "")
+    if remove == "spans":
+        assert "three" not in found[1][0]
+
+
+def test_private_values_need_no_count_of_characters(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "mail me at jane.doe@example.org"), (2, None), (3, "")], "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.private_values(spark, docs, "").collect()}
+    assert found[2] is None and found[3] == "" and "jane.doe" not in found[1]
