@@ -20,7 +20,7 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below one half."""
+    """Documents whose toxicity score stays below one half; null and empty texts are scored too, repeated rows alike."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     return without_toxic(docs, labels)
 
@@ -31,17 +31,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; null and empty texts have none and stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), remove="documents")
 
 
 def private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal values replaced by pseudonyms; ``n_chars`` follows the text."""
-    return pseudonymize(docs, EXAMPLE_KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents, personal values replaced by pseudonyms; ``n_chars``, where there is one, follows the text.
+
+    Null texts stay null, empty and clean ones as they are; repeated rows repeat.
+    """
+    found = pseudonymize(docs, EXAMPLE_KEY)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all documents in sequences of at most 2048 tokens; a null or empty text is one piece of one id."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), max_tokens=2048)
 
 
