@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Sequence
 
 import ahocorasick
+import regex
 from pyspark.sql import DataFrame
 
 from taskatlas.llm.batches import score_texts
@@ -21,14 +23,23 @@ NOTICES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("this work is licensed under the gnu general public license version 3", "gpl"),
     ("gnu lesser general public license", "lgpl"),
+    ("licensed under the apache license version 1 0", "apache-1"),
+    ("licensed under the apache license version 1 1", "apache-1"),
     ("mozilla public license version 2 0", "mpl-2"),
+    ("mozilla public license version 1 0", "mpl-1"),
+    ("mozilla public license version 1 1", "mpl-1"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
+    ("licensed under cc by nd 4 0", "cc-by-nd"),
+    ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("creative commons attribution", "cc-by"),
     ("this software is provided as is without warranty of any kind", "no-warranty"),
     ("all rights reserved", "reserved"),
 )
 ERROR_SHARE = 0.1  # edits allowed per character of a notice
 
+# Label, first byte, end byte, edits, similarity.
+Place = tuple[str, int, int, int, float]
+
 
 def seeds(notice: str, errors: int) -> list[tuple[int, str]]:
     """``errors + 1`` pieces with their offsets; a copy with so many edits keeps one of them whole."""
@@ -37,73 +48,53 @@ def seeds(notice: str, errors: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def letter_masks(notice: str) -> dict[str, int]:
-    """For each letter the numbers of its places in the notice, from 1, as bits."""
-    masks: dict[str, int] = {}
-    for i, c in enumerate(notice, 1):
-        masks[c] = masks.get(c, 0) | 1 << i
-    return masks
-
-
-def read_letter(states: list[int], mask: int, limit: int) -> None:
-    """One step of the search with edits: bit ``i`` of ``states[d]`` says that the letters read
-    since a start are the first ``i`` of the notice with at most ``d`` edits."""
-    before = after = 0
-    for d, state in enumerate(states):
-        # The same letter; an added or another one; a letter of the notice that is missing.
-        after = ((state << 1) & mask | before | before << 1 | after << 1) & limit
-        before, states[d] = state, after
-
-
 class NoticeSearch:
-    """All places of a notice as whole words with at most ``errors`` edits; exact."""
+    """Places of a notice as whole words with at most ``errors`` edits, verified by the regex library.
+
+    The library spends no edit on a letter that already fits, so with an open end it misses
+    places whose last letters are lacking. Hence each run of whole words of a fitting length
+    is matched from its first to its last letter.
+    """
 
     def __init__(self, notice: str, errors: int):
-        self.size, self.errors, self.limit = len(notice), errors, (2 << len(notice)) - 1
-        self.masks, self.back = letter_masks(notice), letter_masks(notice[::-1])
-
-    def _least(self, states: list[int]) -> int | None:
-        return next((d for d, state in enumerate(states) if state >> self.size & 1), None)
-
-    def _start(self, text: str, low: int, end: int, edits: int) -> int:
-        """The last start of a word from which the match has so few edits."""
-        states = [(2 << d) - 1 for d in range(edits + 1)]
-        for p in range(end - 1, low - 1, -1):
-            read_letter(states, self.back.get(text[p], 0), self.limit)
-            if states[-1] >> self.size & 1 and text[p] != " " and (p == 0 or text[p - 1] == " "):
-                return p
-        raise AssertionError("a match has a start")
-
-    def find(self, text: str, low: int, high: int) -> Iterator[tuple[int, int, int]]:
-        """First letter, end and edits of places that do not overlap, from the left; of the
-        ends within twice the errors behind the first one, that with the fewest edits counts."""
-        while True:
-            states, best, stop = [0] * (self.errors + 1), None, high
-            for p in range(low, high):
-                c = text[p]
-                if c != " " and (p == 0 or text[p - 1] == " "):
-                    states = [state | (2 << d) - 1 for d, state in enumerate(states)]
-                elif not states[-1]:
-                    continue
-                read_letter(states, self.masks.get(c, 0), self.limit)
-                if states[-1] >> self.size & 1 and c != " " and (p + 1 == len(text) or text[p + 1] == " "):
-                    edits = self._least(states)
-                    if best is None:
-                        stop = min(high, p + 1 + 2 * self.errors)
-                    if best is None or edits < best[0]:
-                        best = edits, p + 1
-                if p + 1 >= stop:
-                    break
-            if best is None:
-                return
-            edits, end = best
-            yield self._start(text, low, end, edits), end, edits
-            low = end
+        self.least, self.most = len(notice) - errors, len(notice) + errors
+        self.pattern = regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={errors}}}")
+
+    def find(self, text: str, low: int, high: int) -> list[tuple[int, int, int]]:
+        """First letter, end and edits of places between blanks that do not overlap; where
+        places do, the one with the fewest edits counts, then the first."""
+        blanks = [p for p in range(low, high) if text[p] == " "]
+        places = []
+        for i, before in enumerate(blanks):
+            first = before + 1
+            for end in blanks[bisect_left(blanks, first + self.least, i) : bisect_right(blanks, first + self.most, i)]:
+                if match := self.pattern.fullmatch(text, first, end):
+                    places.append((sum(match.fuzzy_counts), first, end))
+        kept: list[tuple[int, int, int]] = []
+        for edits, first, end in sorted(places):
+            at = bisect_left(kept, (first, end, edits))
+            if (at == 0 or kept[at - 1][1] <= first) and (at == len(kept) or end <= kept[at][0]):
+                kept.insert(at, (first, end, edits))
+        return kept
+
+
+def nearest_only(found: list[Place]) -> list[Place]:
+    """The places less those that share over half of the shorter one's letters with a place of fewer edits."""
+    found = sorted(found, key=lambda f: f[1:3])
+    beaten = set()
+    for i, (_, first, last, edits, _) in enumerate(found):
+        for j in range(i + 1, len(found)):
+            _, other_first, other_last, other_edits, _ = found[j]
+            if other_first >= last:
+                break
+            if 2 * (min(last, other_last) - other_first) > min(last - first, other_last - other_first) and edits != other_edits:
+                beaten.add(i if other_edits < edits else j)
+    return [f for i, f in enumerate(found) if i not in beaten]
 
 
 def make_finder(
     phrases: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str]], error_share: float
-) -> Callable[[bytes], tuple[list[tuple[str, int]], list[tuple[str, int, int, int, float]]]]:
+) -> Callable[[bytes], tuple[list[tuple[str, int]], list[Place]]]:
     """A function from normal text (words between single blanks, UTF-8) to places of
     phrases ``(label, first byte)`` and notices ``(label, first byte, end byte, edits,
     similarity)``."""
@@ -121,7 +112,7 @@ def make_finder(
         machine.add_word(piece, of)
     machine.make_automaton()
 
-    def find(normal: bytes) -> tuple[list[tuple[str, int]], list[tuple[str, int, int, int, float]]]:
+    def find(normal: bytes) -> tuple[list[tuple[str, int]], list[Place]]:
         text = normal.decode("latin-1")  # one character for each byte, so offsets are bytes
         places, found = [], []
         windows: dict[int, list[list[int]]] = {}
@@ -132,7 +123,8 @@ def make_finder(
                 if not errors:
                     places.append((label, start))
                     continue
-                low, high = max(0, start - errors), min(len(text), start + size + errors)
+                # One letter more at each side, where the blanks are.
+                low, high = max(0, start - errors - 1), min(len(text), start + size + errors + 1)
                 spans = windows.setdefault(n, [])
                 if spans and low <= spans[-1][1]:
                     # Seeds come by their ends, so a later one may start earlier.
@@ -143,7 +135,7 @@ def make_finder(
             search, _, size, label = patterns[n]
             for low, high in spans:
                 found += [(label, first, last, edits, 1.0 - edits / size) for first, last, edits in search.find(text, low, high)]
-        return places, found
+        return places, nearest_only(found)
 
     return find
 
@@ -157,8 +149,9 @@ def scan_notices(
     ``places`` lists ``(label, word)`` for every place where the words of a phrase
     stand in a row, ``notices`` lists ``(label, first_word, last_word, edits,
     similarity)`` of the fuzzy search: exact seeds, one more than the edits allowed,
-    locate candidates; a bit-parallel search for whole words within the bound verifies them. Row-local, on whole
-    texts. Null and empty texts have no words and no places; repeated rows repeat;
+    locate candidates; the regex library's bounded-error
+    match of runs of whole words verifies them; of places of two notices that overlap the one with
+    fewer edits counts. Row-local, on whole texts. Null and empty texts have no words and no places; repeated rows repeat;
     an empty table gives no rows; other columns are ignored.
     """
 

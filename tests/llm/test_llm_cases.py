@@ -438,6 +438,18 @@ def test_notices_with_letters_added_at_the_ends():
             assert whole[first - 1] == whole[last] == " " and least_edits(f" {whole[first:last]} ", notice) == edits
 
 
+def test_the_nearest_of_rival_notices_counts():
+    find = notices.make_finder((), notices.NOTICES, notices.ERROR_SHARE)
+    for text, label in [
+        ("licensed under cc by nd 4 0", "cc-by-nd"), ("licensed under cc by sa 4 0", "cc-by-sa"), ("licensed under cc by nc 4 0", "cc-by-nc"),
+        ("mozilla public license version 1 1", "mpl-1"), ("mozila public license version 2 0", "mpl-2"), ("licensed under the apache license version 1 1", "apache-1"),
+    ]:
+        assert {n[0] for n in find(f" so {text} it says ".encode())[1]} == {label}
+    # Copies in a row, each with its own edits, are all found.
+    row = "released under the mit license relesed under the mit license released under te mit licens " * 40
+    assert [n[3] for n in find(f" {row}".encode())[1]] == [0, 1, 2] * 40
+
+
 # Quality
 
 
