@@ -8,7 +8,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
@@ -17,8 +17,13 @@ from taskatlas.llm.components import components
 from taskatlas.operators.ranking import top_per_group
 from taskatlas.sources.storage import stored
 
-ANCHORS = 2  # members of a key compared with its other members in the first round
+ANCHORS = 2  # members of a key compared with its other members in the second round
+MORE_ANCHORS = 32  # how many times as many in each further round
 LANE = 128  # texts compared with one text in one group
+LANE_ROWS = 4_096  # members of a key whose whole sketches meet in one group
+GROUP_ROWS = 16_384  # rows of one group, of many small keys together
+PAIRS_AT_ONCE = 1 << 16  # whole sketches compared by one step in numpy
+SKETCH_MOST = 4_096  # bits of a whole sketch; longer sets only lose sharpness
 RATIO = 1.5  # growth of the size bands
 FILLED_MOST = (1 << 22) - 1
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -225,7 +230,107 @@ def shared_keys(rows: DataFrame, percent: int) -> DataFrame:
     return marked.withColumn("alive", alive).filter("alive").drop("alive")
 
 
-def _candidates(left: DataFrame, right: DataFrame, percent: int, also: Column | None = None) -> DataFrame:
+def whole_sketch(values: np.ndarray, bands: Bands) -> np.ndarray:
+    """Parity bits of all elements: two sets differ in at least as many elements as in bits.
+
+    Its length is a power of two, so a longer sketch folds onto a shorter one.
+    """
+    bits = 64
+    while bits < min(16 * bands.smaller(len(values)), SKETCH_MOST):
+        bits *= 2
+    odd = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def sketched(held: DataFrame, width: int, percent: int) -> DataFrame:
+    """``cls, sketch`` of the classes of ``held``; row-local. A text that is not of its class has no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            classes, sketches = [], []
+            for cls, text in zip(batch["cls"].to_pylist(), batch["text"], strict=True):
+                values = shingles(text.as_py(), width)
+                if set_class(values) == cls:
+                    classes.append(cls)
+                    sketches.append(whole_sketch(values, bands).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sketches, pa.binary())], names=["cls", "sketch"])
+
+    return held.mapInArrow(run, "cls long, sketch binary").dropDuplicates(["cls"])
+
+
+def folded(sketches: pa.Array, rows: np.ndarray, size: int) -> np.ndarray:
+    """The sketches of these rows, of ``size`` or twice as many bytes, as 64-bit words of ``size`` bytes."""
+    table = np.zeros((len(rows), size), dtype=np.uint8)
+    for i, row in enumerate(rows):
+        sketch = np.frombuffer(sketches[row].as_buffer(), dtype=np.uint8)
+        table[i] = sketch if len(sketch) == size else sketch[:size] ^ sketch[size:]
+    return table.view(np.uint64)
+
+
+def close_pairs(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes of a group that share a key and lane and whose whole sketches are
+    close enough for a link: each anchor against the members of other components."""
+    group = group.sort_by([("key", "ascending"), ("lane", "ascending"), ("anchor", "ascending")])
+    key, lane, cls, n, component = (group[c].to_numpy() for c in ("key", "lane", "cls", "n", "component"))
+    anchor, strong = (group[c].to_numpy(zero_copy_only=False) for c in ("anchor", "strong"))
+    sketches = group["sketch"].combine_chunks()
+    sizes = np.array([len(s.as_buffer()) for s in sketches], dtype=np.int64)
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lane[1:] != lane[:-1])])
+    segment = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
+    members = np.bincount(segment[~anchor], minlength=len(starts))  # they come first in their segment
+    hubs = np.flatnonzero(anchor)
+    ends = np.cumsum(members[segment[hubs]])
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    found = [np.empty((2, 0), dtype=np.int64)]
+    for low in range(0, int(ends[-1]) if len(ends) else 0, PAIRS_AT_ONCE):
+        at = np.arange(low, min(low + PAIRS_AT_ONCE, ends[-1]))
+        hub = np.searchsorted(ends, at, "right")
+        x = hubs[hub]
+        y = starts[segment[x]] + at - (ends[hub] - members[segment[x]])
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        fits = (component[x] != component[y]) & (100 * small >= percent * large)
+        fits &= (strong[x] & (n[x] <= n[y])) | (strong[y] & (n[y] <= n[x]))
+        x, y, most = x[fits], y[fits], ((small + large) * (100 - percent) // (100 + percent))[fits]
+        shared = np.minimum(sizes[x], sizes[y])
+        for size in np.unique(shared):
+            if size not in tables:
+                rows = np.flatnonzero((sizes == size) | (sizes == 2 * size))
+                place = np.zeros(len(sizes), dtype=np.int64)
+                place[rows] = np.arange(len(rows))
+                tables[size] = place, folded(sketches, rows, int(size))
+            place, words = tables[size]
+            of = np.flatnonzero(shared == size)
+            apart = np.bitwise_count(words[place[x[of]]] ^ words[place[y[of]]]).sum(axis=1, dtype=np.int64)
+            of = of[apart <= most[of]]
+            pair = np.stack([cls[x[of]], cls[y[of]]])
+            found.append(np.sort(pair, axis=0))
+    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+    return a, b
+
+
+def close_candidates(anchors: DataFrame, members: DataFrame, sketches: DataFrame, most: int, percent: int) -> DataFrame:
+    """``a, b``: anchors and other members of their keys that whole sketches leave as possible links.
+
+    A key's members are dealt to lanes of bounded size, each with all anchors of the key,
+    so no join makes pairs and only those that remain leave a group.
+    """
+    held = members.groupBy("key").agg(F.count("*").alias("held")).join(anchors.select("key").distinct(), "key")
+    lanes = held.select("key", F.ceil(F.col("held") / max(LANE_ROWS, 2 * most)).alias("lanes"))
+    columns = ["key", "cls", "n", "strong", "component"]
+    dealt = members.select(columns).join(lanes, "key").select(*columns, F.pmod(F.xxhash64("cls"), "lanes").alias("lane"), F.lit(False).alias("anchor"))
+    copied = anchors.select(columns).join(lanes, "key").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)).alias("lane"), F.lit(True).alias("anchor"))
+    groups = -(-members.count() // GROUP_ROWS)
+    placed = dealt.union(copied).join(sketches, "cls").withColumn("group", F.pmod(F.xxhash64("key", "lane"), F.lit(groups)))
+
+    def compare(group: pa.Table) -> pa.Table:
+        a, b = close_pairs(group, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return placed.groupBy("group").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Pairs of the two sides that share a key, fit in size and of which the smaller shows a strong key."""
     x, y = left.alias("x"), right.alias("y")
     fits = (
@@ -233,7 +338,7 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int, also: Column |
         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
         & ((F.col("x.strong") & (F.col("x.n") <= F.col("y.n"))) | (F.col("y.strong") & (F.col("y.n") <= F.col("x.n"))))
     )
-    return x.join(y, "key").filter(fits if also is None else fits & also).select("x.cls", F.col("y.cls").alias("other"))
+    return x.join(y, "key").filter(fits).select("x.cls", F.col("y.cls").alias("other"))
 
 
 def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -249,7 +354,9 @@ def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col
        out of the first members of its keys.
     2. In keys that still hold several components, members outside the largest one are
        compared with all members of other components: at most ANCHORS per key, then
-       four times as many in each further round, until none is left.
+       MORE_ANCHORS times as many in each further round, until none is left. Whole sketches
+       are compared first, in groups of bounded size: their Hamming distance is at most the
+       symmetric difference, so only pairs within its bound go on to the texts.
 
     A null id takes no part and has no component; a null or empty text has no
     shingles and is its own component. Repeated rows repeat. An empty table gives no
@@ -276,11 +383,12 @@ def _named_rows(documents: DataFrame, id_col: str, text_col: str, width: int, pe
     shares = _candidates(first, members, percent).groupBy("cls", "other").agg(F.count("*").alias("keys"))
     best = top_per_group(shares, ["other"], [F.col("keys").desc(), F.col("cls")], 1)
     links = stored(verified(held, best.select(F.col("cls").alias("a"), F.col("other").alias("b")), width, percent), "parity-links")
-    found = components(links)
+    joined = components(links).withColumnRenamed("node", "cls")
+    found = stored(wanted.select("cls").join(joined, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component")), "parity-found")
     # Round 2 and later ones.
-    done, most = None, ANCHORS
+    done, most, sketches = None, ANCHORS, None
     while True:
-        at = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        at = members.join(found, "cls")
         sizes = at.groupBy("key", "component").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components"))
         # Only keys that are still split go on; their members shrink from round to round.
@@ -292,14 +400,19 @@ def _named_rows(documents: DataFrame, id_col: str, text_col: str, width: int, pe
         members = members.drop("largest")
         if not anchors.limit(1).count():
             break
-        pairs = _candidates(anchors, members, percent, F.col("x.component") != F.col("y.component"))
-        pairs = pairs.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+        if sketches is None:
+            sketches = stored(sketched(held.join(members.select("cls").distinct(), "cls"), width, percent), "parity-sketches")
+        pairs = stored(close_candidates(anchors, members, sketches, most, percent), "parity-pairs")
         more = stored(verified(held, pairs, width, percent), "parity-links")
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        if more.limit(1).count():
+            # Only the components that new links touch are joined anew.
+            lifted = more.join(found.select(F.col("cls").alias("a"), F.col("component").alias("u")), "a").join(found.select(F.col("cls").alias("b"), F.col("component").alias("v")), "b")
+            merged = components(lifted.select("u", "v")).select(F.col("node").alias("component"), F.col("component").alias("least"))
+            found = stored(found.join(merged, "component", "left").select("cls", F.coalesce("least", "component").alias("component")), "parity-found")
         tested = anchors.select("key", "cls")
         done = tested if done is None else done.union(tested)
-        members, most = members.drop("component"), 4 * most
-    least = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        members, most = members.drop("component"), MORE_ANCHORS * most
+    least = classes.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     names = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = least.select("cls", "component").join(names, "component").select("cls", "component_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -6,6 +6,7 @@ import zlib
 import helpers
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -366,6 +367,32 @@ def test_packing_odd_rows(spark):
     assert packing.pack_documents(df.limit(0), path).count() == 0
 
 
+# Whole sketches
+
+
+def test_close_pairs_lose_no_link(monkeypatch):
+    """Every linked pair of a key with an anchor remains, at any size of the steps."""
+    monkeypatch.setattr(parity_join, "PAIRS_AT_ONCE", 7)
+    rng, bands = np.random.default_rng(8), parity_join.Bands(80)
+    base = rng.integers(0, 2**63, 2_000, dtype=np.uint64)
+    sets = []
+    for i in range(40):
+        size = int(rng.choice([1, 5, 40, 300, 1_900]))
+        kept = base[:size][rng.random(size) > rng.choice([0, 0.05, 0.1, 0.3])]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**63, int(rng.integers(0, size // 10 + 2)), dtype=np.uint64)])))
+    rows = [(k, 0, i, len(s), True, i, parity_join.whole_sketch(s, bands).tobytes(), a) for k in (1, 2) for i, s in enumerate(sets) if len(s) for a in (False, True)[: 1 + (i < 15 * k)]]
+    names = ["key", "lane", "cls", "n", "strong", "component", "sketch", "anchor"]
+    a, b = parity_join.close_pairs(pa.table({c: list(v) for c, v in zip(names, zip(*rows, strict=True), strict=True)}), 80)
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    wanted = set()
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if i < 30 and common and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                wanted.add((i, j))
+    assert wanted and wanted <= got and len(got) < 2 * len(wanted) + 20
+
+
 # Notices
 
 
