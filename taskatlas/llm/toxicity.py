@@ -1,4 +1,4 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine."""
+"""Toxicity by the nearest labelled examples under the exact cosine of contrast-weighted TF-IDF."""
 
 from __future__ import annotations
 
@@ -70,9 +70,6 @@ class ExampleIndex:
         return largest(self.cosines([(ids, weights)])[0], k, without)
 
 
-BlockMaxIndex = ExampleIndex  # the former name
-
-
 def largest(scores: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of the ``k`` largest positive scores, ties to the earlier place."""
     if without >= 0:

@@ -146,7 +146,7 @@ def test_copies_of_a_url_do_not_fill_the_training_sample(spark):
 # Toxicity
 
 
-def test_block_maxima_lose_nothing():
+def test_example_index_gives_the_nearest():
     rng = np.random.default_rng(5)
     rows = []
     for _ in range(500):
@@ -154,7 +154,7 @@ def test_block_maxima_lose_nothing():
         w = rng.random(len(ids))
         rows.append((ids, w / max(np.sqrt(w @ w), 1e-9)))
     rows += rows[:30]  # ties
-    index = toxicity.BlockMaxIndex(rows, 60)
+    index = toxicity.ExampleIndex(rows, 60)
     dense = np.zeros((len(rows), 60))
     for i, (ids, w) in enumerate(rows):
         dense[i, ids] = w
