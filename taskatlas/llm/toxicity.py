@@ -1,7 +1,8 @@
-"""Toxicity by the nearest labelled examples under the exact cosine of contrast-weighted TF-IDF."""
+"""Toxicity by the nearest labelled examples under the exact cosine of contrast-weighted TF-IDF, found with block maxima."""
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,8 +16,12 @@ from taskatlas.llm.batches import BATCH_ROWS, score_texts
 from taskatlas.llm.samples import fold, labelled_texts
 from taskatlas.llm.words import byte_words
 
-COMMON = 8  # a term in one of so many examples has a full row of weights instead of postings
+BLOCK = 16  # examples that share one maximum per term
+COMMON = 8  # a term in one of so many examples has full rows instead of postings
+SLACK = 1e-8
+HELD_WORDS = 300_000
 BEGINNINGS = (4, 5)  # bytes of a word's beginnings that are terms beside the word
+NONE = np.empty(0, np.int64)
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -25,59 +30,140 @@ def terms_of(text: str | None) -> list[bytes]:
     return tokens + [w[:n] + b" " for n in BEGINNINGS for w in tokens if len(w) > n]
 
 
+class TermNumbers(dict):
+    """Where the numbers of a word's terms stand; words of one task are remembered, up to ``HELD_WORDS``."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        super().__init__()
+        self.vocabulary, self.numbers = vocabulary, array("i")
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = row = len(self)
+        number = self.vocabulary.get
+        self.numbers.append(number(word, -1))
+        for n in BEGINNINGS:
+            self.numbers.append(number(word[:n] + b" ", -1) if len(word) > n else -1)
+        return row
+
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted numbers and counts of the known terms of a whole text."""
+        if len(self) > HELD_WORDS:
+            self.clear()
+            self.numbers = array("i")
+        words = Counter(byte_words(text))
+        if not words:
+            return NONE, NONE
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        found = np.frombuffer(self.numbers, np.int32).reshape(-1, 1 + len(BEGINNINGS))[rows].ravel()
+        order = np.argsort(found, kind="stable")
+        order = order[np.searchsorted(found[order], 0) :]
+        if not len(order):
+            return NONE, NONE
+        ids, counts = found[order], np.fromiter(words.values(), np.int64, len(words))[order // (1 + len(BEGINNINGS))]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        return ids[first].astype(np.int64), np.add.reduceat(counts, first)
+
+
 def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers ``first[i] .. first[i] + sizes[i] - 1`` of all ``i``, one after the other."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)
 
 
-class ExampleIndex:
-    """Unit example vectors by term: posting lists of the many rare terms, full rows of the common ones."""
+Vector = tuple[np.ndarray, np.ndarray]  # sorted term numbers and weights
+
+
+class BlockMaxIndex:
+    """Unit example vectors by term and block of examples, with the largest weight of each block.
+
+    What a block's maxima add up to bounds the cosine of all its examples, so blocks
+    are scored best bound first until no bound reaches the k-th cosine found. The many
+    rare terms have entries, one for each block that holds the term, with their postings;
+    terms in one of ``COMMON`` examples or more have full rows of maxima and of weights.
+    """
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.n = len(rows)
-        term = np.concatenate([r[0] for r in rows] or [np.empty(0, np.int64)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]).astype(np.int64)
-        value = np.concatenate([r[1] for r in rows] or [np.empty(0)]).astype(np.float64)
+    def __init__(self, rows: list[Vector], terms: int, block: int = BLOCK):
+        self.n, self.size, self.blocks = len(rows), block, max(1, -(-len(rows) // block))
+        # Examples with the same heaviest term stand together, which keeps a block's maxima near its weights.
+        heaviest = np.array([r[0][np.argmax(r[1])] if len(r[0]) else -1 for r in rows], dtype=np.int64)
+        self.example = np.argsort(heaviest, kind="stable")
+        rows = [rows[i] for i in self.example]
+        term = np.concatenate([r[0] for r in rows] or [NONE]).astype(np.int64)
+        place = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]).astype(np.int64)
+        weight = np.concatenate([r[1] for r in rows] or [np.empty(0)]).astype(np.float64)
         common = np.flatnonzero(np.bincount(term, minlength=terms) * COMMON >= max(self.n, 1))
         self.row = np.full(terms, -1, dtype=np.int32)
         self.row[common] = np.arange(len(common))
-        self.full = np.zeros((len(common), self.n))
+        self.full = np.zeros((len(common), self.blocks * block))
         at = self.row[term]
-        self.full[at[at >= 0], owner[at >= 0]] = value[at >= 0]
-        term, owner, value = term[at < 0], owner[at < 0], value[at < 0]
-        order = np.lexsort((owner, term))
-        self.owner, self.value = owner[order].astype(np.int32), value[order]
-        self.start = np.searchsorted(term[order], np.arange(terms + 1))  # where the postings of each term begin
-
-    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The cosine of each of a few vectors with every example; rounded, so ties do not depend on the order of addition."""
-        common = np.zeros((len(vectors), len(self.full)))
+        self.full[at[at >= 0], place[at >= 0]] = weight[at >= 0]
+        self.full_top = self.full.reshape(len(common), self.blocks, block).max(axis=2)
+
+        term, place, weight = term[at < 0], place[at < 0], weight[at < 0]
+        order = np.lexsort((place, term))
+        term, place = term[order], place[order]
+        self.place, self.weight = place.astype(np.int32), weight[order]
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (place[1:] // block != place[:-1] // block)
+        first = np.flatnonzero(new)
+        self.first = np.append(first, len(term)).astype(np.int32)
+        self.block = (place[first] // block).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.start = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)  # where the entries of each term begin
+
+    def nearest(self, vectors: list[Vector], k: int, without: np.ndarray | None = None) -> tuple[list[Vector], np.ndarray]:
+        """For each of a few vectors the ``k`` examples with the largest positive cosine, ties to the earlier one,
+        and the number of blocks scored; exact. ``without`` names one example per vector to leave out.
+
+        Cosines are rounded to nine digits, so ties do not depend on the order of addition.
+        """
+        shape = len(vectors), self.blocks
+        common, rare, bounds = np.zeros((len(vectors), len(self.full))), [], np.empty(shape)
         for i, (ids, weights) in enumerate(vectors):
             at = self.row[ids]
             common[i, at[at >= 0]] = weights[at >= 0]
-        found = common @ self.full
-        for i, (ids, weights) in enumerate(vectors):
-            first = self.start[ids]
-            sizes = self.start[ids + 1] - first
-            ends = np.cumsum(sizes)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)
-            found[i] += np.bincount(self.owner[at], np.repeat(weights, sizes) * self.value[at], minlength=self.n)
-        return np.round(found, 9, out=found)
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples with the largest positive cosine, ties to the earlier one; exact."""
-        return largest(self.cosines([(ids, weights)])[0], k, without)
-
-
-def largest(scores: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the ``k`` largest positive scores, ties to the earlier place."""
-    if without >= 0:
-        scores[without] = 0.0
-    least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
-    at = np.flatnonzero((scores >= least) & (scores > 0))
-    at = at[np.lexsort((at, -scores[at]))[:k]]
-    return at, scores[at]
+            ids, weights = ids[at < 0], weights[at < 0]
+            sizes = self.start[ids + 1] - self.start[ids]
+            entries = ranges(self.start[ids], sizes)
+            rare.append((entries, self.block[entries], np.repeat(weights, sizes)))
+            bounds[i] = np.bincount(rare[i][1], rare[i][2] * self.top[entries], minlength=self.blocks)
+        bounds += common @ self.full_top
+        rank = np.empty(shape, dtype=np.int32)
+        np.put_along_axis(rank, np.argsort(-bounds, axis=1, kind="stable"), np.arange(self.blocks, dtype=np.int32)[None], axis=1)
+
+        scores, least, scored = np.zeros((len(vectors), self.blocks * self.size)), np.zeros(len(vectors)), np.zeros(len(vectors), np.int64)
+        left_out = None if without is None else np.argsort(self.example)[without]
+        done, take = 0, -(-2 * k // self.size)
+        while done < self.blocks:
+            # SLACK covers the rounding of cosines and of sums.
+            open_ = (rank >= done) & (bounds > 0) & (bounds + SLACK >= least[:, None])
+            if not open_.any():
+                break
+            wanted = open_ & (rank < done + take)
+            scored += wanted.sum(axis=1)
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                who, columns = np.flatnonzero(wanted[:, b]), slice(b * self.size, (b + 1) * self.size)
+                scores[who, columns] = common[who] @ self.full[:, columns]
+            for i in np.flatnonzero(wanted.any(axis=1)):
+                entries, owners, weights = rare[i]
+                at = np.flatnonzero(wanted[i][owners])
+                runs = entries[at]
+                sizes = self.first[runs + 1] - self.first[runs]
+                postings = ranges(self.first[runs], sizes)
+                scores[i] += np.bincount(self.place[postings], np.repeat(weights[at], sizes) * self.weight[postings], minlength=scores.shape[1])
+            if left_out is not None:
+                scores[np.arange(len(vectors)), left_out] = 0.0
+            if k < scores.shape[1]:
+                least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+            done, take = done + take, 16 * take
+        return [self._largest(s, k) for s in np.round(scores[:, : self.n], 9, out=scores[:, : self.n])], scored
+
+    def _largest(self, scores: np.ndarray, k: int) -> Vector:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
+        at = np.flatnonzero((scores >= least) & (scores > 0))
+        near, best = self.example[at], scores[at]
+        order = np.lexsort((near, -best))[:k]
+        return near[order], best[order]
 
 
 def unit_vector(ids: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,15 +173,6 @@ def unit_vector(ids: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tupl
     return ids, weights / norm if norm > 0 else weights
 
 
-def term_vector(tokens: list[bytes], vocabulary: dict[bytes, int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted vector of a text; terms that no example holds have no weight."""
-    counted = Counter(tokens)
-    ids = np.array([vocabulary.get(w, -1) for w in counted], dtype=np.int64)
-    order = np.argsort(ids)
-    order = order[np.searchsorted(ids[order], 0) :]
-    return unit_vector(ids[order], np.fromiter(counted.values(), np.int64, len(ids))[order], weight)
-
-
 def vote(labels: np.ndarray, near: np.ndarray, cosines: np.ndarray) -> float:
     """Share of label 1, each neighbour weighted by its squared cosine; NaN without neighbours."""
     strength = cosines * cosines
@@ -153,12 +230,11 @@ def document_frequencies(documents: DataFrame, text_col: str, vocabulary: dict[b
     """Rows of the whole table and, for each term, the rows that hold it; a task sends one row per term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, seen = 0, np.zeros(len(vocabulary) + 1, dtype=np.int64)
+        rows, seen, numbers = 0, np.zeros(len(vocabulary) + 1, dtype=np.int64), TermNumbers(vocabulary)
         for batch in batches:
             for text in batch["text"].to_pylist():
                 rows += 1
-                held = {*map(vocabulary.get, terms_of(text))} - {None}
-                seen[np.fromiter(held, np.int64, len(held))] += 1
+                seen[numbers.counted(text)[0]] += 1
         seen[-1] = rows
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["term", "n"])
@@ -179,15 +255,15 @@ class ToxicityModel:
 
     def judge(self, text: str | None) -> tuple[float, list[dict]]:
         """Score of a whole text and the examples that voted."""
-        return self.judge_all([text])[0]
+        return self.judge_all([text], TermNumbers(self.vocabulary))[0]
 
-    def judge_all(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
-        """The same for a batch of texts."""
+    def judge_all(self, texts: list[str | None], numbers: TermNumbers) -> list[tuple[float, list[dict]]]:
+        """The same for a batch of texts; ``numbers`` are those of the model's vocabulary."""
         if self.index is None:
             return [(self.none_rate, [])] * len(texts)
         found = []
-        for cosines in self.index.cosines([term_vector(terms_of(t), self.vocabulary, self.weight) for t in texts]):
-            near, cosines = largest(cosines, self.k)
+        vectors = [unit_vector(*numbers.counted(text), self.weight) for text in texts]
+        for near, cosines in self.index.nearest(vectors, self.k)[0]:
             share = vote(self.marks, near, cosines)
             score = self.none_rate if np.isnan(share) else float(1.0 / (1.0 + np.exp(-(self.slope * share + self.offset))))
             found.append((score, [{"doc_id": int(self.ids[i]), "cosine": float(c), "label": int(self.marks[i])} for i, c in zip(near, cosines, strict=True)]))
@@ -216,10 +292,10 @@ def fit_toxicity(
     rows, seen = document_frequencies(documents, text_col, vocabulary)
     weight = np.log((rows + 1.0) / (np.minimum(seen, rows) + 0.5)) * (1.0 + contrasts(examples, marks, len(terms)))
     vectors = [unit_vector(*e, weight) for e in examples]
-    index = ExampleIndex(vectors, len(terms))
+    index = BlockMaxIndex(vectors, len(terms))
     own = [
-        vote(marks, *largest(cosines, k, without=at + i))
-        for at in range(0, len(vectors), BATCH_ROWS) for i, cosines in enumerate(index.cosines(vectors[at : at + BATCH_ROWS]))
+        vote(marks, *found) for at in range(0, len(vectors), BATCH_ROWS)
+        for found in index.nearest(vectors[at : at + BATCH_ROWS], k, np.arange(at, min(at + BATCH_ROWS, len(vectors))))[0]
     ]
     return ToxicityModel(vocabulary, weight, index, ids, marks, *calibration(np.array(own), marks, prior), k)
 
@@ -228,8 +304,8 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "do
     """Per row: ``doc_id, held_out, score, predicted, evidence``.
 
     ``labels`` has ``doc_id, label`` (0 or 1); ``options`` are those of ``fit_toxicity``.
-    Each text is compared with all examples by all terms; the
-    nearest vote by squared cosine and the curve fitted to leave-one-out votes turns
+    Texts are compared by all terms; block maxima leave out examples that
+    cannot be among the nearest. The nearest vote by squared cosine and the curve fitted to leave-one-out votes turns
     the vote into ``score``. ``evidence`` lists ``(doc_id, cosine, label)`` of the voters.
 
     A text that shares no term with any example, an empty or a null one has the
@@ -241,7 +317,8 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "do
     model = fit_toxicity(documents, labels, id_col=id_col, text_col=text_col, folds=folds, **options)
 
     def make():
-        return lambda texts: list(map(list, zip(*model.judge_all(texts), strict=True))) if texts else [[], []]
+        numbers = TermNumbers(model.vocabulary)
+        return lambda texts: list(map(list, zip(*model.judge_all(texts, numbers), strict=True))) if texts else [[], []]
 
     scored = score_texts(documents, id_col, text_col, make, "score double, evidence array<struct<doc_id:long,cosine:double,label:int>>")
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False))
@@ -253,9 +330,10 @@ def without_toxic(documents: DataFrame, labels: DataFrame, *, text_col: str = "t
     model = fit_toxicity(documents, labels, text_col=text_col, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = TermNumbers(model.vocabulary)
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                yield batch.filter(pa.array([score < reject_from for score, _ in model.judge_all(batch[text_col].to_pylist())], pa.bool_()))
+                yield batch.filter(pa.array([score < reject_from for score, _ in model.judge_all(batch[text_col].to_pylist(), numbers)], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

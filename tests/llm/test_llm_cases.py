@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import helpers
 import numpy as np
@@ -146,24 +147,44 @@ def test_copies_of_a_url_do_not_fill_the_training_sample(spark):
 # Toxicity
 
 
-def test_example_index_gives_the_nearest():
+@pytest.mark.parametrize("block", [1, 4, 16, 1000])
+def test_block_maxima_lose_nothing(block):
     rng = np.random.default_rng(5)
     rows = []
     for _ in range(500):
-        ids = np.unique(rng.integers(0, 60, rng.integers(0, 12)))
-        w = rng.random(len(ids))
+        # Term 0 and its neighbours stand in most rows (full rows), the others in few (postings).
+        ids = np.unique(np.append(rng.integers(0, 900, rng.integers(0, 30)), rng.integers(0, 4, 2) if rng.random() < 0.7 else []).astype(np.int64))
+        w = rng.random(len(ids)) ** 4
         rows.append((ids, w / max(np.sqrt(w @ w), 1e-9)))
     rows += rows[:30]  # ties
-    index = toxicity.ExampleIndex(rows, 60)
-    dense = np.zeros((len(rows), 60))
+    index = toxicity.BlockMaxIndex(rows, 900, block)
+    assert 0 < len(index.full) < 10 and len(index.block) > 100
+    dense = np.zeros((len(rows), 900))
     for i, (ids, w) in enumerate(rows):
         dense[i, ids] = w
-    for ids, w in rows[:120]:
-        exact = dense[:, ids] @ w
-        order = np.lexsort((np.arange(len(rows)), -np.round(exact, 12)))[:9]
-        order = order[exact[order] > 1e-12]
-        near, cosines = index.nearest(ids, w, 9) if len(ids) else (np.empty(0, int), np.empty(0))
-        assert np.allclose(np.sort(exact[near]), np.sort(exact[order])) and np.allclose(cosines, exact[near])
+    exact = np.round(dense @ dense.T, 9)
+    for without in (None, np.arange(120)):
+        found, scored = index.nearest(rows[:120], 9, without)
+        for i, (near, cosines) in enumerate(found):
+            cosine = exact[i].copy()
+            if without is not None:
+                cosine[i] = 0.0
+            order = np.lexsort((np.arange(len(rows)), -cosine))[:9]
+            order = order[cosine[order] > 0]
+            assert near.tolist() == order.tolist() and np.allclose(cosines, cosine[order])
+        if block == 4:
+            assert scored.mean() < 0.6 * index.blocks
+    assert index.nearest([], 9)[0] == []
+
+
+def test_term_numbers_count_as_terms_of():
+    texts = ["Vile scum, vile SCUMBAGS!", "", None, "other words", "scumbag scum"]
+    vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts[::4] for w in toxicity.terms_of(t)}))}
+    numbers = toxicity.TermNumbers(vocabulary)
+    for text in texts:
+        counted = Counter(vocabulary[w] for w in toxicity.terms_of(text) if w in vocabulary)
+        ids, counts = numbers.counted(text)
+        assert list(zip(ids.tolist(), counts.tolist())) == sorted(counted.items())
 
 
 def test_toxicity_odd_rows(spark):
