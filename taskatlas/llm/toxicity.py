@@ -19,6 +19,8 @@ from taskatlas.llm.words import byte_words
 BLOCK = 16  # examples that share one maximum per term
 COMMON = 8  # a term in one of so many examples has full rows instead of postings
 SLACK = 1e-8
+TOGETHER = 128  # vectors searched at a time
+FIRST = 16  # blocks scored before the limit is taken again
 HELD_WORDS = 300_000
 BEGINNINGS = (4, 5)  # bytes of a word's beginnings that are terms beside the word
 NONE = np.empty(0, np.int64)
@@ -76,10 +78,10 @@ Vector = tuple[np.ndarray, np.ndarray]  # sorted term numbers and weights
 class BlockMaxIndex:
     """Unit example vectors by term and block of examples, with the largest weight of each block.
 
-    What a block's maxima add up to bounds the cosine of all its examples, so blocks
-    are scored best bound first until no bound reaches the k-th cosine found. The many
-    rare terms have entries, one for each block that holds the term, with their postings;
-    terms in one of ``COMMON`` examples or more have full rows of maxima and of weights.
+    A rare term's postings are added outright: a list of its block maxima would be as
+    long. Terms in one of ``COMMON`` examples or more have rows of weights and of block
+    maxima. Rare part and maxima bound the cosines of a block, so blocks are scored best
+    bound first until no bound reaches the k-th cosine.
     """
 
     def __init__(self, rows: list[Vector], terms: int, block: int = BLOCK):
@@ -101,15 +103,8 @@ class BlockMaxIndex:
 
         term, place, weight = term[at < 0], place[at < 0], weight[at < 0]
         order = np.lexsort((place, term))
-        term, place = term[order], place[order]
-        self.place, self.weight = place.astype(np.int32), weight[order]
-        new = np.ones(len(term), dtype=bool)
-        new[1:] = (term[1:] != term[:-1]) | (place[1:] // block != place[:-1] // block)
-        first = np.flatnonzero(new)
-        self.first = np.append(first, len(term)).astype(np.int32)
-        self.block = (place[first] // block).astype(np.int32)
-        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
-        self.start = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)  # where the entries of each term begin
+        self.place, self.weight = place[order].astype(np.int32), weight[order]
+        self.start = np.searchsorted(term[order], np.arange(terms + 1)).astype(np.int32)  # where the postings of each term begin
 
     def nearest(self, vectors: list[Vector], k: int, without: np.ndarray | None = None) -> tuple[list[Vector], np.ndarray]:
         """For each of a few vectors the ``k`` examples with the largest positive cosine, ties to the earlier one,
@@ -117,46 +112,38 @@ class BlockMaxIndex:
 
         Cosines are rounded to nine digits, so ties do not depend on the order of addition.
         """
+        found, scored = [], []
+        for at in range(0, len(vectors), TOGETHER):
+            scores, blocks = self._scores(vectors[at : at + TOGETHER], k, None if without is None else without[at : at + TOGETHER])
+            found += [self._largest(s, k) for s in np.round(scores, 9, out=scores)[:, : self.n]]
+            scored.append(blocks)
+        return found, np.concatenate(scored or [NONE])
+
+    def _scores(self, vectors: list[Vector], k: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines by place, exact where they reach the k-th and below it elsewhere; blocks scored by vector."""
         shape = len(vectors), self.blocks
-        common, rare, bounds = np.zeros((len(vectors), len(self.full))), [], np.empty(shape)
+        common, scores = np.zeros((len(vectors), len(self.full))), np.empty((len(vectors), self.blocks * self.size))
         for i, (ids, weights) in enumerate(vectors):
             at = self.row[ids]
             common[i, at[at >= 0]] = weights[at >= 0]
-            ids, weights = ids[at < 0], weights[at < 0]
-            sizes = self.start[ids + 1] - self.start[ids]
-            entries = ranges(self.start[ids], sizes)
-            rare.append((entries, self.block[entries], np.repeat(weights, sizes)))
-            bounds[i] = np.bincount(rare[i][1], rare[i][2] * self.top[entries], minlength=self.blocks)
-        bounds += common @ self.full_top
-        rank = np.empty(shape, dtype=np.int32)
-        np.put_along_axis(rank, np.argsort(-bounds, axis=1, kind="stable"), np.arange(self.blocks, dtype=np.int32)[None], axis=1)
-
-        scores, least, scored = np.zeros((len(vectors), self.blocks * self.size)), np.zeros(len(vectors)), np.zeros(len(vectors), np.int64)
-        left_out = None if without is None else np.argsort(self.example)[without]
-        done, take = 0, -(-2 * k // self.size)
-        while done < self.blocks:
-            # SLACK covers the rounding of cosines and of sums.
-            open_ = (rank >= done) & (bounds > 0) & (bounds + SLACK >= least[:, None])
-            if not open_.any():
-                break
-            wanted = open_ & (rank < done + take)
+            first, weights = self.start[ids[at < 0]], weights[at < 0]
+            sizes = self.start[ids[at < 0] + 1] - first
+            postings = ranges(first, sizes)
+            scores[i] = np.bincount(self.place[postings], np.repeat(weights, sizes) * self.weight[postings], minlength=scores.shape[1])
+        bounds = scores.reshape(*shape, self.size).max(axis=2) + common @ self.full_top
+        if without is not None:
+            scores[np.arange(len(vectors)), np.argsort(self.example)[without]] = -np.inf
+        rank = np.argsort(np.argsort(-bounds, axis=1, kind="stable"), axis=1)
+        scored = np.zeros(len(vectors), np.int64)
+        for done, end in ((0, FIRST), (FIRST, self.blocks)):
+            # A cosine is at least its rare part, so the k-th of what is known is a limit. SLACK covers rounding.
+            least = np.partition(scores, -k, axis=1)[:, -k, None] if k < scores.shape[1] else np.zeros((len(vectors), 1))
+            wanted = (rank >= done) & (rank < end) & (bounds > 0) & (bounds + SLACK >= least)
             scored += wanted.sum(axis=1)
             for b in np.flatnonzero(wanted.any(axis=0)):
                 who, columns = np.flatnonzero(wanted[:, b]), slice(b * self.size, (b + 1) * self.size)
-                scores[who, columns] = common[who] @ self.full[:, columns]
-            for i in np.flatnonzero(wanted.any(axis=1)):
-                entries, owners, weights = rare[i]
-                at = np.flatnonzero(wanted[i][owners])
-                runs = entries[at]
-                sizes = self.first[runs + 1] - self.first[runs]
-                postings = ranges(self.first[runs], sizes)
-                scores[i] += np.bincount(self.place[postings], np.repeat(weights[at], sizes) * self.weight[postings], minlength=scores.shape[1])
-            if left_out is not None:
-                scores[np.arange(len(vectors)), left_out] = 0.0
-            if k < scores.shape[1]:
-                least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-            done, take = done + take, 16 * take
-        return [self._largest(s, k) for s in np.round(scores[:, : self.n], 9, out=scores[:, : self.n])], scored
+                scores[who, columns] += common[who] @ self.full[:, columns]
+        return scores, scored
 
     def _largest(self, scores: np.ndarray, k: int) -> Vector:
         least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0

@@ -158,7 +158,7 @@ def test_block_maxima_lose_nothing(block):
         rows.append((ids, w / max(np.sqrt(w @ w), 1e-9)))
     rows += rows[:30]  # ties
     index = toxicity.BlockMaxIndex(rows, 900, block)
-    assert 0 < len(index.full) < 10 and len(index.block) > 100
+    assert 0 < len(index.full) < 10 and len(index.place) > 100
     dense = np.zeros((len(rows), 900))
     for i, (ids, w) in enumerate(rows):
         dense[i, ids] = w
