@@ -79,21 +79,33 @@ def flow_links(
 
 
 def flow_nodes(counts: DataFrame, occupations: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Node table: categories, then tasks by category, then occupations, numbered from 0."""
-    # One row per category, m per category and n: small enough for one ordered numbering.
-    none = F.lit(None).cast("string")
-    categories = counts.select("ai_category").distinct().select(
-        F.lit(0).alias("layer"), F.lit("category").alias("kind"), "ai_category", none.alias("task"), none.alias("soc_code"),
-        category_title(F.col("ai_category")).alias("label"), F.lit(0.0).alias("weight"), F.col("ai_category").alias("tie"),
+    """Node table: categories, then tasks by category, then occupations, numbered from 0.
+
+    Tasks are numbered inside their category and shifted by what stands before it. Windows
+    over one group hold one row per category, or the ``n`` rows of ``top_occupations``.
+    """
+    none, one = F.lit(None).cast("string"), Window.partitionBy(F.lit(0))
+    by_category = one.orderBy(F.col("ai_category").asc_nulls_first())
+    categories = counts.select("ai_category").distinct()
+    n_categories = categories.agg(F.count("*")).scalar()
+    n_tasks = tasks.agg(F.count("*")).scalar()
+    category_nodes = categories.select(
+        F.row_number().over(by_category).alias("number"), F.lit("category").alias("kind"), "ai_category", none.alias("task"),
+        none.alias("soc_code"), category_title(F.col("ai_category")).alias("label"),
     )
-    task_nodes = tasks.select(
-        F.lit(1).alias("layer"), F.lit("task").alias("kind"), "ai_category", "task", none.alias("soc_code"),
-        shorten(F.col("task"), LABEL_WIDTH).alias("label"), F.col("task_rank").cast("double").alias("weight"), F.col("task").alias("tie"),
+    sizes = tasks.groupBy("ai_category").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(by_category.rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("ai_category").alias("of"), F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("ai_category").orderBy(F.col("task_rank").cast("double"), "task"))
+    numbered = tasks.withColumn("inside", inside).join(starts, F.col("ai_category").eqNullSafe(F.col("of")))
+    task_nodes = numbered.select(
+        (n_categories + F.col("start") + F.col("inside")).alias("number"), F.lit("task").alias("kind"), "ai_category", "task",
+        none.alias("soc_code"), shorten(F.col("task"), LABEL_WIDTH).alias("label"),
     )
+    by_weight = F.row_number().over(one.orderBy(-F.col("total_contribution"), "soc_code", "title"))
     occupation_nodes = occupations.select(
-        F.lit(2).alias("layer"), F.lit("occupation").alias("kind"), none.alias("ai_category"), none.alias("task"), "soc_code",
-        F.col("title").alias("label"), (-F.col("total_contribution")).alias("weight"), F.col("soc_code").alias("tie"),
+        (n_categories + n_tasks + by_weight).alias("number"), F.lit("occupation").alias("kind"), none.alias("ai_category"),
+        none.alias("task"), "soc_code", F.col("title").alias("label"),
     )
-    nodes = categories.unionByName(task_nodes).unionByName(occupation_nodes)
-    order = Window.partitionBy(F.lit(0)).orderBy("layer", F.col("ai_category").asc_nulls_first(), "weight", "tie", "label")
-    return nodes.select((F.row_number().over(order) - 1).alias("node_id"), "kind", "ai_category", "task", "soc_code", "label")
+    nodes = category_nodes.unionByName(task_nodes).unionByName(occupation_nodes)
+    return nodes.select((F.col("number") - 1).cast("int").alias("node_id"), "kind", "ai_category", "task", "soc_code", "label")

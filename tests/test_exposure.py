@@ -102,6 +102,23 @@ def test_flows_match_pandas(spark):
     nodes = flows.flow_nodes(df, top, tasks).orderBy("node_id").collect()
     assert [n["node_id"] for n in nodes] == list(range(len(nodes)))
     assert [n["kind"] for n in nodes] == ["category"] * 2 + ["task"] * tasks.count() + ["occupation"] * 3
+    ranked = sorted((r["ai_category"], r["task_rank"], r["task"]) for r in tasks.collect())
+    assert [(n["ai_category"], n["task"]) for n in nodes if n["kind"] == "task"] == [(c, t) for c, _, t in ranked]
+    listed = sorted((-r["total_contribution"], r["soc_code"]) for r in top.collect())
+    assert [n["soc_code"] for n in nodes if n["kind"] == "occupation"] == [c for _, c in listed]
+
+
+def test_flow_nodes_of_a_null_category_and_of_no_tasks(spark):
+    rows = [row("o1", f"t{i}", 3.0, 5 + i, cat=c, year=2021) for c in (None, "b") for i in range(3)]
+    df = spark.createDataFrame(rows, COUNTS)
+    top = flows.top_occupations(df, 2021, 2)
+    tasks = spark.createDataFrame([(c, f"t{i}", 1.0, 2 - i) for c in (None, "b") for i in range(2)], "ai_category string, task string, total_contribution double, task_rank int")
+    nodes = flows.flow_nodes(df, top, tasks).orderBy("node_id").collect()
+    assert [(n["ai_category"], n["task"]) for n in nodes][2:6] == [(None, "t1"), (None, "t0"), ("b", "t1"), ("b", "t0")]
+    assert [n["node_id"] for n in nodes] == list(range(7))
+    assert [n["ai_category"] for n in nodes][:2] == [None, "b"]
+    none = flows.flow_nodes(df, top, tasks.limit(0)).orderBy("node_id").collect()
+    assert [n["kind"] for n in none] == ["category"] * 2 + ["occupation"] * top.count()
 
 
 def test_contributions_of_an_occupation_without_matches_are_zero(spark):
