@@ -9,14 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(df: DataFrame, order_col: str, name: str, *, buckets: int = 256) -> DataFrame:
+LEAST_BUCKETS, BUCKET_ROWS = 256, 1_000_000
+
+
+def number_rows(df: DataFrame, order_col: str, name: str, *, buckets: int | None = None) -> DataFrame:
     """Number rows from 0 in ``order_col`` order (a numeric column without repeats); nulls come last.
 
     Approximate quantiles cut the order into buckets of near-equal size; rows are
     numbered inside their bucket and shifted by the size of the buckets before
     it. The driver reads the cuts, and one task meets the bucket table: both have
-    at most ``buckets`` entries.
+    at most ``buckets`` entries, by default one for ``BUCKET_ROWS`` rows, so that no task
+    sorts more the larger the table is.
     """
+    buckets = buckets or max(LEAST_BUCKETS, -(-df.count() // BUCKET_ROWS))
     shares = [i / buckets for i in range(1, buckets)]
     number = F.col(order_col).cast("double")
     cuts = df.agg(F.percentile_approx(number, shares, F.lit(20 * buckets)).alias("c")).first()["c"] or [0.0]

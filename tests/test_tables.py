@@ -137,6 +137,18 @@ def test_numbering(spark):
     assert ranking.number_rows(df.limit(0), "k", "n").count() == 0
 
 
+def test_buckets_follow_the_row_count(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "LEAST_BUCKETS", 2)
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 10)
+    df = spark.range(300).select(((F.col("id") * 37) % 300).alias("k")).repartition(5)
+    seen = []
+    cut = ranking.Bucketizer
+    monkeypatch.setattr(ranking, "Bucketizer", lambda **given: seen.append(len(given["splits"])) or cut(**given))
+    assert {r["k"]: r["n"] for r in ranking.number_rows(df, "k", "n").collect()} == {k: k for k in range(300)}
+    assert ranking.number_rows(df.limit(15), "k", "n").count() == 15
+    assert seen[0] == 31 and seen[1] == 3
+
+
 def test_keep_first_and_distinct(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, "c", 3), (None, "d", 4), (None, "e", 5)], "id int, t string, pos int")
     assert {r["t"] for r in dedup.keep_first(df, ["id"], "pos").collect()} == {"a", "c", "d"}
