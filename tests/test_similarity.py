@@ -235,3 +235,42 @@ def test_running_state_is_bounded(monkeypatch):
             for i, q in enumerate(qids):
                 every = sorted((-s[i][j], ids[j]) for (h,), ids, s in blocks if h == g for j in range(5))
                 assert sorted(top[(g, q)])[:k] == every[:k]
+
+
+def test_copies_do_not_grow_with_the_tables():
+    """Ten times the rows are not ten times the copies of each row."""
+    small = Plan(resident_bytes=0, range_rows=512, lane_rows=64)
+    for rows in (50_000, 500_000):
+        assert similarity.grid_shape(rows, rows, small, width=64, state=10) == (16, 16)
+    # Lanes stay within a task's memory, whatever that copies.
+    assert similarity.grid_shape(5_000_000, 5_000_000, small, width=64)[1] == 39
+    assert similarity.grid_shape(20_000, 2_000_000, small, width=64, state=1_000)[0] == 1_600
+
+
+def test_a_group_hands_over_while_it_streams(spark, monkeypatch):
+    """Neither the documents nor the pairs of a group are held: what a batch gives leaves the task before the next comes."""
+    monkeypatch.setattr(similarity, "COPIES", 1)
+    matrix = np.random.default_rng(8).normal(size=(60, 4))
+    q, d = frame(spark, matrix[:20], "qid").select("qid", "vec"), frame(spark, matrix, "id", np.arange(60) % 7)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        sims = brute(matrix[:20], matrix)
+        pairs = similarity.similar_pairs(q, d, threshold=0.3, plan=GRID).collect()
+        assert sorted((r["qid"], r["id"]) for r in pairs) == sorted(zip(*map(lambda a: a.tolist(), np.nonzero(sims >= 0.3))))
+        found = similarity.top_k(q, d, k=2, keys=["g"], plan=GRID).collect()
+        assert {(r["qid"], r["g"], r["rank"], r["id"]) for r in found} == expected_top(sims, np.arange(60) % 7, 2)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_collectors_round_what_is_near_a_bound():
+    """Products come unrounded; a score that rounds up to the bound counts, and ties by rounding go to the smaller id."""
+    sims = np.array([[0.5 - 4e-10, 0.5 - 6e-10, 0.7, 0.7 + 4e-10, np.nan]])
+    ids, qids = np.array([1, 2, 3, 4, 5]), np.array([9])
+    assert [ids.tolist() for _, _, ids, _ in collected(similarity.Hits(qids, 0.5), [((), ids, sims)])] == [[1, 3, 4]]
+    assert [n.tolist() for _, _, n in collected(similarity.Counts(qids, 0.5), [((), ids, sims)])] == [[3]]
+    for blocks in ([((), ids, sims)], [((), ids[i : i + 1], sims[:, i : i + 1]) for i in (3, 2, 1, 0)]):
+        assert [i.tolist() for _, _, i, _ in collected(similarity.LocalTop(qids, 1), blocks)] == [[3]]
+    twice = [((), np.array([1, 2]), np.array([[0.1, 0.2]])), ((), np.array([1, 3]), np.array([[0.9, 0.8]]))]
+    assert [i.tolist() for _, _, i, _ in collected(similarity.LocalTop(qids, 3, distinct=True), twice)] == [[1, 3, 2]]
