@@ -1,8 +1,8 @@
 """Exact quantiles with bounded groups.
 
 A built-in exact percentile keeps every distinct value of a group in one buffer.
-Here equal values are counted first, and the wanted ranks are then located by
-narrowing a histogram, so neither a task nor the driver ever holds more than
+Here equal values are counted first, or all are written once, and the wanted ranks are
+then located by narrowing a histogram, so neither a task nor the driver ever holds more than
 ``fanout`` counters per wanted rank.
 """
 
@@ -29,6 +29,11 @@ def value_counts(df: DataFrame, value: str) -> DataFrame:
     return stored(counted, "value-counts")
 
 
+def values_once(df: DataFrame, value: str) -> DataFrame:
+    """Non-null values ``x`` one by one (``n`` is 1), written once: for values of which few are equal."""
+    return stored(df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), F.lit(1).cast("long").alias("n")), "values")
+
+
 def _locate(rows: Sequence[Row], ranks: set[int], base: dict[int | None, int]) -> dict[int, int]:
     """Histogram buckets that hold a wanted rank, with the count before each."""
     found, before = {}, {}
@@ -41,10 +46,10 @@ def _locate(rows: Sequence[Row], ranks: set[int], base: dict[int | None, int]) -
 
 
 def exact_quantiles(freq: DataFrame, shares: dict[str, float], *, fanout: int = FANOUT, levels: int = 3) -> DataFrame:
-    """One row with a linearly interpolated quantile per name, from ``value_counts``.
+    """One row with a linearly interpolated quantile per name, from ``value_counts`` or ``values_once``.
 
     Each level splits the buckets that hold a wanted rank into ``fanout`` parts.
-    The values of the last, very narrow buckets are ranked by a window.
+    The values of the last, very narrow buckets are counted and ranked by a window.
     """
     spark = freq.sparkSession
     span = freq.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("n")).first()
@@ -72,7 +77,8 @@ def exact_quantiles(freq: DataFrame, shares: dict[str, float], *, fanout: int =
 
     start = F.coalesce(*[F.when(F.col("code") == c, F.lit(b)) for c, b in base.items()])
     earlier = Window.partitionBy("code").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    values = coded.filter(F.col("code").isin(*base)).withColumn("first", start + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    last = coded.filter(F.col("code").isin(*base)).groupBy("code", "x").agg(F.sum("n").alias("n"))
+    values = last.withColumn("first", start + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
     def at_rank(rank: int):
         return F.max(F.when((F.col("first") <= rank) & (F.col("first") + F.col("n") > rank), F.col("x")))

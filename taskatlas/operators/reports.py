@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taskatlas.operators.quantiles import exact_quantiles, value_counts
+from taskatlas.operators.quantiles import exact_quantiles, values_once
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -54,9 +54,10 @@ def vote_histogram(df: DataFrame, votes_col: str = "ensemble_votes") -> DataFram
 def similarity_distribution(df: DataFrame, col: str = "sim", *, digits: int = 6) -> DataFrame:
     """Mean, population deviation, extremes and exact quartiles of a score.
 
-    Everything comes from the counted distinct scores, so the scores are made once.
+    The scores are written once as they are: nearly all differ, so counting them would
+    hold most of them in memory. Equal scores are counted in the last narrow buckets.
     """
-    freq = value_counts(df, col)
+    freq = values_once(df, col)
     n, x = F.col("n"), F.col("x")
     mean = freq.agg(F.sum(x * n) / F.sum(n)).first()[0]
     off = x - F.lit(mean).cast("double")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from taskatlas.functions import text
 from taskatlas.operators import dedup, filters, joins, ranking, reshape
-from taskatlas.operators.quantiles import count_quantile, exact_quantiles, value_counts
+from taskatlas.operators.quantiles import count_quantile, exact_quantiles, value_counts, values_once
 from taskatlas.operators.reports import similarity_distribution
 from taskatlas.sources import readers, storage, writers
 from taskatlas.streaming import incremental
@@ -187,6 +187,17 @@ def test_exact_quantiles(spark, name):
     assert report["std"] == pytest.approx(values.std(), abs=1e-6, rel=1e-9) and report["mean"] == pytest.approx(values.mean())
 
 
+@pytest.mark.parametrize("name", SAMPLES)
+def test_quantiles_of_values_as_they_are(spark, name):
+    """Values need not be counted first; equal ones meet in the last buckets only."""
+    values = SAMPLES[name]
+    rows = values_once(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(4), "x")
+    assert rows.count() == len(values)
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75, "low": 0.0, "high": 1.0}
+    got = exact_quantiles(rows, shares, fanout=8, levels=2).first().asDict()
+    assert got == pytest.approx({n: np.quantile(values, p) for n, p in shares.items()}, rel=1e-12)
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(value_counts(df, "x"), {"median": 0.5}).first()["median"] is None
