@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler
@@ -21,6 +20,8 @@ from taskatlas.functions.vectors import NORM_FLOOR
 # Divisor floor of mean pooling and the fill of masked positions in max pooling.
 MASK_FLOOR = 1e-9
 MASKED_VALUE = -1e9
+# Text that an encoder takes at a time; a longer text stands alone.
+SLICE_BYTES = 2 << 20
 
 
 def token_bucket(token: str, width: int) -> int:
@@ -28,6 +29,17 @@ def token_bucket(token: str, width: int) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % width
 
 
+def text_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts in slices of about ``SLICE_BYTES``, so that a batch of long texts is not worked on at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(texts):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield texts.slice(low, high - low)
+        low = high
+
+
 def evaluated_once(udf):
     """Keep the optimiser from copying a costly function into each use of its result.
 
@@ -43,11 +55,10 @@ def encode_text(df: DataFrame, text_col: str, out: str = "vec", *, width: int =
     Words are lower-cased and split at white space. Row-local, so whole texts of
     any length are encoded without a shuffle and the same column works on a
     stream. Splitting, coding and counting run on Arrow batches; only the
-    distinct words of a batch are hashed one by one.
+    distinct words of a slice of some MB are hashed one by one.
     """
 
-    @F.arrow_udf("array<double>")
-    def run(texts: pa.Array) -> pa.Array:
+    def encoded(texts: pa.Array) -> pa.Array:
         rows = len(texts)
         # Trimmed first: the splitter may keep white space at the very end of its buffer.
         trimmed = pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
@@ -64,6 +75,10 @@ def encode_text(df: DataFrame, text_col: str, out: str = "vec", *, width: int =
         unit = counts / np.where(norms == 0, 1.0, norms)
         return pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * width, unit.ravel())
 
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([encoded(part) for part in text_slices(texts)] or [encoded(texts)])
+
     return df.withColumn(out, evaluated_once(run)(F.col(text_col)))
 
 
@@ -82,21 +97,25 @@ def encode_with(
     ``list[str] -> matrix``. Blank texts skip the model and get a zero vector.
     """
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encoded(encoder: Callable[[list[str]], np.ndarray], texts: pa.Array) -> np.ndarray:
+        values = [v or "" for v in texts.to_pylist()]
+        if max_words is not None:
+            values = [" ".join(v.split()[:max_words]) for v in values]
+        filled = [i for i, v in enumerate(values) if v.strip()]
+        matrix = np.zeros((len(values), width))
+        for at in range(0, len(filled), batch_size):
+            rows = filled[at : at + batch_size]
+            matrix[rows] = encoder([values[i] for i in rows])
+        if unit:
+            matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), NORM_FLOOR)
+        return matrix
+
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = make_encoder()
         for texts in batches:
-            values = texts.fillna("").tolist()
-            if max_words is not None:
-                values = [" ".join(v.split()[:max_words]) for v in values]
-            filled = [i for i, v in enumerate(values) if v.strip()]
-            matrix = np.zeros((len(values), width))
-            for at in range(0, len(filled), batch_size):
-                rows = filled[at : at + batch_size]
-                matrix[rows] = encoder([values[i] for i in rows])
-            if unit:
-                matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), NORM_FLOOR)
-            yield pd.Series(list(matrix))
+            matrix = np.concatenate([np.zeros((0, width)), *[encoded(encoder, part) for part in text_slices(texts)]])
+            yield pa.ListArray.from_arrays(np.arange(len(matrix) + 1, dtype=np.int32) * width, matrix.ravel())
 
     return df.withColumn(out, evaluated_once(run)(F.col(text_col)))
 

@@ -274,3 +274,26 @@ def test_collectors_round_what_is_near_a_bound():
         assert [i.tolist() for _, _, i, _ in collected(similarity.LocalTop(qids, 1), blocks)] == [[3]]
     twice = [((), np.array([1, 2]), np.array([[0.1, 0.2]])), ((), np.array([1, 3]), np.array([[0.9, 0.8]]))]
     assert [i.tolist() for _, _, i, _ in collected(similarity.LocalTop(qids, 3, distinct=True), twice)] == [[1, 3, 2]]
+
+
+def test_encoders_take_some_text_at_a_time(spark, monkeypatch):
+    """A batch is encoded in slices of bounded bytes; a longer text stands alone, and the vectors are the same."""
+    texts = ["red blue", None, "", "word " * 40, "a b c", "red"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    sizes = spark.sparkContext.accumulator(0)
+
+    def make():
+        def encode(values):
+            assert sum(map(len, values)) <= 20 or len(values) == 1
+            sizes.add(len(values))
+            return np.array([[len(v), 1.0] for v in values])
+
+        return encode
+
+    whole = embedding.encode_text(df, "t", width=16).orderBy("i").collect()
+    monkeypatch.setattr(embedding, "SLICE_BYTES", 20)
+    parts = [p.to_pylist() for p in embedding.text_slices(embedding.pa.array(texts))]
+    assert parts == [["red blue", None, ""], ["word " * 40], ["a b c", "red"]]
+    assert embedding.encode_text(df, "t", width=16).orderBy("i").collect() == whole
+    found = {r["i"]: r["vec"] for r in embedding.encode_with(df, "t", make, width=2, unit=False).collect()}
+    assert found[3] == [200.0, 1.0] and found[1] == [0.0, 0.0] and found[5] == [3.0, 1.0] and sizes.value == 4
