@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskatlas.llm.word_grams import GramTable, Vocabulary, chained, frequent_grams, merged_rows, table_bits, text_runs
+from taskatlas.llm.word_grams import GramTable, Vocabulary, chained, frequent_grams, long_tasks, merged_rows, table_bits, text_bytes, text_runs
 from taskatlas.operators.ranking import top_per_group
 from taskatlas.sources.storage import stored
 
 # Small letters; all that ends a piece becomes a full stop.
 PIECE_TABLE = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
-HELD_ROWS = 400_000
+HELD_ROWS = 1_000_000
 HELD_WORDS = 300_000
 
 
@@ -99,9 +99,8 @@ def _chain_of(packed, bits: int) -> Callable[[], Callable[[np.ndarray], Knows]]:
     return start
 
 
-def frequent_phrases(rows: DataFrame, longest: int, min_count: int) -> tuple[GramTable, GramTable]:
+def frequent_phrases(rows: DataFrame, longest: int, min_count: int, bits: int) -> tuple[GramTable, GramTable]:
     """Tables of frequent words and pairs, and of longer phrases of frequent pairs."""
-    bits = table_bits(rows)
     short = frequent_grams(rows, _counted_grams(range(1, 3), lambda: _all_known), min_count, bits)
     packed = rows.sparkSession.sparkContext.broadcast(short.packed)
     return short, frequent_grams(rows, _counted_grams(range(3, longest + 1), _chain_of(packed, bits)), min_count, bits)
@@ -119,7 +118,8 @@ def window_counts(rows: DataFrame, tables: tuple[GramTable, GramTable], longest:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short, long = map(GramTable, shared.value, bits)
-        vocabulary, langs = Vocabulary(), Vocabulary()
+        # Windows hold few of the words; those have numbers of their own, as long as windows are held.
+        vocabulary, langs, kept = Vocabulary(), Vocabulary(), Vocabulary()
         held: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []
 
         def knows(k: int, grams: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -135,12 +135,18 @@ def window_counts(rows: DataFrame, tables: tuple[GramTable, GramTable], longest:
             columns = [np.concatenate(c) for c in zip(*[p[0] for p in parts])]
             return merged_rows(columns, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
 
+        def keep(words: list[np.ndarray]) -> list[np.ndarray]:
+            kept[b"."]
+            used, at = np.unique(np.stack(words), return_inverse=True)
+            return list(kept.numbers([vocabulary.words[i] for i in used.tolist()])[at.reshape(len(words), -1)])
+
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 (lang, *words), counts = merge(held)
                 held.clear()
                 # Number 0 is the end of a piece and stands for an empty column.
-                spelt = pa.array([b"", *vocabulary.words[1:]], pa.binary()).cast(pa.string())
+                spelt = pa.array([b"", *kept.words[1:]], pa.binary()).cast(pa.string())
+                kept.bound(0)
                 spoken = pa.array(langs.words, pa.binary()).cast(pa.string())
                 for at in range(0, len(counts), 50_000):
                     cut = slice(at, at + 50_000)
@@ -155,11 +161,15 @@ def window_counts(rows: DataFrame, tables: tuple[GramTable, GramTable], longest:
                     columns[k][at] = numbers[at + k - 1]
                 starts = numbers > 0
                 columns = [c[starts] for c in columns]
-                part = merge([(columns, np.ones(len(columns[0]), np.int64), key_of(columns))])
-                held.append((*part, key_of(part[0])))
-            if sum(len(p[1]) for p in held) > HELD_ROWS or len(vocabulary) > HELD_WORDS:
-                yield from flush()
-                vocabulary.bound(HELD_WORDS)
+                (lang_column, *words), counts = merge([(columns, np.ones(len(columns[0]), np.int64), key_of(columns))])
+                columns = [lang_column, *keep(words)]
+                held.append((columns, counts, key_of(columns)))
+            vocabulary.bound(HELD_WORDS)
+            if sum(len(p[1]) for p in held) > HELD_ROWS:
+                columns, counts = merge(held)
+                held[:] = [(columns, counts, key_of(columns))]
+                if len(counts) > HELD_ROWS // 2:
+                    yield from flush()
         yield from flush()
 
     schema = ", ".join([*[f"{n} string" for n in names[:-1]], "n long"])
@@ -176,7 +186,9 @@ def phrase_counts(documents: DataFrame, *, text_col: str = "text", lang_col: str
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = documents.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text")).filter(F.length("text") > 0)
-    tables = frequent_phrases(rows, longest, min_count)
+    size = text_bytes(rows)
+    rows = long_tasks(rows, size)
+    tables = frequent_phrases(rows, longest, min_count, table_bits(size))
     parts = [f"w{i + 1}" for i in range(longest)]
     counted = window_counts(rows, tables, longest).groupBy("lang", *parts).agg(F.sum("n").alias("n"))
     sums = counted.rollup("lang", *parts).agg(F.sum("n").alias("f"), F.grouping_id().alias("without"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from taskatlas.llm.samples import fold
-from taskatlas.llm.word_grams import GramTable, Vocabulary, chained, frequent_grams, merged_rows, table_bits, text_runs
+from taskatlas.llm.word_grams import GramTable, Vocabulary, chained, frequent_grams, long_tasks, merged_rows, table_bits, text_bytes, text_runs
 from taskatlas.sources.storage import stored
 
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -262,7 +262,8 @@ def score_language(
         F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     training = rows.filter(~F.col("held_out")).select("text")
-    context, bits = rows.sparkSession.sparkContext, table_bits(training)
+    context, learned = rows.sparkSession.sparkContext, text_bytes(training)
+    training, bits = long_tasks(training, learned), table_bits(learned)
     tables = [context.broadcast(frequent_grams(training, _grams_of(depth), min_next, bits).packed)]
     tables.append(context.broadcast(frequent_grams(training, _grams_of(depth, tables[0], bits), min_next, bits).packed))
 

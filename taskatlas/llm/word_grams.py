@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 14
+TASK_BYTES = 1 << 28
 U64 = np.uint64
 
 
@@ -75,9 +76,21 @@ class GramTable:
         return (self.packed[bucket >> U64(3)] >> (bucket & U64(7)).astype(np.uint8)) & 1 == 1
 
 
-def table_bits(rows: DataFrame, least: int = 16, most: int = 27) -> int:
-    """log2 of the buckets for a corpus: one for about 32 bytes of ``text``, at most 2 ** ``most``."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def long_tasks(rows: DataFrame, size: int) -> DataFrame:
+    """The rows in tasks that each read more of a corpus with ``size`` bytes of text: two for each core, or one for 256 MB.
+
+    What a task counts, it hands over once for all it has read. In as many tasks as there are splits, every one would
+    hand over nearly all frequent sequences, and their number grows with the corpus as that of the splits does.
+    """
+    return rows.coalesce(max(2 * rows.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
+
+
+def text_bytes(rows: DataFrame) -> int:
+    return rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def table_bits(size: int, least: int = 16, most: int = 27) -> int:
+    """log2 of the buckets for a corpus of ``size`` bytes: one for about 32 bytes, at most 2 ** ``most``."""
     return min(most, max(least, (size // 32).bit_length()))
 
 

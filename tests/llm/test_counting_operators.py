@@ -252,6 +252,29 @@ def test_windows_survive_a_crowded_table(spark, monkeypatch):
     assert sorted(map(tuple, found)) == plain_collocations([(t, lang) for _, t, lang in rows], 3, 50)
 
 
+def test_a_task_hands_over_a_window_once(spark, monkeypatch):
+    """New words in later batches do not make a task hand over the same windows again."""
+    monkeypatch.setattr(collocations, "HELD_WORDS", 2)
+    rows = table(spark, [(i, t, "en") for i, t in enumerate(some_texts(5, 80) * 4)]).select("lang", "text").coalesce(1)
+    tables = collocations.frequent_phrases(rows, 5, 4, 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        found = collocations.window_counts(rows, tables, 5).drop("n").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(set(found)) > 100
+
+
+def test_splits_do_not_multiply_counting_tasks(spark, monkeypatch):
+    """Partial counts grow with the tasks that count, so those do not grow with the splits of a table."""
+    seen, real = [], collocations.window_counts
+    monkeypatch.setattr(collocations, "window_counts", lambda rows, *a: seen.append(rows.rdd.getNumPartitions()) or real(rows, *a))
+    texts = some_texts(5, 80, vocabulary=8)
+    found = collocations.mine_collocations(table(spark, [(i, t, "en") for i, t in enumerate(texts)]).repartition(100), min_count=4, top=15).collect()
+    assert seen == [2 * spark.sparkContext.defaultParallelism]
+    assert sorted(map(tuple, found)) == plain_collocations([(t, "en") for t in texts], 4, 15)
+
+
 # ------------------------------------------------------------------ word grams
 
 
