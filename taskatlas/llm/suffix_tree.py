@@ -16,9 +16,9 @@ from taskatlas.llm.word_grams import GramTable, Vocabulary, chained, frequent_gr
 from taskatlas.sources.storage import stored
 
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-HELD_ROWS = 300_000
+HELD_ROWS = 2_000_000
 HELD_WORDS = 300_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 NO_WORD = b""
 
 
@@ -267,15 +267,15 @@ def score_language(
     tables = [context.broadcast(frequent_grams(training, _grams_of(depth), min_next, bits).packed)]
     tables.append(context.broadcast(frequent_grams(training, _grams_of(depth, tables[0], bits), min_next, bits).packed))
 
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = text_bytes(rows)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // block_bytes))))
     blocks = rows.withColumn("block", block).repartition("block")
-    # All blocks that met a word or sequence stand in one short window; the first of them stands for it.
+    # All blocks that met a word or sequence stand in one short window; the first of them stands for it and alone keeps its parts.
     same = Window.partitionBy("word", "key")
-    met = _met(blocks, tables, bits, depth).select(
-        "block", "k", "key", "prefix", "suffix", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")
-    )
-    met = stored(met.filter((F.col("c") >= min_next) | ((F.col("k") == 1) & (F.col("c") > 0))), "tree-met")
+    first, again = F.row_number().over(same.orderBy("block")) == 1, F.lag("block").over(same.orderBy("block")) == F.col("block")
+    met = _met(blocks, tables, bits, depth).select("block", "k", "key", "prefix", "suffix", F.sum("n").over(same).alias("c"), first.alias("first"), again.alias("again"))
+    met = met.filter(((F.col("c") >= min_next) | ((F.col("k") == 1) & (F.col("c") > 0))) & ~F.coalesce("again", F.lit(False)))
+    met = stored(met.select("block", "k", "key", *[F.when(F.col("first"), F.col(part)).alias(part) for part in ("prefix", "suffix")], "c", "first"), "tree-met")
     counts = met.filter("first").select("k", F.col("key").alias("gram"), "prefix", "suffix", F.col("c").alias("n"))
     total = counts.filter("k = 1").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_tokens, n_words = total["n"] or 0, total["v"]
@@ -283,7 +283,7 @@ def score_language(
     tree = learn_tree(counts.filter(F.col("n") >= min_next), n_tokens, depth)
     zero, none = F.lit(0.0), F.lit(0).cast("long")
     by_words = met.filter("k = 1").select("block", "key", "c", zero.alias("a"), zero.alias("b"))
-    by_tree = met.filter(F.col("c") >= min_next).select("block", "key").distinct().join(tree, "key").select(
+    by_tree = met.filter(F.col("c") >= min_next).select("block", "key").join(tree, "key").select(
         "block", "key", none.alias("c"), F.coalesce("a", zero).alias("a"), F.coalesce("b", zero).alias("b")
     )
     answers = by_words.unionByName(by_tree)

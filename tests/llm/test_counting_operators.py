@@ -145,6 +145,23 @@ def test_model_is_a_distribution(spark):
     assert all(found[i] == pytest.approx(plain[i]) for i, _ in probes)
 
 
+def test_a_block_names_a_sequence_once(spark):
+    """Whatever a block meets again after many other sequences is still one row."""
+    text = " ".join(f"w{i}" for i in range(80_000))
+    rows = table(spark, [(i, text) for i in range(3)]).selectExpr("0L as block", "false as held_out", "text").coalesce(1)
+    packed, bits = np.full(1 << 13, 255, np.uint8), 16
+    shared = [spark.sparkContext.broadcast(packed)] * 2
+    found = suffix_tree._met(rows, shared, bits, 3).groupBy("k").agg({"n": "sum", "key": "count"})
+    assert sorted(tuple(r[c] for c in ("k", "count(key)", "sum(n)")) for r in found.collect()) == [
+        (1, 80_001, 240_003), (2, 80_000, 240_000), (3, 79_999, 239_997), (4, 79_998, 239_994)
+    ]
+
+
+def test_scores_when_blocks_name_sequences_again(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "HELD_ROWS", 4)
+    same_scores(spark, list(enumerate(some_texts(1, 60))))
+
+
 # ------------------------------------------------------------------ filter audit
 
 
