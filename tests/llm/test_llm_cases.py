@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from taskatlas.llm import components as components_module
 from taskatlas.llm import contamination, inner_product, language, notices, packing, parity_join, pseudonyms, quality, toxicity, url_filter
 from taskatlas.llm.components import components
 
@@ -322,6 +323,17 @@ def test_components_of_chains_and_stars(spark):
     assert got == dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 160), 100) | {200: 200, 201: 200}
 
 
+def test_components_that_are_stars_need_no_round(spark, monkeypatch):
+    """Links that already lead to the smallest node are not joined again to see that nothing changes."""
+    rounds, real = [], components_module._large_star
+    monkeypatch.setattr(components_module, "_large_star", lambda edges: rounds.append(1) or real(edges))
+    for edges, count in (([(1, 2), (3, 1), (1, 4), (5, 6), (6, 5), (7, 7), (None, 8)], 0), ([(1, 2), (2, 3)], 1), ([], 0)):
+        rounds.clear()
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert len(rounds) == count
+        assert got == {0: {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5}, 1: {1: 1, 2: 1, 3: 1}}[count] if edges else got == {}
+
+
 # Contamination
 
 
