@@ -17,17 +17,18 @@ def _stars(edges: DataFrame) -> bool:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Neighbours larger than a node move to its smallest neighbour."""
+    """Neighbours larger than a node move to its smallest neighbour; at most a row for each edge, so repeats wait for the small star."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Neighbours smaller than a node, and the node, move to the smallest one; here u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    # An edge gives its neighbour's row and, once more, that of the node itself.
+    ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    return edges.join(least, "u").select(F.inline(ends)).filter("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

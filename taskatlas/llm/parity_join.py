@@ -182,7 +182,9 @@ def verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     """
     degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
     spread = pairs.join(degree, "a").withColumn("lane", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / LANE)))
-    places = spread.select("a", "lane", F.col("b").alias("cls")).union(spread.select("a", "lane", F.col("a").alias("cls")).distinct())
+    # The first partner of a lane brings the class itself along.
+    first = F.row_number().over(Window.partitionBy("a", "lane").orderBy("b")) == 1
+    places = spread.select("a", "lane", "b", first.alias("first")).select("a", "lane", F.explode(F.when(F.col("first"), F.array("b", "a")).otherwise(F.array("b"))).alias("cls"))
     placed = places.join(texts, "cls").select("a", "lane", "cls", "text")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -312,14 +314,14 @@ def close_pairs(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
 def close_candidates(anchors: DataFrame, members: DataFrame, sketches: DataFrame, most: int, percent: int) -> DataFrame:
     """``a, b``: anchors and other members of their keys that whole sketches leave as possible links.
 
-    A key's members are dealt to lanes of bounded size, each with all anchors of the key,
+    A key's members (``held`` of them) are dealt to lanes of bounded size, each with all anchors of the key,
     so no join makes pairs and only those that remain leave a group.
     """
-    held = members.groupBy("key").agg(F.count("*").alias("held")).join(anchors.select("key").distinct(), "key")
-    lanes = held.select("key", F.ceil(F.col("held") / max(LANE_ROWS, 2 * most)).alias("lanes"))
     columns = ["key", "cls", "n", "strong", "component"]
-    dealt = members.select(columns).join(lanes, "key").select(*columns, F.pmod(F.xxhash64("cls"), "lanes").alias("lane"), F.lit(False).alias("anchor"))
-    copied = anchors.select(columns).join(lanes, "key").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)).alias("lane"), F.lit(True).alias("anchor"))
+    lanes = F.ceil(F.col("held") / max(LANE_ROWS, 2 * most))
+    wanted = members.join(anchors.select("key").distinct(), "key", "left_semi")
+    dealt = wanted.select(*columns, F.pmod(F.xxhash64("cls"), lanes).alias("lane"), F.lit(False).alias("anchor"))
+    copied = anchors.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), lanes - 1)).alias("lane"), F.lit(True).alias("anchor"))
     groups = -(-members.count() // GROUP_ROWS)
     placed = dealt.union(copied).join(sketches, "cls").withColumn("group", F.pmod(F.xxhash64("key", "lane"), F.lit(groups)))
 
@@ -390,7 +392,7 @@ def _named_rows(documents: DataFrame, id_col: str, text_col: str, width: int, pe
     while True:
         at = members.join(found, "cls")
         sizes = at.groupBy("key", "component").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components"))
+        largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components"), F.sum("n").alias("held"))
         # Only keys that are still split go on; their members shrink from round to round.
         members = stored(at.join(largest.filter("components > 1"), "key").drop("components"), "parity-split")
         outside = members.filter("component <> largest")
@@ -411,7 +413,7 @@ def _named_rows(documents: DataFrame, id_col: str, text_col: str, width: int, pe
             found = stored(found.join(merged, "component", "left").select("cls", F.coalesce("least", "component").alias("component")), "parity-found")
         tested = anchors.select("key", "cls")
         done = tested if done is None else done.union(tested)
-        members, most = members.drop("component"), MORE_ANCHORS * most
+        members, most = members.drop("component", "held"), MORE_ANCHORS * most
     least = classes.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     names = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = least.select("cls", "component").join(names, "component").select("cls", "component_id")

@@ -334,6 +334,22 @@ def test_components_that_are_stars_need_no_round(spark, monkeypatch):
         assert got == {0: {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5}, 1: {1: 1, 2: 1, 3: 1}}[count] if edges else got == {}
 
 
+def shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_links_are_joined_in_few_shuffles(spark):
+    """A round of components, the meeting of texts and that of sketches deal no table out again that is already together or counted."""
+    edges = spark.createDataFrame([(2, 1), (3, 2)], "u long, v long")
+    assert shuffles(components_module._small_star(components_module._large_star(edges))) <= 7
+    texts, pairs = spark.createDataFrame([(1, "a b")], "cls long, text string"), spark.createDataFrame([(1, 2)], "a long, b long")
+    assert shuffles(parity_join.verified(texts, pairs, 5, 80)) <= 5
+    members = spark.createDataFrame([(1, 1, 6, True, 1, 2), (1, 2, 6, True, 2, 2)], "key long, cls long, n long, strong boolean, component long, held long")
+    sketches = spark.createDataFrame([(1, b"\0" * 8), (2, b"\0" * 8)], "cls long, sketch binary")
+    found = parity_join.close_candidates(members.filter("cls = 2"), members, sketches, 2, 80)
+    assert shuffles(found) <= 6 and [tuple(r) for r in found.collect()] == [(1, 2)]
+
+
 # Contamination
 
 
