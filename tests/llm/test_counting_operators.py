@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from taskatlas.llm import collocations, filter_audit, suffix_tree, word_grams
+from taskatlas.llm import collocations, filter_audit, suffix_tree, token_hashes, word_grams
 
 DOCS = "doc_id long, text string, lang string, source string, block long, key string, word string, n long, mask int, part string"
 
@@ -162,6 +162,40 @@ def test_scores_when_blocks_name_sequences_again(spark, monkeypatch):
     same_scores(spark, list(enumerate(some_texts(1, 60))))
 
 
+def test_scores_with_many_parts_and_few_tasks(spark, monkeypatch):
+    """Ranges of hashes and blocks that share tasks, sorted in them."""
+    monkeypatch.setattr(suffix_tree, "PART_BYTES", 300)
+    monkeypatch.setattr(suffix_tree, "MAX_TASKS", 2)
+    same_scores(spark, list(enumerate(some_texts(5, 60))))
+
+
+def test_a_block_hands_over_arrays(spark):
+    """However many words and sequences a block has, it is two rows for each part, and its counts are whole."""
+    texts = [" ".join(f"w{i}" for i in range(at, at + 3_000)) for at in range(0, 9_000, 1_000)]
+    rows = table(spark, list(enumerate(texts))).selectExpr("doc_id % 3 as block", "doc_id = 0 as held_out", "text")
+    packed, bits = np.full(1 << 13, 255, np.uint8), 16
+    shared = [spark.sparkContext.broadcast(packed)] * 2
+    counted = suffix_tree._counted(rows.coalesce(1).sortWithinPartitions("block"), shared, bits, 3, 2).cache()
+    assert counted.groupBy("part", "block").count().filter("count <> 2").count() == 0
+    merged = suffix_tree._merged_parts(counted, 2, 2).filter("kind <= 1").cache()
+    assert [tuple(r) for r in merged.filter("kind = 1").selectExpr("sum(n)", "sum(gram)").collect()] == [(8 * 3_001, 10_001)]
+    plain = suffix_tree._met(rows, shared, bits, 3).groupBy("k", "key", "prefix", "suffix").agg({"n": "sum"}).filter("sum(n) >= 2")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, merged.filter("kind = 0").select("k", "gram", "prefix", "suffix", "n").collect()))
+
+
+def test_token_hashes_tell_words_apart():
+    texts = [*ODD, "", "a b", "ab", None, " b", "Ab  aB\tq\x0bz", "é É\xa0x \x1c", "x" * 70_000 + " y", "x" * 70_001, "z" * 32, "z" * 33, "last"]
+    column = pa.array(["left out", *texts], pa.string()).slice(1)
+    hashes, lengths = token_hashes.token_hashes(column)
+    words = [[m.encode() for m in helpers.TOKEN.findall(helpers.lower(t or ""))] for t in texts]
+    assert lengths.tolist() == [len(w) + 1 for w in words]
+    named = {}
+    for word, key in zip([w for own in words for w in [*own, None]], hashes.tolist()):
+        assert named.setdefault(word, key) == key
+    assert len(set(named.values())) == len(named)
+    assert token_hashes.token_hashes(pa.array([], pa.string()))[0].tolist() == []
+
+
 # ------------------------------------------------------------------ filter audit
 
 
