@@ -276,6 +276,36 @@ def test_collectors_round_what_is_near_a_bound():
     assert [i.tolist() for _, _, i, _ in collected(similarity.LocalTop(qids, 3, distinct=True), twice)] == [[1, 3, 2]]
 
 
+@pytest.mark.parametrize("distinct", [False, True])
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_a_query_has_a_bounded_number_of_places(k, distinct):
+    """Rising scores all reach the bound; a query still holds no more than its places, and ties go to the smaller id."""
+    rng = np.random.default_rng(k)
+    blocks = []
+    for step in range(30):
+        ids = np.sort(rng.choice(400, 40, replace=False))
+        if not distinct:
+            ids += 400 * step
+        sims = np.round(rng.random((5, 40)), 1) + 0.05 * step
+        sims[2:4] -= 2 * 0.05 * step
+        sims[4] = 0.5
+        blocks.append((ids, sims))
+    top, held = similarity.LocalTop(np.arange(10, 15), k, distinct), []
+    for ids, sims in blocks:
+        assert list(top.add((), ids, sims, notes=ids.astype(np.int32) % 7)) == []
+        held.append(max(part.scores.shape for parts in top.groups.values() for part in parts.values()))
+    assert set(held) == {(5, max(2 * k, similarity.LEAST_ROOM))}
+    (_, q, ids, sims, notes), = top.finish()
+    for i in range(5):
+        every = {}
+        for names, scores in blocks:
+            for name, score in zip(names.tolist(), scores[i]):
+                every[name] = max(every.get(name, -9.0), round(score, 9))
+        want = sorted((-v, name) for name, v in every.items())[:k]
+        assert [(-v, name) for v, name in zip(sims[q == 10 + i], ids[q == 10 + i])] == want
+    assert (notes == ids % 7).all()
+
+
 def test_encoders_take_some_text_at_a_time(spark, monkeypatch):
     """A batch is encoded in slices of bounded bytes; a longer text stands alone, and the vectors are the same."""
     texts = ["red blue", None, "", "word " * 40, "a b c", "red"]
