@@ -232,7 +232,31 @@ class LocalTop:
         else:
             q, d = _cells(hopeful)
             found = np.round(sims[q, d], SCORE_DIGITS)
-        q = rows[q]
+        self._enter(held, rows[q], d, found, ids, notes)
+
+    def add_near(self, values, ids, queries, docs, short, rows):
+        """``add`` for the products of unit rows, of which ``short`` has both sides in single precision.
+
+        Once all queries of a matrix have a k-th score, products in single precision
+        pass over those that cannot reach it, whatever their rounding; the others are
+        taken anew in double precision.
+        """
+        base = int(rows[0]) - int(rows[0]) % LANE_ROWS
+        held = self.groups.get(values, {}).get(base)
+        own = rows - base
+        if held is not None and held.floor[own].min() > -np.inf:
+            slack = ROUNDING + (docs.shape[1] + 4) * 2.0**-22
+            hopeful = short[0] @ short[1].T >= (held.floor[own] - slack).astype(np.float32)[:, None]
+            if np.count_nonzero(hopeful) <= hopeful.size // 16:
+                q, d = _cells(hopeful)
+                found = [np.einsum("nw,nw->n", queries[q[at : at + OUT_ROWS]], docs[d[at : at + OUT_ROWS]]) for at in range(0, len(q), OUT_ROWS)]
+                found = np.round(np.concatenate([np.zeros(0), *found]), SCORE_DIGITS)
+                self._enter(held, own[q], d, found, ids, None)
+                return
+        yield from self.add(values, ids, queries @ docs.T, rows)
+
+    def _enter(self, held, q, d, found, ids, notes):
+        """Put the entries that reach the bounds of their queries; ``q`` ascends."""
         while True:
             kept = (found > -np.inf) & (found >= held.floor[q])
             q, d, found = q[kept], d[kept], found[kept]
@@ -352,6 +376,8 @@ def _rows(arrow: pa.Schema, found) -> Iterator[pa.RecordBatch]:
 def _collected(kept: Hits | Counts | LocalTop, matrix: np.ndarray, docs: pa.Table, keys: Sequence[str], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Pass a batch of documents by the unit rows of the queries, block by block."""
     ids, vectors = docs.column("id").to_numpy(), unit_rows(matrix_of(docs.column("vec")))
+    ranks = isinstance(kept, LocalTop)
+    short = [m.astype(np.float32) for m in (matrix, vectors)] if ranks else None
     for values, rows in _group_runs(docs, keys):
         rows = rows[np.argsort(ids[rows], kind="stable")]
         for low in range(0, len(matrix), LANE_ROWS):
@@ -359,7 +385,11 @@ def _collected(kept: Hits | Counts | LocalTop, matrix: np.ndarray, docs: pa.Tabl
             asked, step = np.arange(low, low + len(part)), max(1, PRODUCT_CELLS // len(part))
             for at in range(0, len(rows), step):
                 take = rows[at : at + step]
-                yield from _rows(arrow, kept.add(values, ids[take], part @ vectors[take].T, asked))
+                if ranks:
+                    found = kept.add_near(values, ids[take], part, vectors[take], (short[0][low : low + LANE_ROWS], short[1][take]), asked)
+                else:
+                    found = kept.add(values, ids[take], part @ vectors[take].T, asked)
+                yield from _rows(arrow, found)
 
 
 def _resident(queries: DataFrame, docs: DataFrame, keys: Sequence[str], collector: Collector, schema: T.StructType) -> DataFrame:

@@ -306,6 +306,28 @@ def test_a_query_has_a_bounded_number_of_places(k, distinct):
     assert (notes == ids % 7).all()
 
 
+def test_single_precision_only_passes_over(monkeypatch):
+    """Near copies that single precision cannot tell apart are ranked by their double products, copies by id."""
+    rng = np.random.default_rng(6)
+    docs = similarity.unit_rows(rng.normal(size=(6_000, 12)))
+    docs[::97] = docs[0]
+    docs[1::97] = similarity.unit_rows(docs[0] + 1e-7 * rng.normal(size=docs[1::97].shape))
+    docs[5] = 0.0
+    queries, whole = docs[:40].copy(), similarity.scores(docs[:40], docs)
+    ids, rows, k = np.arange(6_000) * 3, np.arange(40), 10
+    short, doubles = (queries.astype(np.float32), docs.astype(np.float32)), []
+    top, real = similarity.LocalTop(rows, k), similarity.LocalTop.add
+    monkeypatch.setattr(similarity.LocalTop, "add", lambda self, *a, **b: doubles.append(a[2].size) or real(self, *a, **b))
+    for at in range(0, 6_000, 200):
+        part = slice(at, at + 200)
+        assert list(top.add_near((), ids[part], queries, docs[part], (short[0], short[1][part]), rows)) == []
+    (_, q, names, sims), = top.finish()
+    assert sum(doubles) < whole.size // 2
+    for i in rows:
+        best = np.lexsort((ids, -whole[i]))[:k]
+        assert names[q == i].tolist() == ids[best].tolist() and sims[q == i].tolist() == whole[i][best].tolist()
+
+
 def test_encoders_take_some_text_at_a_time(spark, monkeypatch):
     """A batch is encoded in slices of bounded bytes; a longer text stands alone, and the vectors are the same."""
     texts = ["red blue", None, "", "word " * 40, "a b c", "red"]
